@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm.mixing import op7_mixing
 from orrery.llm.secrets import op6_secrets
+from orrery.llm.simhash import op1_simhash
 from orrery.llm.url_rules import op4_url_filters
 
-QUERIES = [op4_url_filters, op6_secrets, op7_mixing]
+QUERIES = [op1_simhash, op4_url_filters, op6_secrets, op7_mixing]
 SQL: dict[str, str] = {}
 
 
