@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orrery.llm.id_files import op10_id_files
 from orrery.llm.mixing import op7_mixing
+from orrery.llm.packing import op3_packing
 from orrery.llm.secrets import op6_secrets
 from orrery.llm.simhash import op1_simhash
 from orrery.llm.url_rules import op4_url_filters
 
-QUERIES = [op1_simhash, op4_url_filters, op6_secrets, op7_mixing]
+QUERIES = [op1_simhash, op3_packing, op4_url_filters, op6_secrets, op7_mixing, op10_id_files]
 SQL: dict[str, str] = {}
 
 
