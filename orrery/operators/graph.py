@@ -18,9 +18,10 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     deleted; rounds end when the edge set stays as it is.  Edges with a null end
     and loops are dropped; nodes of loops are kept as their own component.
     """
-    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null")
-    nodes = pairs.filter("a = b").select(F.col("a").alias("node")).distinct()
-    now = stage(pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
+    pairs = stage(pairs.filter(F.col(src).isNotNull() & F.col(dst).isNotNull()).distinct(), "edges")
+    nodes = pairs.filter("u = v").select(F.col("u").alias("node"))
+    now, first = pairs.filter("u <> v"), True
     mark = None
     while True:
         sums = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -34,7 +35,9 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         small = large.join(least, "u")
         nxt = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
         before, now = now, stage(nxt.distinct(), "edges")
-        drop_staged(before)
+        if not first:
+            drop_staged(before)
+        first = False
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     found = found.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     alone = nodes.join(found, "node", "left_anti").withColumn("component", F.col("node"))
