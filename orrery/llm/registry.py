@@ -12,9 +12,10 @@ from orrery.llm.mixing import op7_mixing
 from orrery.llm.packing import op3_packing
 from orrery.llm.secrets import op6_secrets
 from orrery.llm.simhash import op1_simhash
+from orrery.llm.toxicity import op9_toxicity
 from orrery.llm.url_rules import op4_url_filters
 
-QUERIES = [op1_simhash, op3_packing, op4_url_filters, op6_secrets, op7_mixing, op8_embeddings, op10_id_files]
+QUERIES = [op1_simhash, op3_packing, op4_url_filters, op6_secrets, op7_mixing, op8_embeddings, op9_toxicity, op10_id_files]
 SQL: dict[str, str] = {}
 
 
