@@ -1,18 +1,24 @@
-"""SimHash near-duplicates by a vantage-point tree over fingerprints.
-
-Equal fingerprints collapse first, so copies cost one row.  A vantage-point
-tree splits the distinct fingerprints into shards by Hamming distance: inside a
-ball around the vantage point, or outside.  A fingerprint lives in one shard
-and is also sent, as a visitor, to every shard inside a ball that it lies
-outside of by no more than the radius; by the triangle inequality no other
-shard can hold a neighbour, and each pair meets in exactly one shard.  A shard
-searches its residents by rings around further vantage points, again pruned by
-the triangle inequality, and compares what is left bit by bit.  It returns a
-spanning forest of its links, not the links, so a group of near copies costs
-one row a member.
-
-The tree itself is built on the driver from a bounded sample of fingerprints
-(``SAMPLE`` a shard, at most ``2 ** MAX_DEPTH`` shards); the sample only shapes
+"""SimHash near-duplicates by vantage-point trees over fingerprints.
+
+Equal fingerprints collapse first, so copies cost one row.  Fingerprints that
+differ in at most ``radius`` of 64 bits differ in at most ``radius // BANDS``
+bits of one of their ``BANDS`` words, so there is one tree a word, with that
+smaller radius.  A vantage-point tree splits the distinct fingerprints into
+shards by the Hamming distance of that word: inside a ball around the vantage
+point, or outside.  A fingerprint lives in one shard of each tree and is also
+sent, as a visitor, to every shard inside a ball that it lies outside of by no
+more than the radius; by the triangle inequality no other shard can hold a
+neighbour.  A shard searches its residents by rings around further vantage
+points, again pruned by the triangle inequality, and compares what is left on
+all 64 bits.  It returns a spanning forest of its links, not the links, so a
+group of near copies costs one row a member.
+
+One tree over whole fingerprints sends far more visitors: the distances of
+unrelated fingerprints to a vantage point lie within 32 +- 4, so most are near
+any ball's edge at radius 4.
+
+The trees themselves are built on the driver from a bounded sample of fingerprints
+(``SAMPLE`` a shard, at most ``2 ** MAX_DEPTH`` shards a tree); the sample only shapes
 the shards and changes no result.
 
 Defined results: null and empty texts have fingerprint zero and link like any
@@ -37,6 +43,8 @@ from orrery.storage import stage
 SHARD = 8192
 SAMPLE = 64
 MAX_DEPTH = 12
+BANDS = 4
+BAND_BITS = 64 // BANDS
 SEED = 42
 BLOCK = 1 << 21
 CHUNK = 1 << 15
@@ -88,7 +96,7 @@ class Tree:
     def __init__(self, sample: np.ndarray, depth: int, radius: int):
         self.depth, self.radius = depth, radius
         self.center = np.zeros(2**depth - 1, np.uint64)
-        self.reach = np.full(2**depth - 1, 32, np.int64)
+        self.reach = np.full(2**depth - 1, BAND_BITS // 2, np.int64)
         draw = np.random.default_rng(SEED)
         own = {0: sample}
         for k in range(2**depth - 1):
@@ -142,17 +150,25 @@ class Forest:
             np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
 
 
-def search(fps: np.ndarray, live: np.ndarray, other: np.ndarray, radius: int, found: Forest, levels: int = 3) -> None:
-    """Unite every resident in ``live`` with its neighbours in ``other`` (positions in ``fps``)."""
-    if levels and len(live) > 64 and len(live) * len(other) > BLOCK:
-        center = fps[live[len(live) // 2]]
-        a, b = np.bitwise_count(fps[live] ^ center), np.bitwise_count(fps[other] ^ center).astype(np.int64)
+def band(fps: np.ndarray, k: int) -> np.ndarray:
+    """The k-th word of the fingerprints."""
+    return (fps >> np.uint64(k * BAND_BITS)) & np.uint64(2**BAND_BITS - 1)
+
+
+def search(
+    fps: np.ndarray, words: np.ndarray, live: np.ndarray, other: np.ndarray, radius: int, found: Forest, levels: int = 4
+) -> None:
+    """Unite every resident in ``live`` with its neighbours in ``other`` (positions) whose ``words`` are near too."""
+    near = radius // BANDS
+    if levels and len(live) > 64 and len(live) * len(other) > BLOCK // 8:
+        center = words[live[len(live) // 2]]
+        a, b = np.bitwise_count(words[live] ^ center), np.bitwise_count(words[other] ^ center).astype(np.int64)
         order = np.argsort(b, kind="stable")
         b, other = b[order], other[order]
         for ring in np.unique(a):
-            lo, hi = np.searchsorted(b, (int(ring) - radius, int(ring) + radius + 1))
+            lo, hi = np.searchsorted(b, (int(ring) - near, int(ring) + near + 1))
             if hi > lo:
-                search(fps, live[a == ring], other[lo:hi], radius, found, levels - 1)
+                search(fps, words, live[a == ring], other[lo:hi], radius, found, levels - 1)
         return
     step = max(1, BLOCK // max(1, len(other)))
     right = fps[other]
@@ -169,24 +185,26 @@ def fingerprint_links(fps: DataFrame, radius: int) -> DataFrame:
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(n, 1) / SHARD)))))
     every = max(1, n // (SAMPLE << depth))
     rows = fps.filter(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).toPandas()["fp"] if depth else []
-    tree = Tree(np.sort(np.array(rows, np.int64)).view(np.uint64), depth, radius)
+    sample = np.sort(np.array(rows, np.int64)).view(np.uint64)
+    trees = [Tree(band(sample, k), depth, radius // BANDS) for k in range(BANDS)]
 
     def route(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keys = b["fp"].to_numpy(np.int64).view(np.uint64)
-            for shard, live, come in tree.route(keys):
-                at = np.concatenate([live, come])
-                home = np.zeros(len(at), bool)
-                home[: len(live)] = True
-                yield pd.DataFrame({"shard": np.int32(shard), "fp": keys[at].view(np.int64), "home": home})
+            for k, tree in enumerate(trees):
+                for shard, live, come in tree.route(band(keys, k)):
+                    at = np.concatenate([live, come])
+                    home = np.arange(len(at)) < len(live)
+                    yield pd.DataFrame({"shard": np.int32((k << depth) + shard), "fp": keys[at].view(np.int64), "home": home})
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
         keys = group["fp"].to_numpy(np.int64).view(np.uint64)
         home = group["home"].to_numpy(bool)
+        words = band(keys, int(group["shard"].iloc[0]) >> depth)
         live, come = np.flatnonzero(home), np.flatnonzero(~home)
         found = Forest(len(keys))
-        search(keys, live, live, radius, found)
-        search(keys, live, come, radius, found)
+        search(keys, words, live, live, radius, found)
+        search(keys, words, live, come, radius, found)
         top = found.root(np.arange(len(keys)))
         moved = np.flatnonzero(top != np.arange(len(keys)))
         return pd.DataFrame({"a": keys[moved].view(np.int64), "b": keys[top[moved]].view(np.int64)})
