@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm.embeddings import op8_embeddings
+from orrery.llm.fertility import op5_fertility
 from orrery.llm.id_files import op10_id_files
 from orrery.llm.mixing import op7_mixing
 from orrery.llm.packing import op3_packing
@@ -15,7 +16,7 @@ from orrery.llm.simhash import op1_simhash
 from orrery.llm.toxicity import op9_toxicity
 from orrery.llm.url_rules import op4_url_filters
 
-QUERIES = [op1_simhash, op3_packing, op4_url_filters, op6_secrets, op7_mixing, op8_embeddings, op9_toxicity, op10_id_files]
+QUERIES = [op1_simhash, op3_packing, op4_url_filters, op5_fertility, op6_secrets, op7_mixing, op8_embeddings, op9_toxicity, op10_id_files]
 SQL: dict[str, str] = {}
 
 

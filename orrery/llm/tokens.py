@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import sentencepiece
 from tokenizers import Tokenizer
 
 from orrery.workers import per_worker
@@ -37,6 +38,8 @@ class _Index(dict):
 class WordEncoder:
     """Ids of texts under the tokenizer in ``path``; ``spaced`` if a word's leading white space is part of its ids."""
 
+    keep = KEEP
+
     def __init__(self, path: str, spaced: bool):
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -105,7 +108,7 @@ class WordEncoder:
         fresh.clear()
 
     def encode(self, text: str | None) -> np.ndarray:
-        if len(self.index) > KEEP:
+        if len(self.index) > self.keep:
             self._reset()
         at = self._positions(text or "")
         size = self.count[at]
@@ -137,6 +140,24 @@ class WordEncoder:
 _CONTROL = re.compile("[\x1c-\x1f]").search
 
 
+class PieceEncoder(WordEncoder):
+    """Ids of the words of texts under a sentencepiece model; white space between words is not counted."""
+
+    def __init__(self, path: str):
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.spaced = False
+        self.pieces = re.compile(f"[^{SPACE}]+").findall
+        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.vocab_size())])
+        self._reset()
+
+    def _encode(self, word: str) -> list[int]:
+        return self.model.encode(word)
+
+
+def piece_encoder(path: str) -> PieceEncoder:
+    return per_worker(f"pieces {path}", lambda: PieceEncoder(path))
+
+
 def encoder(path: str, spaced: bool) -> WordEncoder:
     """This worker's encoder for the tokenizer in ``path``."""
     return per_worker(f"encoder {path} {spaced}", lambda: WordEncoder(path, spaced))
