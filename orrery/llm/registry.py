@@ -15,8 +15,9 @@ from orrery.llm.secrets import op6_secrets
 from orrery.llm.simhash import op1_simhash
 from orrery.llm.toxicity import op9_toxicity
 from orrery.llm.url_rules import op4_url_filters
+from orrery.llm.weak_labels import op2_weak_labels
 
-QUERIES = [op1_simhash, op3_packing, op4_url_filters, op5_fertility, op6_secrets, op7_mixing, op8_embeddings, op9_toxicity, op10_id_files]
+QUERIES = [op1_simhash, op2_weak_labels, op3_packing, op4_url_filters, op5_fertility, op6_secrets, op7_mixing, op8_embeddings, op9_toxicity, op10_id_files]
 SQL: dict[str, str] = {}
 
 
