@@ -1,9 +1,9 @@
 """SimHash near-duplicates by vantage-point trees over fingerprints.
 
 Equal fingerprints collapse first, so copies cost one row.  Fingerprints that
-differ in at most ``radius`` of 64 bits differ in at most ``radius // BANDS``
-bits of one of their ``BANDS`` words, so there is one tree a word, with that
-smaller radius.  A vantage-point tree splits the distinct fingerprints into
+differ in at most ``radius`` of 64 bits differ in at most one bit of one of
+``radius // 2 + 1`` words, so there is one tree a word, with radius one.
+A vantage-point tree splits the distinct fingerprints into
 shards by the Hamming distance of that word: inside a ball around the vantage
 point, or outside.  A fingerprint lives in one shard of each tree and is also
 sent, as a visitor, to every shard inside a ball that it lies outside of by no
@@ -17,6 +17,12 @@ One tree over whole fingerprints sends far more visitors: the distances of
 unrelated fingerprints to a vantage point lie within 32 +- 4, so most are near
 any ball's edge at radius 4.
 
+Sixty-four bits of shingles cannot tell a similarity of 0.8: such pairs differ
+in ten bits, give or take three.  Where a similarity is asked for, the trees
+search fingerprints of the sets of words, which change far less than shingles
+do, within ``WORD_RADIUS`` bits; a pair then links if its ``SIGNATURE * 64``-bit
+SimHashes of shingles are no further apart than that similarity makes them.
+
 The trees themselves are built on the driver from a bounded sample of fingerprints
 (``SAMPLE`` a shard, at most ``2 ** MAX_DEPTH`` shards a tree); the sample only shapes
 the shards and changes no result.
@@ -43,60 +49,105 @@ from orrery.storage import stage
 SHARD = 8192
 SAMPLE = 64
 MAX_DEPTH = 12
-BANDS = 4
-BAND_BITS = 64 // BANDS
+WORD_RADIUS = 9
+SIGNATURE = 4
+SLACK = 1.25  # standard deviations of a signature's distance
 SEED = 42
 BLOCK = 1 << 21
 CHUNK = 1 << 15
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """64-bit SimHash of the word shingles of a text, as a signed integer."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return 0
-    line = b" ".join(parts)
-    if len(parts) < words:
-        ends = starts = None
-        total = 1
-    else:
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-        ends = np.cumsum(size)
-        starts = ends - size
-        starts, ends = starts[: len(parts) - words + 1], ends[words - 1 :] - 1
-        total = len(starts)
+def word_list(text: str | None) -> list[bytes]:
+    """Words between the six ASCII white-space characters, A-Z lowered."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed integer."""
     counts = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), CHUNK):
+        part = np.ascontiguousarray(hashes[k : k + CHUNK], "<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def shingle_hashes(parts: list[bytes], words: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; of the whole sequence if it is shorter than a shingle."""
+    line = b" ".join(parts)
+    if len(parts) <= words:
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64) if parts else np.zeros(0, np.uint64)
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+    ends = np.cumsum(size)
+    starts, ends = (ends - size)[: len(parts) - words + 1], ends[words - 1 :] - 1
     digest = xxhash.xxh64_intdigest
-    for k in range(0, total, CHUNK):
-        if starts is None:
-            hashes = [digest(line, SEED)]
-        else:
-            cut = zip(starts[k : k + CHUNK].tolist(), ends[k : k + CHUNK].tolist(), strict=True)
-            hashes = [digest(line[a:b], SEED) for a, b in cut]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    set_bits = np.packbits(counts * 2 > total, bitorder="little")
-    return int(set_bits.view("<i8")[0])
+    found = np.zeros(len(starts), np.uint64)
+    for k in range(0, len(starts), CHUNK):
+        cut = zip(starts[k : k + CHUNK].tolist(), ends[k : k + CHUNK].tolist(), strict=True)
+        found[k : k + CHUNK] = [digest(line[a:b], SEED) for a, b in cut]
+    return found
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """64-bit SimHash of the word shingles of a text; zero without words."""
+    return majority(shingle_hashes(word_list(text), words))
 
 
-def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``(id, fp)`` for every row."""
+def word_fingerprint(parts: list[bytes]) -> int:
+    """64-bit SimHash of the set of words."""
+    return majority(np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(parts)], np.uint64))
+
+
+def signature(hashes: np.ndarray) -> list[int]:
+    """SimHashes of the set of shingles under ``SIGNATURE`` mixings of their hashes."""
+    found = []
+    hashes = np.unique(hashes)
+    for k in range(SIGNATURE):
+        h = hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        found.append(majority(h ^ (h >> np.uint64(31))))
+    return found
+
+
+def signature_limit(similarity: float) -> int:
+    """Bits by which signatures of sets of this Jaccard similarity differ, and ``SLACK`` deviations more."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = 64 * SIGNATURE
+    return round(bits * share + SLACK * (bits * share * (1 - share)) ** 0.5)
+
+
+SIGNS = [f"s{k}" for k in range(SIGNATURE)]
+
+
+def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float | None) -> DataFrame:
+    """``(id, fp)`` for every row; with a similarity, of the set of words, and a signature of shingles."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "fp": np.array([fingerprint(t, words) for t in b["text"]], np.int64)})
-
+            rows = []
+            for text in b["text"]:
+                if similarity is None:
+                    rows.append([fingerprint(text, words)])
+                else:
+                    parts = word_list(text)
+                    rows.append([word_fingerprint(parts), *signature(shingle_hashes(parts, words))])
+            found = pd.DataFrame(np.array(rows, np.int64).reshape(len(b), -1), columns=names)
+            found.insert(0, "id", b["id"].to_numpy())
+            yield found
+
+    names = ["fp"] if similarity is None else ["fp", *SIGNS]
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    kinds = f"id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names)
+    return narrow.mapInPandas(run, kinds)
 
 
 class Tree:
     """Balls in heap order: node k has children 2k+1 (inside) and 2k+2 (outside); the leaves are shards."""
 
-    def __init__(self, sample: np.ndarray, depth: int, radius: int):
+    def __init__(self, sample: np.ndarray, depth: int, radius: int = 1):
         self.depth, self.radius = depth, radius
         self.center = np.zeros(2**depth - 1, np.uint64)
-        self.reach = np.full(2**depth - 1, BAND_BITS // 2, np.int64)
+        self.reach = np.full(2**depth - 1, 8, np.int64)
         draw = np.random.default_rng(SEED)
         own = {0: sample}
         for k in range(2**depth - 1):
@@ -150,87 +201,124 @@ class Forest:
             np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
 
 
-def band(fps: np.ndarray, k: int) -> np.ndarray:
-    """The k-th word of the fingerprints."""
-    return (fps >> np.uint64(k * BAND_BITS)) & np.uint64(2**BAND_BITS - 1)
-
-
-def search(
-    fps: np.ndarray, words: np.ndarray, live: np.ndarray, other: np.ndarray, radius: int, found: Forest, levels: int = 4
-) -> None:
-    """Unite every resident in ``live`` with its neighbours in ``other`` (positions) whose ``words`` are near too."""
-    near = radius // BANDS
-    if levels and len(live) > 64 and len(live) * len(other) > BLOCK // 8:
-        center = words[live[len(live) // 2]]
-        a, b = np.bitwise_count(words[live] ^ center), np.bitwise_count(words[other] ^ center).astype(np.int64)
-        order = np.argsort(b, kind="stable")
-        b, other = b[order], other[order]
-        for ring in np.unique(a):
-            lo, hi = np.searchsorted(b, (int(ring) - near, int(ring) + near + 1))
-            if hi > lo:
-                search(fps, words, live[a == ring], other[lo:hi], radius, found, levels - 1)
-        return
-    step = max(1, BLOCK // max(1, len(other)))
-    right = fps[other]
-    for k in range(0, len(live), step):
-        x, y = np.nonzero(np.bitwise_count(fps[live[k : k + step], None] ^ right[None, :]) <= radius)
-        x, y = live[k + x], other[y]
+def word_of(fps: np.ndarray, k: int, words: int) -> np.ndarray:
+    """The k-th of ``words`` words of the fingerprints."""
+    low, high = 64 * k // words, 64 * (k + 1) // words
+    return (fps >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+
+
+class Shard:
+    """Fingerprints of a shard, the word its tree is about, and the links found."""
+
+    def __init__(self, fps: np.ndarray, words: np.ndarray, signs: np.ndarray | None, radius: int, limit: int):
+        self.fps, self.words, self.signs, self.radius, self.limit = fps, words, signs, radius, limit
+        self.found = Forest(len(fps))
+
+    def search(self, live: np.ndarray, other: np.ndarray, levels: int = 5) -> None:
+        """Unite every resident in ``live`` with its neighbours in ``other`` (positions) whose words are near too."""
+        if levels and len(live) > 32 and len(live) * len(other) > BLOCK // 16:
+            center = self.words[live[len(live) // 2]]
+            a = np.bitwise_count(self.words[live] ^ center)
+            b = np.bitwise_count(self.words[other] ^ center).astype(np.int64)
+            order = np.argsort(b, kind="stable")
+            b, other = b[order], other[order]
+            for ring in np.unique(a):
+                lo, hi = np.searchsorted(b, (int(ring) - 1, int(ring) + 2))
+                if hi > lo:
+                    self.search(live[a == ring], other[lo:hi], levels - 1)
+            return
+        step = max(1, BLOCK // max(1, len(other)))
+        right = self.fps[other]
+        for k in range(0, len(live), step):
+            x, y = np.nonzero(np.bitwise_count(self.fps[live[k : k + step], None] ^ right[None, :]) <= self.radius)
+            x, y = live[k + x], other[y]
+            for part in range(0, len(x), BLOCK):
+                self.link(x[part : part + BLOCK], y[part : part + BLOCK])
+
+    def link(self, x: np.ndarray, y: np.ndarray) -> None:
         apart = x != y
-        found.unite(x[apart], y[apart])
+        x, y = x[apart], y[apart]
+        if self.signs is not None and len(x):
+            open_ = self.found.root(x) != self.found.root(y)
+            x, y = x[open_], y[open_]
+            near = np.bitwise_count(self.signs[x] ^ self.signs[y]).sum(axis=1) <= self.limit
+            x, y = x[near], y[near]
+        self.found.unite(x, y)
+
 
+def fingerprint_links(rows: DataFrame, radius: int, limit: int | None = None) -> DataFrame:
+    """Spanning edges ``(a, b)`` over the nodes of rows ``(node, fp, signature if there is a limit)``.
 
-def fingerprint_links(fps: DataFrame, radius: int) -> DataFrame:
-    """Spanning edges ``(a, b)`` over the distinct fingerprints ``fp``: connected as all pairs within ``radius`` are."""
-    n = fps.count()
+    Nodes are connected as all pairs within ``radius``, and within ``limit`` by signature, connect them.
+    """
+    n = rows.count()
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(n, 1) / SHARD)))))
     every = max(1, n // (SAMPLE << depth))
-    rows = fps.filter(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).toPandas()["fp"] if depth else []
-    sample = np.sort(np.array(rows, np.int64)).view(np.uint64)
-    trees = [Tree(band(sample, k), depth, radius // BANDS) for k in range(BANDS)]
+    drawn = rows.filter(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp").toPandas()["fp"] if depth else []
+    sample = np.sort(np.array(drawn, np.int64)).view(np.uint64)
+    words = radius // 2 + 1
+    trees = [Tree(word_of(sample, k, words), depth) for k in range(words)]
+    names = ["node", "fp", *(SIGNS if limit is not None else [])]
 
     def route(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keys = b["fp"].to_numpy(np.int64).view(np.uint64)
             for k, tree in enumerate(trees):
-                for shard, live, come in tree.route(band(keys, k)):
-                    at = np.concatenate([live, come])
-                    home = np.arange(len(at)) < len(live)
-                    yield pd.DataFrame({"shard": np.int32((k << depth) + shard), "fp": keys[at].view(np.int64), "home": home})
+                for shard, live, come in tree.route(word_of(keys, k, words)):
+                    sent = b.iloc[np.concatenate([live, come])].copy()
+                    sent.insert(0, "shard", np.int32((k << depth) + shard))
+                    sent["home"] = np.arange(len(sent)) < len(live)
+                    yield sent
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
         keys = group["fp"].to_numpy(np.int64).view(np.uint64)
+        own = word_of(keys, int(group["shard"].iloc[0]) >> depth, words)
+        signs = group[SIGNS].to_numpy(np.int64).view(np.uint64) if limit is not None else None
+        shard = Shard(keys, own, signs, radius, limit or 0)
         home = group["home"].to_numpy(bool)
-        words = band(keys, int(group["shard"].iloc[0]) >> depth)
         live, come = np.flatnonzero(home), np.flatnonzero(~home)
-        found = Forest(len(keys))
-        search(keys, words, live, live, radius, found)
-        search(keys, words, live, come, radius, found)
-        top = found.root(np.arange(len(keys)))
+        shard.search(live, live)
+        shard.search(live, come)
+        top = shard.found.root(np.arange(len(keys)))
         moved = np.flatnonzero(top != np.arange(len(keys)))
-        return pd.DataFrame({"a": keys[moved].view(np.int64), "b": keys[top[moved]].view(np.int64)})
+        nodes = group["node"].to_numpy(np.int64)
+        return pd.DataFrame({"a": nodes[moved], "b": nodes[top[moved]]})
 
-    return fps.mapInPandas(route, "shard int, fp long, home boolean").groupBy("shard").applyInPandas(link, "a long, b long")
+    kinds = "shard int, " + ", ".join(f"{c} long" for c in names) + ", home boolean"
+    return rows.select(*names).mapInPandas(route, kinds).groupBy("shard").applyInPandas(link, "a long, b long")
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 4,
+    radius: int = 4,
+    similarity: float | None = None,
 ) -> DataFrame:
-    """``(id, fingerprint, component_id)`` for every row; the component is named by its smallest id."""
-    marks = stage(with_fingerprints(docs, id_col, text_col, words), "fingerprints")
-    each = stage(marks.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    groups = connected_components(fingerprint_links(each.select("fp"), radius), "a", "b")
-    named = each.join(groups.withColumnRenamed("node", "fp"), "fp", "left")
-    named = named.withColumn("root", F.coalesce("component", "fp")).select("fp", "root", "least")
+    """``(id, fingerprint, component_id)`` for every row; the component is named by its smallest id.
+
+    With a ``similarity``, pairs link by the Jaccard similarity of their shingles of ``words`` words, as their
+    signatures tell it, and ``radius`` is that of the sets of words.
+    """
+    marks = stage(with_fingerprints(docs, id_col, text_col, words, similarity), "fingerprints")
+    keys = [c for c in marks.columns if c != "id"]
+    node = F.col("fp") if similarity is None else F.xxhash64(*keys)
+    each = stage(marks.groupBy(*keys).agg(F.min("id").alias("least")).withColumn("node", node), "distinct")
+    limit = None if similarity is None else signature_limit(similarity)
+    groups = connected_components(fingerprint_links(each, radius, limit), "a", "b")
+    named = each.select("node", "least").join(groups, "node", "left")
+    named = named.withColumn("root", F.coalesce("component", "node")).select("node", "root", "least")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = stage(named.join(least, "root").select("fp", "component_id"), "components")
-    return marks.join(names, "fp").select(
+    names = stage(named.join(least, "root").select("node", "component_id"), "components")
+    return marks.withColumn("node", node).join(names, "node").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows of ``docs``, one a component: that of its smallest id. Rows without an id cannot be told apart and stay."""
-    found = near_duplicates(docs, id_col, text_col, words, radius)
+    found = near_duplicates(docs, id_col, text_col, words, WORD_RADIUS, similarity)
     keep = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
     known = docs.filter(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("__id"), "left_semi")
     return known.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
