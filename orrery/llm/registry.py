@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from orrery.llm.embeddings import op8_embeddings
 from orrery.llm.fertility import op5_fertility
 from orrery.llm.id_files import op10_id_files
@@ -17,12 +19,24 @@ from orrery.llm.toxicity import op9_toxicity
 from orrery.llm.url_rules import op4_url_filters
 from orrery.llm.weak_labels import op2_weak_labels
 
-QUERIES = [op1_simhash, op2_weak_labels, op3_packing, op4_url_filters, op5_fertility, op6_secrets, op7_mixing, op8_embeddings, op9_toxicity, op10_id_files]
+QUERIES = [
+    corpus_pipeline.run,
+    op1_simhash,
+    op2_weak_labels,
+    op3_packing,
+    op4_url_filters,
+    op5_fertility,
+    op6_secrets,
+    op7_mixing,
+    op8_embeddings,
+    op9_toxicity,
+    op10_id_files,
+]
 SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    return {"pipeline" if f is corpus_pipeline.run else f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
