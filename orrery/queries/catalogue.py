@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from orrery.queries import relational  # noqa: F401
+from orrery.queries import relational, textual  # noqa: F401
