@@ -20,8 +20,11 @@ any ball's edge at radius 4.
 Sixty-four bits of shingles cannot tell a similarity of 0.8: such pairs differ
 in ten bits, give or take three.  Where a similarity is asked for, the trees
 search fingerprints of the sets of words, which change far less than shingles
-do, within ``WORD_RADIUS`` bits; a pair then links if its ``SIGNATURE * 64``-bit
-SimHashes of shingles are no further apart than that similarity makes them.
+do, within ``WORD_RADIUS`` bits; a pair is a candidate if its ``SIGNATURE * 64``-bit
+SimHashes of shingles are no further apart than that similarity makes them.  Of
+the candidates a shard returns a minimum spanning forest by signature distance,
+which joins at every distance what all pairs join; its edges are then checked
+exactly, on the shingles of the two texts.
 
 The trees themselves are built on the driver from a bounded sample of fingerprints
 (``SAMPLE`` a shard, at most ``2 ** MAX_DEPTH`` shards a tree); the sample only shapes
@@ -51,7 +54,7 @@ SAMPLE = 64
 MAX_DEPTH = 12
 WORD_RADIUS = 9
 SIGNATURE = 4
-SLACK = 1.25  # standard deviations of a signature's distance
+SLACK = 2.0  # standard deviations of a signature's distance
 SEED = 42
 BLOCK = 1 << 21
 CHUNK = 1 << 15
@@ -191,6 +194,22 @@ class Forest:
                 return r
             r = nxt
 
+    def spanning(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Unite pairs from light to heavy; which of them were needed."""
+        used = []
+        for level in np.unique(weight):
+            left = np.flatnonzero(weight == level)
+            while True:
+                a, b = self.root(x[left]), self.root(y[left])
+                open_ = a != b
+                if not open_.any():
+                    break
+                left, a, b = left[open_], a[open_], b[open_]
+                high, first = np.unique(np.maximum(a, b), return_index=True)  # each root is hung once, under a smaller one
+                self.up[high] = np.minimum(a, b)[first]
+                used.append(left[first])
+        return np.concatenate(used) if used else np.zeros(0, np.int64)
+
     def unite(self, x: np.ndarray, y: np.ndarray) -> None:
         while len(x):
             a, b = self.root(x), self.root(y)
@@ -213,6 +232,8 @@ class Shard:
     def __init__(self, fps: np.ndarray, words: np.ndarray, signs: np.ndarray | None, radius: int, limit: int):
         self.fps, self.words, self.signs, self.radius, self.limit = fps, words, signs, radius, limit
         self.found = Forest(len(fps))
+        self.edges = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def search(self, live: np.ndarray, other: np.ndarray, levels: int = 5) -> None:
         """Unite every resident in ``live`` with its neighbours in ``other`` (positions) whose words are near too."""
@@ -238,12 +259,30 @@ class Shard:
     def link(self, x: np.ndarray, y: np.ndarray) -> None:
         apart = x != y
         x, y = x[apart], y[apart]
-        if self.signs is not None and len(x):
-            open_ = self.found.root(x) != self.found.root(y)
-            x, y = x[open_], y[open_]
-            near = np.bitwise_count(self.signs[x] ^ self.signs[y]).sum(axis=1) <= self.limit
-            x, y = x[near], y[near]
-        self.found.unite(x, y)
+        if self.signs is None:
+            self.found.unite(x, y)
+            return
+        far = np.bitwise_count(self.signs[x] ^ self.signs[y]).sum(axis=1, dtype=np.int64)
+        near = far <= self.limit
+        if near.any():
+            self.fresh.append((x[near], y[near], far[near]))
+            if sum(len(f[0]) for f in self.fresh) > BLOCK:
+                self._span()
+
+    def _span(self) -> None:
+        """Keep the minimum spanning forest of the edges so far."""
+        x, y, far = (np.concatenate(c) for c in zip(self.edges, *self.fresh, strict=True))
+        used = Forest(len(self.fps)).spanning(x, y, far)
+        self.edges, self.fresh = (x[used], y[used], far[used]), []
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        """Edges (positions) of a spanning forest of the links."""
+        if self.signs is not None:
+            self._span()
+            return self.edges[0], self.edges[1]
+        every = np.arange(len(self.fps))
+        top = self.found.root(every)
+        return every[top != every], top[top != every]
 
 
 def fingerprint_links(rows: DataFrame, radius: int, limit: int | None = None) -> DataFrame:
@@ -279,15 +318,35 @@ def fingerprint_links(rows: DataFrame, radius: int, limit: int | None = None) ->
         live, come = np.flatnonzero(home), np.flatnonzero(~home)
         shard.search(live, live)
         shard.search(live, come)
-        top = shard.found.root(np.arange(len(keys)))
-        moved = np.flatnonzero(top != np.arange(len(keys)))
+        a, b = shard.forest()
         nodes = group["node"].to_numpy(np.int64)
-        return pd.DataFrame({"a": nodes[moved], "b": nodes[top[moved]]})
+        return pd.DataFrame({"a": nodes[a], "b": nodes[b]})
 
     kinds = "shard int, " + ", ".join(f"{c} long" for c in names) + ", home boolean"
     return rows.select(*names).mapInPandas(route, kinds).groupBy("shard").applyInPandas(link, "a long, b long")
 
 
+def check_links(
+    links: DataFrame, each: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float
+) -> DataFrame:
+    """The links whose texts' sets of shingles have at least this Jaccard similarity."""
+    links = stage(links.distinct(), "candidates")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = stage(each.join(ends, "node").select("node", F.col("least").alias("id")).filter("id is not null"), "wanted")
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [np.unique(shingle_hashes(word_list(t), words)).view(np.int64) for t in b["text"]]
+            yield pd.DataFrame({"node": b["node"], "shingles": found})
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
+    sets = texts.mapInPandas(run, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("s"))
+    sets = stage(sets, "shingles")
+    left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in ("a", "b"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return links.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -298,15 +357,18 @@ def near_duplicates(
 ) -> DataFrame:
     """``(id, fingerprint, component_id)`` for every row; the component is named by its smallest id.
 
-    With a ``similarity``, pairs link by the Jaccard similarity of their shingles of ``words`` words, as their
-    signatures tell it, and ``radius`` is that of the sets of words.
+    With a ``similarity``, pairs link by the Jaccard similarity of their sets of shingles of ``words`` words, and
+    ``radius`` is that of the fingerprints of their sets of words.
     """
     marks = stage(with_fingerprints(docs, id_col, text_col, words, similarity), "fingerprints")
     keys = [c for c in marks.columns if c != "id"]
     node = F.col("fp") if similarity is None else F.xxhash64(*keys)
     each = stage(marks.groupBy(*keys).agg(F.min("id").alias("least")).withColumn("node", node), "distinct")
     limit = None if similarity is None else signature_limit(similarity)
-    groups = connected_components(fingerprint_links(each, radius, limit), "a", "b")
+    links = fingerprint_links(each, radius, limit)
+    if similarity is not None:
+        links = check_links(links, each, docs, id_col, text_col, words, similarity)
+    groups = connected_components(links, "a", "b")
     named = each.select("node", "least").join(groups, "node", "left")
     named = named.withColumn("root", F.coalesce("component", "node")).select("node", "root", "least")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
