@@ -30,21 +30,21 @@ def knn(vectors: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     rows, n = _tiles(vectors, key, vector)
     other = F.sequence(F.lit(0), F.lit(n - 1))
     queries = rows.withColumn("b", F.explode(other)).select("id", "v", F.col("tile").alias("a"), "b")
-    corpus = rows.withColumn("a", F.explode(other)).select("id", "v", "a", F.col("tile").alias("b"))
+    corpus = rows.withColumn("a", F.explode(other)).select(F.col("id").alias("other"), F.col("v").alias("w"), "a", F.col("tile").alias("b"))
 
     def top(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
             return pd.DataFrame({"id": [], "neighbor": [], "similarity": []})
-        ids, others = q["id"].to_numpy(), c["id"].to_numpy()
-        sims = np.round(_unit(q["v"]) @ _unit(c["v"]).T, 9)
+        ids, others = q["id"].to_numpy(), c["other"].to_numpy()
+        sims = _unit(q["v"]) @ _unit(c["w"]).T
         sims[ids[:, None] == others[None, :]] = -2
-        order = np.lexsort((np.broadcast_to(others, sims.shape), -sims), axis=1)[:, :k]
+        order = np.lexsort((np.broadcast_to(others, sims.shape), -np.round(sims, 9)), axis=1)[:, :k]  # sums differ in the last digits
         at = np.repeat(np.arange(len(ids)), order.shape[1])
         found = pd.DataFrame({"id": ids[at], "neighbor": others[order.ravel()], "similarity": sims[at, order.ravel()]})
         return found[found["similarity"] > -2]
 
     near = queries.groupBy("a", "b").cogroup(corpus.groupBy("a", "b")).applyInPandas(top, "id long, neighbor long, similarity double")
-    best = W.partitionBy("id").orderBy(F.desc("similarity"), "neighbor")
+    best = W.partitionBy("id").orderBy(F.desc(F.round("similarity", 9)), "neighbor")
     return near.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
 
 
