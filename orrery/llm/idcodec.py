@@ -9,7 +9,9 @@ The model mixes three predictions of the next id: order 2 and order 1 (the id
 that last followed the same two ids, or one id, with a confidence) and order 0
 (counts of ids, turned into frequencies at geometric intervals).  The first two
 get the share of the range that their confidence has earned so far in this
-block; order 0 gets the rest, and is never left without.
+block; order 0 gets the rest, and is never left without.  The shares of order 2
+and order 1 lie before that of order 0, so an id is found without a search; an
+id that both could code takes the first.
 """
 
 from __future__ import annotations
@@ -20,17 +22,21 @@ import zlib
 import numpy as np
 
 STEPS = 256
-BLOCK_IDS = 1 << 20
-MAGIC = b"OIB1"
+BLOCK_IDS = 1 << 21
+MAGIC = b"OIB2"
 HEAD = "<4sIIQII"
 HEAD_SIZE = struct.calcsize(HEAD)
 TOTAL_BITS, MIX_BITS = 20, 8
 TOTAL, MIX = 1 << TOTAL_BITS, 1 << MIX_BITS
 RANGE_BITS = TOTAL_BITS + MIX_BITS
-TABLE_BITS = 20
+TABLE_BITS = 18
 CONFIDENCE = 8
+COUNT_EVERY = 4  # steps between counts of how the predictions do
 U = np.uint64
-LOW_FLOOR, TOP = U(1 << 40), U(1 << 48)
+WORD = U(32)
+FLOOR = U(1 << 32)
+#: Confidence after a miss (first half) and after a hit.
+NEXT_CONFIDENCE = np.array([*(max(c - 1, 0) for c in range(CONFIDENCE)), *(min(c + 1, CONFIDENCE - 1) for c in range(CONFIDENCE))], np.int32)
 
 
 class Model:
@@ -45,12 +51,11 @@ class Model:
         self.fresh: list[np.ndarray] = []
         self.steps = 0
         self.due = 1
-        self.next1 = np.full(vocab + 1, -1, np.int32)
-        self.sure1 = np.zeros(vocab + 1, np.int8)
-        self.next2 = np.full(1 << TABLE_BITS, -1, np.int32)
-        self.sure2 = np.zeros(1 << TABLE_BITS, np.int8)
+        self.after1 = np.zeros(vocab + 1, np.int32)  # id that followed and 1, times CONFIDENCE, and the confidence
+        self.after2 = np.zeros(1 << TABLE_BITS, np.int32)
         self.hits = np.full((2, CONFIDENCE), 0.5)
         self.tries = np.full((2, CONFIDENCE), 2.0)
+        self.share = (self.hits / self.tries * (MIX - 2)).astype(np.int32)
         self._refresh()
 
     def _refresh(self) -> None:
@@ -62,57 +67,51 @@ class Model:
         seen = int(self.counts.sum())
         freq = 1 + (self.counts * spare // seen if seen else np.full(self.vocab, spare // self.vocab))
         freq[0] += TOTAL - freq.sum()
-        self.cum = np.concatenate([[0], np.cumsum(freq)])
+        self.cum = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.int32)
+        self.freq = freq.astype(np.int32)
         self.of = np.repeat(np.arange(self.vocab, dtype=np.int32), freq) if self.decoding else None
 
     def predict(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Set the lanes' predictions: ``p, m`` by order (row 0: order 2), ``m0`` for order 0. a, b: ids two and one back."""
+        """Set the lanes' predictions and shares. a, b: ids two and one back."""
         self.slot = ((a * 0x9E3779B1 + b * 0x85EBCA6B) >> 7) & ((1 << TABLE_BITS) - 1)
         self.b = b
-        p2, p1 = self.next2[self.slot], self.next1[b]
-        self.c2, self.c1 = self.sure2[self.slot], self.sure1[b]
-        self.share = (self.hits / self.tries * (MIX - 2)).astype(np.int64)
-        m2 = self.share[0][self.c2] * (p2 >= 0)
-        self.ask1 = (p1 >= 0) & (p1 != p2)
-        m1 = ((MIX - m2) * self.share[1][self.c1] >> MIX_BITS) * self.ask1
-        self.p2, self.p1, self.m0 = p2, p1, MIX - m2 - m1
-        self.w2, self.w1 = m2 << TOTAL_BITS, m1 << TOTAL_BITS
+        e2, e1 = self.after2.take(self.slot), self.after1.take(b)
+        self.p2, self.p1 = (e2 >> 3) - 1, (e1 >> 3) - 1
+        self.c2, self.c1 = e2 & 7, e1 & 7
+        m2 = self.share[0].take(self.c2) * (self.p2 >= 0)
+        self.ask1 = (self.p1 >= 0) & (self.p1 != self.p2)
+        m1 = ((MIX - m2) * self.share[1].take(self.c1) >> MIX_BITS) * self.ask1
+        self.m0 = MIX - m2 - m1
+        self.w2 = m2 << TOTAL_BITS
+        self.w1 = m1 << TOTAL_BITS
+        self.w = self.w2 + self.w1
 
     def interval(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of the ids ``s`` in the mixture."""
-        at = self.cum[s]
-        start = self.m0 * at + self.w2 * (self.p2 < s) + self.w1 * (self.p1 < s)
-        width = self.m0 * (self.cum[s + 1] - at) + self.w2 * (self.p2 == s) + self.w1 * (self.p1 == s)
+        """Start and width of the ids ``s``."""
+        self.hit2 = (self.p2 == s) & (self.w2 > 0)
+        self.hit1 = (self.p1 == s) & (self.w1 > 0)
+        start = np.where(self.hit2, 0, np.where(self.hit1, self.w2, self.w + self.m0 * self.cum.take(s)))
+        width = np.where(self.hit2, self.w2, np.where(self.hit1, self.w1, self.m0 * self.freq.take(s)))
         return start, width
 
     def symbol(self, x: np.ndarray) -> np.ndarray:
         """The ids whose intervals hold ``x``."""
-        w2, w1 = self.w2, self.w1
-        swap = self.p1 < self.p2
-        q, r = np.where(swap, self.p1, self.p2), np.where(swap, self.p2, self.p1)
-        wq, wr = np.where(swap, w1, w2), np.where(swap, w2, w1)
-        # a missing prediction has weight 0 and id -1: its interval is empty at the start
-        q_at, r_at = np.maximum(q, 0), np.maximum(r, 0)
-        q0, q1 = self.m0 * self.cum[q_at], self.m0 * self.cum[q_at + 1] + wq
-        in_q = (wq > 0) & (x >= q0) & (x < q1)
-        y = np.where((wq > 0) & (x >= q1), x - wq, x)
-        r0, r1 = self.m0 * self.cum[r_at], self.m0 * self.cum[r_at + 1] + wr
-        in_r = (wr > 0) & (y >= r0) & (y < r1) & ~in_q
-        y = np.where((wr > 0) & (y >= r1), y - wr, y)
-        plain = ~(in_q | in_r)
-        found = self.of[np.where(plain, y, 0) // self.m0]
-        return np.where(in_q, q, np.where(in_r, r, found))
+        plain = self.of.take(np.maximum(x - self.w, 0) // self.m0)
+        return np.where(x < self.w2, self.p2, np.where(x < self.w, self.p1, plain)).astype(np.int64)
 
     def learn(self, s: np.ndarray) -> None:
+        s32 = s.astype(np.int32) + 1
         hit2, hit1 = self.p2 == s, self.p1 == s
-        ask = ((self.p2 >= 0, hit2), (self.ask1 & ~hit2, hit1))  # order 1 is asked where order 2 has failed
-        for k, (c, (ok, hit)) in enumerate(zip((self.c2, self.c1), ask, strict=True)):
-            self.tries[k] += np.bincount(c[ok], minlength=CONFIDENCE)
-            self.hits[k] += np.bincount(c[ok & hit], minlength=CONFIDENCE)
-        tables = ((self.next2, self.sure2, self.slot, self.p2, self.c2, hit2), (self.next1, self.sure1, self.b, self.p1, self.c1, hit1))
-        for nxt, sure, at, p, c, hit in tables:
-            nxt[at] = np.where(hit | (c > 0), p, s)  # of lanes with one context the last counts
-            sure[at] = np.clip(c + np.where(hit, np.int8(1), np.int8(-1)), 0, CONFIDENCE - 1)
+        if self.steps % COUNT_EVERY == 0:
+            ask = ((self.p2 >= 0, hit2), (self.ask1 & ~hit2, hit1))  # order 1 is asked where order 2 has failed
+            for k, (c, (ok, hit)) in enumerate(zip((self.c2, self.c1), ask, strict=True)):
+                self.tries[k] += np.bincount(c[ok], minlength=CONFIDENCE)
+                self.hits[k] += np.bincount(c[ok & hit], minlength=CONFIDENCE)
+            self.share = (self.hits / self.tries * (MIX - 2)).astype(np.int32)
+        tables = ((self.after2, self.slot, self.p2, self.c2, hit2), (self.after1, self.b, self.p1, self.c1, hit1))
+        for after, at, p, c, hit in tables:
+            sure = NEXT_CONFIDENCE.take(c + (hit.view(np.int8) << 3))
+            after[at] = np.where(hit | (c > 0), p + 1, s32) << 3 | sure  # of lanes with one context the last counts
         self.fresh.append(s)
         self.steps += 1
         if self.steps == self.due:
@@ -120,6 +119,18 @@ class Model:
             self.due += max(1, self.due // 3)
 
 
+def _settled(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Lanes whose upper word is settled, or whose span is so short that it has to be."""
+    return np.flatnonzero(((low ^ (low + span)) < FLOOR) | (span < FLOOR))
+
+
+def _shifted(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Low and span after their upper word is gone; a short span is cut where that word would change."""
+    cut = (low ^ (low + span)) >= FLOOR
+    span = np.where(cut, (~low + U(1)) & (FLOOR - U(1)), span)
+    return low << WORD, span << WORD
+
+
 def encode_ids(ids: np.ndarray, vocab: int) -> bytes:
     """Lanes' word counts, then their words."""
     n = len(ids)
@@ -142,36 +153,28 @@ def encode_ids(ids: np.ndarray, vocab: int) -> bytes:
         unit = span[:k] >> U(RANGE_BITS)
         low[:k] += start.astype(U) * unit
         span[:k] = width.astype(U) * unit
-        live = np.arange(k)
+        live = _settled(low[:k], span[:k])
         while len(live):
-            lo, sp = low[live], span[live]
-            same = (lo ^ (lo + sp)) < TOP
-            tight = ~same & (sp < LOW_FLOOR)
-            live = live[same | tight]
-            if not len(live):
-                break
-            lo, sp = low[live], span[live]
-            sp = np.where(tight[same | tight], (~lo + U(1)) & (LOW_FLOOR - U(1)), sp)
+            lo = low[live]
             out_lane.append(live)
-            out_word.append((lo >> U(48)).astype(np.uint16))
-            low[live], span[live] = lo << U(16), sp << U(16)
+            out_word.append((lo >> WORD).astype(np.uint32))
+            low[live], span[live] = _shifted(lo, span[live])
+            live = live[_settled(low[live], span[live])]
         model.learn(s)
         a, b = b, np.concatenate([s, b[k:]])
-    end = (low + LOW_FLOOR - U(1)) >> U(40) << U(40)
-    for shift in (48, 32):
-        out_lane.append(np.arange(lanes))
-        out_word.append((end >> U(shift)).astype(np.uint16))
+    out_lane.append(np.arange(lanes))
+    out_word.append(((low + FLOOR - U(1)) >> WORD).astype(np.uint32))  # the span is at least FLOOR: one word ends a lane
     lane, word = np.concatenate(out_lane), np.concatenate(out_word)
     order = np.argsort(lane.astype(np.uint16 if lanes < 1 << 16 else np.int64), kind="stable")
-    return np.bincount(lane, minlength=lanes).astype("<u4").tobytes() + word[order].astype("<u2").tobytes()
+    return np.bincount(lane, minlength=lanes).astype("<u2").tobytes() + word[order].astype("<u4").tobytes()
 
 
 def decode_ids(data: bytes, n: int, vocab: int) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     lanes = -(-n // STEPS)
-    size = np.frombuffer(data, "<u4", lanes).astype(np.int64)
-    words = np.concatenate([np.frombuffer(data, "<u2", offset=4 * lanes).astype(np.uint64), np.zeros(4, np.uint64)])
+    size = np.frombuffer(data, "<u2", lanes).astype(np.int64)
+    words = np.concatenate([np.frombuffer(data, "<u4", offset=2 * lanes).astype(np.uint64), np.zeros(2, np.uint64)])
     ends = np.cumsum(size)
     at = ends - size
 
@@ -182,8 +185,8 @@ def decode_ids(data: bytes, n: int, vocab: int) -> np.ndarray:
 
     every = np.arange(lanes)
     code = np.zeros(lanes, U)
-    for _ in range(4):
-        code = code << U(16) | take(every)
+    for _ in range(2):
+        code = code << WORD | take(every)
     last = n - (lanes - 1) * STEPS
     grid = np.zeros((STEPS, lanes), np.int64)
     model = Model(vocab, decoding=True)
@@ -193,23 +196,16 @@ def decode_ids(data: bytes, n: int, vocab: int) -> np.ndarray:
         k = lanes if t < last else lanes - 1
         model.predict(a[:k], b[:k])
         unit = span[:k] >> U(RANGE_BITS)
-        x = np.minimum((code[:k] - low[:k]) // unit, U((1 << RANGE_BITS) - 1)).astype(np.int64)
+        x = np.minimum((code[:k] - low[:k]) // unit, U((1 << RANGE_BITS) - 1)).astype(np.int32)
         s = model.symbol(x)
         start, width = model.interval(s)
         low[:k] += start.astype(U) * unit
         span[:k] = width.astype(U) * unit
-        live = np.arange(k)
+        live = _settled(low[:k], span[:k])
         while len(live):
-            lo, sp = low[live], span[live]
-            same = (lo ^ (lo + sp)) < TOP
-            tight = ~same & (sp < LOW_FLOOR)
-            live = live[same | tight]
-            if not len(live):
-                break
-            lo, sp = low[live], span[live]
-            sp = np.where(tight[same | tight], (~lo + U(1)) & (LOW_FLOOR - U(1)), sp)
-            low[live], span[live] = lo << U(16), sp << U(16)
-            code[live] = code[live] << U(16) | take(live)
+            low[live], span[live] = _shifted(low[live], span[live])
+            code[live] = code[live] << WORD | take(live)
+            live = live[_settled(low[live], span[live])]
         model.learn(s)
         grid[t, :k] = s
         a, b = b, np.concatenate([s, b[k:]])

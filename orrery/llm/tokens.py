@@ -19,7 +19,7 @@ from orrery.workers import per_worker
 # White space as Unicode defines it; Python's \s also takes four control characters.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Words a worker keeps; all are dropped when there are more.
-KEEP = 800_000
+KEEP = 1_200_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
@@ -69,10 +69,14 @@ class WordEncoder:
 
     def _letters(self, word: str) -> list[int]:
         """Ids of a word of plain letters: one piece for the model, no normaliser or splitter needed."""
-        named = (word if self.spaced else word.lower()).encode().decode("latin-1").translate(self.bytes)
+        named = word if self.spaced else word.lower()
+        if not named.isascii() or named[0] == " ":  # letters of ASCII name themselves
+            named = named.encode().decode("latin-1").translate(self.bytes)
         return [t.id for t in self.model.tokenize(named)]
 
     def _encode(self, word: str) -> list[int]:
+        if word.isascii() and word.isalpha():
+            return self._letters(word)
         m = self.plain(word)
         if m is None:
             return self.whole.encode(word, add_special_tokens=False).ids
@@ -111,10 +115,10 @@ class WordEncoder:
         if len(self.index) > self.keep:
             self._reset()
         at = self._positions(text or "")
-        size = self.count[at]
+        size = self.count.take(at)
         ends = np.cumsum(size, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(total)]
+        return self.flat.take(np.repeat(self.start.take(at) - ends + size, size) + np.arange(total))
 
     def _positions(self, text: str) -> np.ndarray:
         """Positions of the text's words in the cache.
