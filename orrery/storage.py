@@ -12,14 +12,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orrery.workers import per_worker
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder shared by driver and executors; a temporary one only where none is set."""
+    """Folder shared by driver and executors; a temporary one, of this process, only where none is set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='orrery-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    return (where or per_worker("local shared folder", lambda: f"file://{tempfile.mkdtemp(prefix='orrery-')}")).rstrip("/")
 
 
 def table_path(spark: SparkSession, name: str) -> str:
