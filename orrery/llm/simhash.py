@@ -2,11 +2,10 @@
 
 Equal fingerprints collapse first, so copies cost one row.  Fingerprints that
 differ in at most ``radius`` of 64 bits differ in at most one bit of one of
-``radius // 2 + 1`` words, so there is one tree a word, with radius one.
-A vantage-point tree splits the distinct fingerprints into
-shards by the Hamming distance of that word: inside a ball around the vantage
-point, or outside.  A fingerprint lives in one shard of each tree and is also
-sent, as a visitor, to every shard inside a ball that it lies outside of by no
+``radius // 2 + 1`` words, so there is one tree a word, with radius one.  A
+vantage-point tree splits the distinct fingerprints into shards by the Hamming
+distance of that word: inside a ball around the vantage point, or outside.  A
+fingerprint lives in one shard of each tree and is also sent, as a visitor, to every shard inside a ball that it lies outside of by no
 more than the radius; by the triangle inequality no other shard can hold a
 neighbour.  A shard searches its residents by rings around further vantage
 points, again pruned by the triangle inequality, and compares what is left on
@@ -24,7 +23,9 @@ do, within ``WORD_RADIUS`` bits; a pair is a candidate if its ``SIGNATURE * 64``
 SimHashes of shingles are no further apart than that similarity makes them.  Of
 the candidates a shard returns a minimum spanning forest by signature distance,
 which joins at every distance what all pairs join; its edges are then checked
-exactly, on the shingles of the two texts.
+exactly, on the shingles of the two texts.  No pair below the similarity links;
+pairs above it whose word sets differ more than the radius can be missed (the
+README has the measured share), while links by radius alone are exact.
 
 The trees themselves are built on the driver from a bounded sample of fingerprints
 (``SAMPLE`` a shard, at most ``2 ** MAX_DEPTH`` shards a tree); the sample only shapes
