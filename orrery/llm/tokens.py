@@ -74,18 +74,28 @@ class WordEncoder:
             named = named.encode().decode("latin-1").translate(self.bytes)
         return [t.id for t in self.model.tokenize(named)]
 
+    def _core(self, core: str) -> list[int]:
+        """Ids of a word of plain letters, from the cache if it has them under the form without mark or capital."""
+        if self.spaced and core[0] != " ":
+            return self._letters(core)  # kept under a key of its own, and rare
+        k = self.index.get(core[1:] if self.spaced else core.lower(), self.known)
+        if k < self.known:
+            start = self.start[k]
+            return self.flat[start : start + self.count[k]].tolist()
+        return self._letters(core)
+
     def _encode(self, word: str) -> list[int]:
         if word.isascii() and word.isalpha():
-            return self._letters(word)
+            return self._core(word)
         m = self.plain(word)
         if m is None:
             return self.whole.encode(word, add_special_tokens=False).ids
         core, mark = m.groups()
         if not mark:
-            return self._letters(core)
+            return self._core(core)
         if mark not in self.marks:
             self.marks[mark] = self.whole.encode(mark, add_special_tokens=False).ids
-        return self._letters(core) + self.marks[mark]
+        return self._core(core) + self.marks[mark]
 
     def _learn(self) -> None:
         fresh = self.index.fresh
