@@ -22,10 +22,18 @@ search fingerprints of the sets of words, which change far less than shingles
 do, within ``WORD_RADIUS`` bits; a pair is a candidate if its ``SIGNATURE * 64``-bit
 SimHashes of shingles are no further apart than that similarity makes them.  Of
 the candidates a shard returns a minimum spanning forest by signature distance,
-which joins at every distance what all pairs join; its edges are then checked
-exactly, on the shingles of the two texts.  No pair below the similarity links;
-pairs above it whose word sets differ more than the radius can be missed (the
-README has the measured share), while links by radius alone are exact.
+which joins at every distance by signature what all pairs join; its edges are
+then checked exactly, on the shingles of the two texts.
+
+That search is quick but loses pairs: word sets may differ more than the radius,
+and a forest's edge that fails the check may stand in place of one that holds.
+So a prefix join follows, which loses none.  Two sets of the similarity share one
+of their first ``n - ceil(similarity * n) + 1`` shingles in any common order; the
+order is rare before frequent (counted on a sample, which changes no result).
+Pairs that share such a shingle, are not in one component yet, and may still
+reach the similarity by their sizes, the shingle's places in both prefixes and
+the parities of their sets are checked exactly too.  Links are then all pairs of
+the similarity, up to what connects them; links by radius alone are exact as well.
 
 The trees themselves are built on the driver from a bounded sample of fingerprints
 (``SAMPLE`` a shard, at most ``2 ** MAX_DEPTH`` shards a tree); the sample only shapes
@@ -56,6 +64,10 @@ MAX_DEPTH = 12
 WORD_RADIUS = 9
 SIGNATURE = 4
 SLACK = 2.0  # standard deviations of a signature's distance
+COUNTED = 20_000  # documents on which the frequency of shingles is counted
+FREQUENT = 1 << 16  # shingles at most whose frequency orders prefixes
+BUCKET = 1 << 18  # prefix rows of a group
+WIDE = 64  # rows that share a shingle, beyond which the largest component's are not paired with each other
 SEED = 42
 BLOCK = 1 << 21
 CHUNK = 1 << 15
@@ -123,8 +135,13 @@ def signature_limit(similarity: float) -> int:
 SIGNS = [f"s{k}" for k in range(SIGNATURE)]
 
 
+def set_node(hashes: np.ndarray) -> int:
+    """Name of a set of shingles, as a signed integer; zero for the empty set."""
+    return int(np.array(xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED), np.uint64).view(np.int64)) if len(hashes) else 0
+
+
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float | None) -> DataFrame:
-    """``(id, fp)`` for every row; with a similarity, of the set of words, and a signature of shingles."""
+    """``(id, fp)`` for every row; with a similarity, of the set of words, with node and signature of the set of shingles."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -134,12 +151,13 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, s
                     rows.append([fingerprint(text, words)])
                 else:
                     parts = word_list(text)
-                    rows.append([word_fingerprint(parts), *signature(shingle_hashes(parts, words))])
+                    hashes = np.unique(shingle_hashes(parts, words))
+                    rows.append([word_fingerprint(parts), set_node(hashes), *signature(hashes)])
             found = pd.DataFrame(np.array(rows, np.int64).reshape(len(b), -1), columns=names)
             found.insert(0, "id", b["id"].to_numpy())
             yield found
 
-    names = ["fp"] if similarity is None else ["fp", *SIGNS]
+    names = ["fp"] if similarity is None else ["fp", "node", *SIGNS]
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kinds = f"id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names)
     return narrow.mapInPandas(run, kinds)
@@ -327,25 +345,134 @@ def fingerprint_links(rows: DataFrame, radius: int, limit: int | None = None) ->
     return rows.select(*names).mapInPandas(route, kinds).groupBy("shard").applyInPandas(link, "a long, b long")
 
 
+def texts_sets(texts: pd.Series, words: int, seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Node and sorted set of shingles of the texts whose node is not in ``seen`` yet."""
+    for text in texts:
+        hashes = np.unique(shingle_hashes(word_list(text), words))
+        node = set_node(hashes)
+        if node not in seen:
+            seen.add(node)
+            yield node, hashes
+
+
 def check_links(
     links: DataFrame, each: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float
 ) -> DataFrame:
     """The links whose texts' sets of shingles have at least this Jaccard similarity."""
     links = stage(links.distinct(), "candidates")
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = stage(each.join(ends, "node").select("node", F.col("least").alias("id")).filter("id is not null"), "wanted")
+    ends = stage(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    wanted = stage(each.join(ends, "node").select(F.col("least").alias("wanted")).distinct(), "wanted")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for b in batches:
-            found = [np.unique(shingle_hashes(word_list(t), words)).view(np.int64) for t in b["text"]]
-            yield pd.DataFrame({"node": b["node"], "shingles": found})
+            found = list(texts_sets(b["text"], words, seen))
+            yield pd.DataFrame({"node": [n for n, _ in found], "shingles": [h.view(np.int64) for _, h in found]})
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
-    sets = texts.mapInPandas(run, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("s"))
-    sets = stage(sets, "shingles")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+    sets = texts.mapInPandas(run, "node long, shingles array<long>").join(ends, "node", "left_semi")
+    sets = stage(sets.groupBy("node").agg(F.first("shingles").alias("s")), "shingles")
     left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in ("a", "b"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return links.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    # 1e-9: a product such as 0.7 * 10 may lie above the whole number that it stands for
+    return links.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
+
+
+def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several texts in a sample, sorted, and in how many."""
+    every = max(1, texts.count() // COUNTED)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _, hashes in texts_sets(b["text"], words, set()):
+                yield pd.DataFrame({"shingle": hashes.view(np.int64)})
+
+    drawn = texts.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    counts = drawn.mapInPandas(run, "shingle long").groupBy("shingle").count().filter("count > 2")
+    found = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT).toPandas()
+    keys, n = found["shingle"].to_numpy(np.int64).view(np.uint64), found["count"].to_numpy(np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def parity(hashes: np.ndarray) -> int:
+    """Bit k tells whether an odd number of hashes end in k; two sets differ in at least as many members as parities."""
+    odd = np.bincount((hashes & np.uint64(63)).astype(np.int64), minlength=64) & 1
+    return int(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")[0])
+
+
+def prefix_pairs(group: pd.DataFrame, similarity: float) -> np.ndarray:
+    """Pairs of nodes that share a key, lie in different components and may have the similarity."""
+    group = group.drop_duplicates(["key", "node"]).sort_values(["key", "component"], kind="stable")
+    key, node, part, n, pos, odd = (group[c].to_numpy() for c in ("key", "node", "component", "n", "pos", "parity"))
+    odd = odd.astype(np.int64).view(np.uint64)  # bits of signed integers are counted without the sign
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    ends = np.r_[starts[1:], len(key)]
+    mixed = part[starts] != part[ends - 1]
+    starts, ends = starts[mixed], ends[mixed]
+    found = [np.zeros((0, 2), np.int64)]
+
+    def keep(x: np.ndarray, y: np.ndarray) -> None:
+        for k in range(0, len(x), BLOCK):
+            a, b = x[k : k + BLOCK], y[k : k + BLOCK]
+            size = n[a] + n[b]
+            least = np.ceil(similarity / (1 + similarity) * size - 1e-9)  # shared shingles that the similarity needs
+            ok = (part[a] != part[b]) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least)
+            ok &= np.bitwise_count(odd[a] ^ odd[b]) <= size - 2 * least
+            a, b = node[a[ok]], node[b[ok]]
+            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
+
+    wide = ends - starts > WIDE
+    for lo, hi in zip(starts[wide].tolist(), ends[wide].tolist(), strict=True):
+        _, first, count = np.unique(part[lo:hi], return_index=True, return_counts=True)
+        big = int(np.argmax(count))
+        every = np.arange(lo, hi)
+        rest = np.r_[every[: first[big]], every[first[big] + count[big] :]]
+        step = max(1, BLOCK // len(every))
+        for k in range(0, len(rest), step):
+            some = rest[k : k + step]
+            keep(np.repeat(some, len(every)), np.tile(every, len(some)))
+    starts, ends = starts[~wide], ends[~wide]
+    rows = np.concatenate([np.arange(a, b) for a, b in zip(starts, ends, strict=True)]) if len(starts) else np.zeros(0, np.int64)
+    last = np.repeat(ends, ends - starts)
+    for gap in range(1, WIDE):
+        ok = rows + gap < last
+        rows, last = rows[ok], last[ok]
+        if not len(rows):
+            break
+        keep(rows, rows + gap)
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def prefix_candidates(docs: DataFrame, text_col: str, groups: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``(a, b)``: every pair of nodes of at least the similarity that ``groups`` do not join, and some others."""
+    texts = docs.select(F.col(text_col).alias("text"))
+    common, counts = frequent_shingles(texts, words)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = {0}
+        for b in batches:
+            rows = []
+            for node, hashes in texts_sets(b["text"], words, seen):
+                often = np.zeros(len(hashes), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+                    often = np.where(common[at] == hashes, counts[at], 0)
+                size = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1
+                rows.append((node, len(hashes), parity(hashes), hashes[np.lexsort((hashes, often))[:size]].view(np.int64)))
+            yield pd.DataFrame(rows, columns=["node", "n", "parity", "prefix"])
+
+    sets = stage(texts.mapInPandas(run, "node long, n long, parity long, prefix array<long>"), "prefixes")
+    total = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    named = sets.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = named.select("node", "n", "parity", "component", F.posexplode("prefix").alias("pos", "key"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(total // BUCKET + 1)))
+
+    def pairs(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(prefix_pairs(group, similarity), columns=["a", "b"])
+
+    return rows.groupBy("bucket").applyInPandas(pairs, "a long, b long")
 
 
 def near_duplicates(
@@ -362,19 +489,23 @@ def near_duplicates(
     ``radius`` is that of the fingerprints of their sets of words.
     """
     marks = stage(with_fingerprints(docs, id_col, text_col, words, similarity), "fingerprints")
+    if similarity is None:
+        marks = marks.withColumn("node", F.col("fp"))
     keys = [c for c in marks.columns if c != "id"]
-    node = F.col("fp") if similarity is None else F.xxhash64(*keys)
-    each = stage(marks.groupBy(*keys).agg(F.min("id").alias("least")).withColumn("node", node), "distinct")
+    each = stage(marks.groupBy(*keys).agg(F.min("id").alias("least")), "distinct")
     limit = None if similarity is None else signature_limit(similarity)
     links = fingerprint_links(each, radius, limit)
     if similarity is not None:
         links = check_links(links, each, docs, id_col, text_col, words, similarity)
+        known = stage(connected_components(links, "a", "b"), "known")
+        more = check_links(prefix_candidates(docs, text_col, known, words, similarity), each, docs, id_col, text_col, words, similarity)
+        links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     groups = connected_components(links, "a", "b")
     named = each.select("node", "least").join(groups, "node", "left")
     named = named.withColumn("root", F.coalesce("component", "node")).select("node", "root", "least")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     names = stage(named.join(least, "root").select("node", "component_id"), "components")
-    return marks.withColumn("node", node).join(names, "node").select(
+    return marks.join(names, "node").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

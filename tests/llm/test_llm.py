@@ -76,6 +76,49 @@ def test_simhash_against_all_pairs(spark, docs):
     assert found["component_id"].tolist() == components(found["doc_id"].tolist(), links)
 
 
+def edited(draw, words, kind):
+    """A copy with one contiguous edit, or scattered ones."""
+    n = len(words)
+    fresh = lambda k: [f"f{x}" for x in draw.integers(0, 10**9, k)]
+    if kind == "appended":
+        return words + fresh(int(n * draw.uniform(0.1, 0.24)))
+    if kind == "cut":
+        return words[: n - int(n * draw.uniform(0.1, 0.19))]
+    if kind == "replaced":
+        k = int(n * draw.uniform(0.05, 0.1))
+        at = int(draw.integers(0, n - k))
+        return words[:at] + fresh(k) + words[at + k :]
+    return [w if draw.random() > 0.02 else f"f{draw.integers(0, 10**9)}" for w in words]
+
+
+def jaccard_components(texts, words=5, similarity=0.8):
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    near = lambda a, b: len(a & b) >= similarity * len(a | b)
+    return components(list(range(len(texts))), [(i, j) for i in range(len(texts)) for j in range(i) if near(sets[i], sets[j])])
+
+
+def similar_groups(spark, texts):
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    found = simhash.near_duplicates(rows, words=5, radius=simhash.WORD_RADIUS, similarity=0.8).toPandas()
+    return found.sort_values("doc_id")["component_id"].tolist()
+
+
+def test_similarity_finds_every_shape_of_edit(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "WIDE", 8)
+    monkeypatch.setattr(simhash, "BUCKET", 1 << 10)
+    draw = np.random.default_rng(3)
+    license_ = [f"license{k}" for k in range(30)]  # in a third of all, so the most frequent shingles by far
+    texts = []
+    for k in range(160):
+        base = [f"w{x}" for x in draw.integers(0, 3000, draw.integers(60, 400))] + license_ * (k % 3 == 0)
+        texts += [" ".join(base)] + [" ".join(edited(draw, base, kind)) for kind in ("appended", "cut", "replaced", "scattered")]
+    texts += ["", "one", "one", "two three", " ".join(license_)]
+    assert similar_groups(spark, texts) == jaccard_components(texts)
+
+
 def test_trees_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD", 64)
     monkeypatch.setattr(simhash, "BLOCK", 1 << 10)
