@@ -119,6 +119,20 @@ def test_similarity_finds_every_shape_of_edit(spark, monkeypatch):
     assert similar_groups(spark, texts) == jaccard_components(texts)
 
 
+def test_failed_forest_edges_hide_no_link(spark):
+    """Families of near copies whose pairs lie on both sides of the similarity."""
+    draw = np.random.default_rng(5)
+    texts = []
+    for _ in range(30):
+        base = [f"w{x}" for x in draw.integers(0, 3000, 200)]
+        for _ in range(20):
+            copy = list(base)
+            for at in draw.choice(200, draw.integers(2, 7), replace=False):
+                copy[at] = f"f{draw.integers(0, 10**9)}"
+            texts.append(" ".join(copy))
+    assert similar_groups(spark, texts) == jaccard_components(texts)
+
+
 def test_trees_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD", 64)
     monkeypatch.setattr(simhash, "BLOCK", 1 << 10)
