@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -37,6 +38,23 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+def sequence_ratio_above(least: float) -> Callable[[str, str], Column]:
+    """``sequence_ratio``, but null below ``least``; lengths and character counts bound it before blocks are compared."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        found, pair = [], SequenceMatcher(None)
+        for x, y in zip(a, b, strict=True):
+            pair.set_seq1(x or "")
+            pair.set_seq2(y or "")
+            near = pair.real_quick_ratio() >= least and pair.quick_ratio() >= least
+            score = pair.ratio() if near else 0.0
+            found.append(score if near and score >= least else None)
+        return pd.Series(found, dtype="float64")
+
+    return ratio
+
+
 def token_sort(text: Column) -> Column:
     return F.array_join(F.array_sort(F.split(F.trim(F.lower(text)), r"\s+")), " ")
 

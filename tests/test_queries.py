@@ -2,6 +2,7 @@
 
 import decimal
 import math
+from difflib import SequenceMatcher
 
 import duckdb
 import pytest
@@ -51,6 +52,26 @@ def test_streamed_bucket_equals_batch(spark, data):
     assert stream == batch
 
 
+def test_name_similarity_covers_all_customers(spark, tmp_path):
+    names = ["Anna Berg", "anna berg", "Dr. Anna Berg jr", "Bern", "zzz", "", None, "Gina Abern", "Q" * 40]
+    customers = [(150 + 10 * k, n, k % 2) for k, n in enumerate(names * 2)]
+    suppliers = [(k, n, k % 2) for k, n in enumerate(["ANNA BERG", "Berg", "abna gern", "", None, "zz top"] * 2)]
+    spark.createDataFrame(customers, "c_custkey long, c_name string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    want = set()
+    for c, a, m in customers:
+        for s, b, n in suppliers:
+            if m == n:
+                x, y = (a or "").lower(), (b or "").lower()
+                ratio = round(SequenceMatcher(None, x, y).ratio(), 4)
+                known = a is not None and b is not None
+                score = 1.0 if known and x == y else 0.9 if known and y in x else ratio
+                if score >= 0.5:
+                    want.add((c, s, score))
+    got = registry.queries()["name_similarity_join"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.c_custkey, r.s_suppkey, r.similarity) for r in got} == want
+
+
 def test_entry(spark):
     import __spark_entry__
 
