@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,7 @@ TOKENIZER = "word_bpe_49k.json"
 VOCAB = 49_408
 END_ID = 1
 BLOCKS = "part int, block int, n_docs int, n_ids long, payload binary"
+SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("payload", pa.binary())])
 
 
 def write_ids(
@@ -48,32 +50,35 @@ def write_ids(
     """Write all documents' ids to the folder ``where`` in ascending order of ``id_col``."""
     path = path or public_tokenizers.path(TOKENIZER)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path, spaced=False)
-        part = TaskContext.get().partitionId()
-        block, names, ids, held = 0, [], [], 0
-
-        def flush() -> pd.DataFrame:
-            payload = pack_block(names, [len(x) for x in ids], np.concatenate(ids), vocab)
-            return pd.DataFrame({"part": [part], "block": [block], "n_docs": [len(names)], "n_ids": [held], "payload": [payload]})
+        part, block = TaskContext.get().partitionId(), 0
+        names, lengths, ids = [], np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+        def flush(docs: int) -> pa.RecordBatch:
+            """The first ``docs`` waiting documents as a block."""
+            nonlocal names, lengths, ids, block
+            n = int(lengths[:docs].sum())
+            payload = pack_block(names[:docs], lengths[:docs], ids[:n], vocab)
+            row = [[part], [block], [docs], [n], [payload]]
+            names, lengths, ids, block = names[docs:], lengths[docs:], ids[n:], block + 1
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, SCHEMA, strict=True)], schema=SCHEMA)
 
         for b in batches:
-            for doc, text in zip(b["id"].astype(object).where(b["id"].notna(), None), b["text"], strict=True):
-                names.append(None if doc is None else int(doc))
-                ids.append(np.append(words.encode(text), end_id))
-                held += len(ids[-1])
-                if held >= block_ids:
-                    yield flush()
-                    block, names, ids, held = block + 1, [], [], 0
+            more, size = words.encode_all(b.column("text"), end_id)
+            names = names + b.column("id").to_pylist()
+            lengths, ids = np.concatenate([lengths, size]), np.concatenate([ids, more])
+            while len(ids) >= block_ids:
+                yield flush(int(np.searchsorted(np.cumsum(lengths), block_ids)) + 1)
         if names:
-            yield flush()
+            yield flush(len(names))
 
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         .repartitionByRange("id")
         .sortWithinPartitions("id")
     )
-    ordered.mapInPandas(run, BLOCKS).write.parquet(where)
+    ordered.mapInArrow(run, BLOCKS).write.parquet(where)
 
 
 def read_ids(spark: SparkSession, where: str, with_ids: bool = False) -> DataFrame:
