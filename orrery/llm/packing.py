@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -116,13 +117,14 @@ def tokenised_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, end
         part = TaskContext.get().partitionId()
         seen = np.zeros(length + 1, np.int64)
         for b in batches:
+            ids, sizes = words.encode_all(pa.array(b["text"], pa.string()), end_id)
+            ids, ends = ids.astype("<u4"), np.cumsum(sizes)
             rows = []
-            for doc, text in zip(b["id"], b["text"], strict=True):
-                ids = np.append(words.encode(text), end_id).astype("<u4")
-                edges = [*range(len(ids) % length or length, len(ids), length), len(ids)] if len(ids) > length else [len(ids)]
+            for doc, first, n in zip(b["id"], (ends - sizes).tolist(), sizes.tolist(), strict=True):
+                edges = [*range(n % length or length, n, length), n] if n > length else [n]
                 start = 0
                 for piece, end in enumerate(edges):
-                    own = ids[start:end].tobytes()
+                    own = ids[first + start : first + end].tobytes()
                     rows.append((doc, piece, start, end - start, zlib.crc32(own), part, seen[end - start], own if with_ids else None))
                     seen[end - start] += 1
                     start = end
