@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from orrery.queries import matching, relational, textual  # noqa: F401
+from orrery.queries import companies, matching, news, relational, textual  # noqa: F401

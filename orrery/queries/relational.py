@@ -96,9 +96,13 @@ define("anti_join_targets", """
 define("anti_join_not_in", """
     SELECT p_partkey, p_name FROM {part}
     WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_partkey = p_partkey AND year(l_shipdate) = 1995)""")
-define("scalar_subquery", """
-    SELECT c.c_custkey, c.c_mktsegment, round(c.c_acctbal - (SELECT avg(x.c_acctbal) FROM {customer} x WHERE x.c_mktsegment = c.c_mktsegment), 4) AS above
-    FROM {customer} c""")
+_CENTS = "CAST(round({0}.c_acctbal * 100) AS BIGINT)"
+# whole cents until one last division, so that both engines give the same double
+define("scalar_subquery", f"""
+    SELECT c.c_custkey, c.c_mktsegment, CAST({_CENTS.format('c')} * (SELECT count(*) FROM {{customer}} x WHERE x.c_mktsegment = c.c_mktsegment)
+      - (SELECT CAST(sum({_CENTS.format('x')}) AS BIGINT) FROM {{customer}} x WHERE x.c_mktsegment = c.c_mktsegment) AS DOUBLE)
+      / CAST(100 * (SELECT count(*) FROM {{customer}} x WHERE x.c_mktsegment = c.c_mktsegment) AS DOUBLE) AS above
+    FROM {{customer}} c""")
 define("gap_drill", """
     SELECT DISTINCT b.p_partkey, b.p_name, b.p_brand, CASE WHEN b.p_brand = a.p_brand THEN 'brand' ELSE 'mechanism' END AS shared
     FROM {part} a JOIN {part} b ON (split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1)) <> (a.p_brand = b.p_brand)
@@ -274,18 +278,6 @@ define("opportunity_score", """
       CASE WHEN p_retailprice < 1000 THEN 25 WHEN p_retailprice < 1500 THEN 15 ELSE 3 END AS era,
       CASE p_type WHEN 'ECONOMY' THEN 25 WHEN 'STANDARD' THEN 15 ELSE 8 END AS moat,
       CASE WHEN p_partkey % 2 = 0 THEN 30 ELSE 10 END AS shape FROM {part}) t""")
-define("composite_score", """
-    SELECT c_custkey, segment + place + purse AS score, CASE WHEN segment + place + purse >= 7 THEN 'startup'
-      WHEN segment + place + purse >= 4 THEN 'scaleup' ELSE 'established' END AS classification FROM (SELECT c_custkey,
-      CASE c_mktsegment WHEN 'BUILDING' THEN 3 WHEN 'MACHINERY' THEN 2 ELSE 0 END AS segment,
-      CASE WHEN c_nationkey < 8 THEN 2 ELSE 0 END AS place,
-      greatest(-3, least(5, CAST(floor(c_acctbal / 2000) AS INT))) AS purse FROM {customer}) t""")
-define("classify_paths", """
-    SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 200000 THEN 'A' WHEN o_orderpriority LIKE '1%' THEN 'B'
-      WHEN o_orderpriority LIKE '2%' AND o_totalprice > 100000 THEN 'C' WHEN o_orderstatus = 'P' THEN 'D' ELSE 'E' END AS path FROM {orders}""")
-define("filter_cascade", """
-    SELECT d.doc_id, CASE WHEN d.n_chars < 200 THEN 'too_short' WHEN d.lang NOT IN ('en', 'de') THEN 'language' WHEN l.quality = 0 THEN 'quality'
-      WHEN l.toxic = 1 THEN 'toxic' END AS rejection_reason FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""")
 define("change_classify", """
     SELECT event_id, CASE WHEN prev IS NULL THEN 'new' WHEN prev = event_type THEN 'same' WHEN event_type = 'purchase' THEN 'converted'
       WHEN prev = 'purchase' THEN 'left' ELSE 'moved' END AS change_type

@@ -11,51 +11,8 @@ from orrery.sources.tables import table
 
 TOK = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"
 DOC_TOK = TOK.format("text")
-POSITIVE = ("the", "and", "der", "und", "les", "des", "que", "con")
-SECTORS = {"english": ("the", "and", "that", "with"), "german": ("der", "und", "von", "das"), "french": ("les", "des", "pour", "dans"), "spanish": ("que", "los", "las", "por")}
 
 
-def _list(words) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
-
-
-def _has(word: str) -> str:
-    return f"CASE WHEN list_contains(t, '{word}') THEN 1 ELSE 0 END"
-
-
-@query(f"""SELECT doc_id, {' + '.join(_has(w) for w in POSITIVE)} + 2 * {_has('idiot')} AS score FROM (SELECT doc_id, {DOC_TOK} AS t FROM documents)""")
-def relevance_score(spark: SparkSession, folder: str) -> DataFrame:
-    words = X.tokens(F.col("text"))
-    score = F.size(X.lexicon_hits(F.col("t"), POSITIVE)) + 2 * F.array_contains("t", "idiot").cast("int")
-    return table(spark, folder, "documents").select("doc_id", words.alias("t")).select("doc_id", score.alias("score"))
-
-
-@query(f"""SELECT doc_id, array_to_string(list_filter({_list(POSITIVE)}, lambda x: list_contains(t, x)), '|') AS matched
-    FROM (SELECT doc_id, {DOC_TOK} AS t FROM documents)""")
-def matched_keywords(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
-    return docs.select("doc_id", F.array_join(X.lexicon_hits(F.col("t"), POSITIVE), "|").alias("matched"))
-
-
-@query(f"""SELECT doc_id, array_to_string(list_filter([{', '.join(f"CASE WHEN list_has_any(t, {_list(w)}) THEN '{k}' END" for k, w in SECTORS.items())}], lambda x: x IS NOT NULL), ',') AS categories
-    FROM (SELECT doc_id, {DOC_TOK} AS t FROM documents)""")
-def categorize_text(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
-    marks = [F.when(F.arrays_overlap("t", F.array(*[F.lit(x) for x in w])), k) for k, w in SECTORS.items()]
-    return docs.select("doc_id", F.array_join(F.array_compact(F.array(*marks)), ",").alias("categories"))
-
-
-_SCORES = {k: " + ".join(_has(x) for x in w) for k, w in SECTORS.items()}
-
-
-@query(f"""SELECT doc_id, CASE WHEN best < 2 THEN NULL {' '.join(f"WHEN {k} = best THEN '{k}'" for k in SECTORS)} END AS label, round(least(1.0, best / 5.0), 4) AS confidence
-    FROM (SELECT *, greatest({', '.join(SECTORS)}) AS best FROM (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _SCORES.items())} FROM (SELECT doc_id, {DOC_TOK} AS t FROM documents)))""")
-def sector_classify(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
-    docs = docs.select("doc_id", *[F.size(X.lexicon_hits(F.col("t"), w)).alias(k) for k, w in SECTORS.items()])
-    scores = [(k, F.col(k)) for k in SECTORS]
-    best = F.greatest(*[c for _, c in scores])
-    return docs.select("doc_id", X.argmax_label(scores, 2).alias("label"), F.round(F.least(F.lit(1.0), best / 5.0), 4).alias("confidence"))
 
 
 @query("""SELECT p_partkey, CASE WHEN greatest(a, b, c) < 1 THEN NULL WHEN a >= b AND a >= c THEN 'bright' WHEN b >= c THEN 'dark' ELSE 'tool' END AS label
@@ -69,29 +26,9 @@ def argmax_label(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", X.argmax_label(scores, 1).alias("label"))
 
 
-_WEIGHTS = {"idiot": 3, "scum": 3, "trash": 2, "token": 1, "the": 1}
-
-
-@query(f"""SELECT doc_id, weight, weight >= 2 AS relevant FROM (SELECT doc_id, {' + '.join(f"CASE WHEN list_contains(t, '{w}') THEN {n} ELSE 0 END" for w, n in _WEIGHTS.items())} AS weight
-    FROM (SELECT doc_id, {DOC_TOK} AS t FROM documents))""")
-def weighted_signals(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", X.weighted_hits(X.tokens(F.col("text")), _WEIGHTS).alias("weight"))
-    return docs.withColumn("relevant", F.col("weight") >= 2)
-
-
-@query("SELECT doc_id, regexp_matches(text, 'idiot|password|token = ') AS any_hit FROM documents")
-def any_pattern(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", F.col("text").rlike("idiot|password|token = ").alias("any_hit"))
-
 
-_KINDS = (("Licensed", "license"), ("token = ", "secret"), ("@", "contact"), ("!!", "shout"), (r"\|", "table"))
 
 
-@query("""SELECT doc_id, CASE WHEN contains(text, 'Licensed') THEN 'license' WHEN contains(text, 'token = ') THEN 'secret' WHEN contains(text, '@') THEN 'contact'
-    WHEN contains(text, '!!') THEN 'shout' WHEN contains(text, '|') THEN 'table' ELSE 'plain' END AS kind FROM documents""")
-def announcement_type(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", X.first_match(F.col("text"), _KINDS, "plain").alias("kind"))
-
 
 @query("""SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'setup' WHEN length(text) < 60 THEN 'brief' WHEN contains(text, '?') THEN 'question' ELSE 'statement' END AS tag FROM conversations""")
 def tag_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,69 +56,6 @@ def german_number(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select("o_orderkey", F.round(X.german_number(text), 2).alias("amount"))
 
 
-@query("SELECT o_orderkey, CASE WHEN round(o_totalprice, 2) = 25000 THEN 1 ELSE 2 END AS n, round(o_totalprice, 2) AS first_amount FROM orders")
-def extract_amounts(spark: SparkSession, folder: str) -> DataFrame:
-    text = F.concat(F.lit("Stammkapital von "), _german(F.col("o_totalprice")), F.lit(" EUR, zuvor 25.000,00 EUR und "), _german(F.col("o_totalprice")), F.lit(" EUR"))
-    found = table(spark, folder, "orders").select("o_orderkey", X.amounts(text).alias("a"))
-    return found.select("o_orderkey", F.size("a").alias("n"), F.round(F.get("a", F.lit(0)), 2).alias("first_amount"))
-
-
-@query("""SELECT o_orderkey, 25000.0 AS old_amount, round(o_totalprice, 2) AS new_amount, CASE WHEN o_totalprice > 25000 THEN 'increase' ELSE 'decrease' END AS kind FROM orders""")
-def capital_pair(spark: SparkSession, folder: str) -> DataFrame:
-    text = F.concat(F.lit("Erhoehung von 25.000,00 EUR auf "), _german(F.col("o_totalprice")), F.lit(" EUR"))
-    orders = table(spark, folder, "orders").select("o_orderkey", text.alias("t"))
-    old, new = (X.german_number(F.regexp_extract("t", r"von ([0-9.,]+) EUR auf ([0-9.,]+) EUR", k)) for k in (1, 2))
-    orders = orders.select("o_orderkey", old.alias("old_amount"), F.round(new, 2).alias("new_amount"))
-    return orders.withColumn("kind", F.when(F.col("new_amount") > F.col("old_amount"), "increase").otherwise("decrease"))
-
-
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'increase' WHEN o_orderkey % 3 = 1 THEN 'decrease' ELSE 'decrease' END AS event_type,
-    round(least(o_totalprice, 25000.0), 2) AS low, round(greatest(o_totalprice, 25000.0), 2) AS high FROM orders""")
-def capital_from_text(spark: SparkSession, folder: str) -> DataFrame:
-    """Equal counts of raising and lowering words give a decrease; amounts count by size, not by place."""
-    words = F.element_at(F.array(F.lit("erhoeht"), F.lit("herabgesetzt"), F.lit("erhoeht und herabgesetzt")), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    text = F.concat(F.lit("Kapital "), words, F.lit(" von "), _german(F.col("o_totalprice")), F.lit(" EUR auf 25.000,00 EUR"))
-    orders = table(spark, folder, "orders").select("o_orderkey", text.alias("t"), X.amounts(text).alias("a"))
-    up, down = (F.regexp_count("t", F.lit(w)) for w in ("erhoeht", "herabgesetzt"))
-    kind = F.when(up > down, "increase").otherwise("decrease")
-    return orders.select("o_orderkey", kind.alias("event_type"), F.round(F.array_min("a"), 2).alias("low"), F.round(F.array_max("a"), 2).alias("high"))
-
-
-@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 1500000.0 WHEN 1 THEN 2000000000.0 ELSE 3000000.0 END AS amount FROM orders")
-def amount_units(spark: SparkSession, folder: str) -> DataFrame:
-    text = F.element_at(F.array(F.lit("raised 1,5 Mio Euro"), F.lit("worth 2 Mrd Euro"), F.lit("got $3m seed")), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    orders = table(spark, folder, "orders").select("o_orderkey", text.alias("t"))
-    units = ((r"([0-9,]+) Mio", 1e6), (r"([0-9,]+) Mrd", 1e9), (r"\$([0-9,]+)m", 1e6))
-    found = [X.german_number(F.nullif(F.regexp_extract("t", p, 1), F.lit(""))) * m for p, m in units]
-    return orders.select("o_orderkey", F.coalesce(*found).alias("amount"))
-
-
-@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'seed' WHEN 1 THEN 'series_a' WHEN 2 THEN 'series_b' ELSE 'unknown' END AS round_type FROM orders")
-def round_type(spark: SparkSession, folder: str) -> DataFrame:
-    text = F.element_at(F.array(F.lit("closes Seed round"), F.lit("Series A led by X"), F.lit("a Series B of"), F.lit("news")), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    rules = (("(?i)series b", "series_b"), ("(?i)series a", "series_a"), ("(?i)seed", "seed"))
-    return table(spark, folder, "orders").select("o_orderkey", X.first_match(text, rules, "unknown").alias("round_type"))
-
-
-@query("""SELECT o_orderkey, 'Supplier ' || (o_orderkey % 50) AS company, 'Fund ' || (o_orderkey % 7) AS investor, round(o_totalprice, 2) AS amount, 0.8 AS confidence FROM orders""")
-def extract_funding(spark: SparkSession, folder: str) -> DataFrame:
-    """Company, investor, amount and confidence by presence of each."""
-    text = F.concat(F.lit("Supplier "), F.col("o_orderkey") % 50, F.lit(" raises "), _german(F.col("o_totalprice")), F.lit(" EUR from Fund "), F.col("o_orderkey") % 7)
-    orders = table(spark, folder, "orders").select("o_orderkey", text.alias("t"))
-    parts = [F.nullif(F.regexp_extract("t", r"^(.+) raises ([0-9.,]+) EUR from (.+)$", k), F.lit("")) for k in (1, 3, 2)]
-    rows = orders.select("o_orderkey", parts[0].alias("company"), parts[1].alias("investor"), F.round(X.german_number(parts[2]), 2).alias("amount"))
-    have = sum((F.col(c).isNotNull().cast("int") for c in ("investor", "amount")), F.col("company").isNotNull().cast("int"))
-    return rows.withColumn("confidence", F.when(have == 3, 0.8).when(have == 2, 0.7).when(have == 1, 0.5).otherwise(0.3))
-
-
-@query("""SELECT doc_id, i AS pos, 'Name' || (doc_id % 10) || chr(CAST(96 + i AS INT)) AS officer, i = 1 AS is_current FROM documents, (VALUES (1), (2)) v(i) WHERE doc_id % 5 = 0""")
-def extract_officers(spark: SparkSession, folder: str) -> DataFrame:
-    base = F.concat(F.lit("Bestellt: Name"), F.col("doc_id") % 10, F.lit("a; Ausgeschieden: Name"), F.col("doc_id") % 10, F.lit("b"))
-    docs = table(spark, folder, "documents").filter("doc_id % 5 = 0").select("doc_id", base.alias("t"))
-    found = docs.select("doc_id", F.posexplode(F.regexp_extract_all("t", F.lit(r"((?:Bestellt|Ausgeschieden): \w+)"), F.lit(1))).alias("p", "m"))
-    return found.select("doc_id", (F.col("p") + 1).alias("pos"), F.split_part("m", F.lit(": "), F.lit(2)).alias("officer"), F.col("m").startswith("Bestellt").alias("is_current"))
-
-
 # -- names, urls, tags -------------------------------------------------------------------------------------------------
 @query("SELECT s_suppkey, lower(replace(s_name, '#', ' ')) AS name FROM supplier")
 def normalize_name(spark: SparkSession, folder: str) -> DataFrame:
@@ -205,36 +79,6 @@ def normalize_tag(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", X.normalize_tag(noisy).alias("tag"))
 
 
-@query("""SELECT p_partkey, p_brand, CASE WHEN p_partkey % 3 = 0 THEN 'GmbH' WHEN p_partkey % 3 = 1 THEN 'AG' END AS form FROM part""")
-def legal_form(spark: SparkSession, folder: str) -> DataFrame:
-    name = F.concat("p_name", F.element_at(F.array(F.lit(" GmbH"), F.lit(" AG"), F.lit("")), (F.col("p_partkey") % 3 + 1).cast("int")))
-    rules = ((r"(?i)\bgmbh\b", "GmbH"), (r"(?i)\bag\b", "AG"))
-    return table(spark, folder, "part").select("p_partkey", "p_brand", X.first_match(name, rules).alias("form"))
-
-
-@query("SELECT p_partkey, p_name AS brand FROM part")
-def brand_part(spark: SparkSession, folder: str) -> DataFrame:
-    name = F.concat("p_name", F.lit(" GmbH & Co. KG"))
-    return table(spark, folder, "part").select("p_partkey", F.rtrim(F.regexp_replace(name, r"\s*(GmbH|& Co\.|KG)", "")).alias("brand"))
-
-
-@query("""SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN -99 ELSE CASE WHEN contains(p_name, 'holding') THEN -8 WHEN p_size > 45 THEN -3 ELSE 0 END
-    + CASE WHEN length(split_part(p_name, ' ', 1)) <= 4 THEN 2 ELSE 0 END + CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 3 ELSE 0 END END AS score FROM part""")
-def brand_score(spark: SparkSession, folder: str) -> DataFrame:
-    part = table(spark, folder, "part")
-    shell = F.when(F.col("p_name").contains("holding"), -8).when(F.col("p_size") > 45, -3).otherwise(0)
-    short = F.when(F.length(F.split_part("p_name", F.lit(" "), F.lit(1))) <= 4, 2).otherwise(0)
-    hub = F.when(F.col("p_brand").isin("Brand#1", "Brand#2"), 3).otherwise(0)
-    return part.select("p_partkey", F.when(F.col("p_type") == "PROMO", -99).otherwise(shell + short + hub).alias("score"))
-
-
-@query("""SELECT p_partkey, CASE WHEN hits >= 2 THEN -8 WHEN hits = 1 THEN -3 ELSE 0 END AS penalty FROM (SELECT p_partkey,
-    CAST(contains(p_name, 'small') AS INT) + CAST(contains(p_name, 'widget') AS INT) AS hits FROM part)""")
-def shell_penalty(spark: SparkSession, folder: str) -> DataFrame:
-    hits = F.col("p_name").contains("small").cast("int") + F.col("p_name").contains("widget").cast("int")
-    return table(spark, folder, "part").select("p_partkey", F.when(hits >= 2, -8).when(hits == 1, -3).otherwise(0).alias("penalty"))
-
-
 @query("SELECT s_suppkey, p || 'supplier' || (s_suppkey % 10) || t AS domain FROM supplier, (VALUES (''), ('get')) a(p), (VALUES ('.com'), ('.de'), ('.io')) b(t)")
 def domain_candidates(spark: SparkSession, folder: str) -> DataFrame:
     base = F.concat(F.lit("supplier"), F.col("s_suppkey") % 10)
@@ -381,13 +225,6 @@ def impressum_parse(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("s_suppkey", F.regexp_extract("t", r"(HR[AB] \d+)", 1).alias("register"), F.get(F.slice(people, 1, 5), F.lit(0)).alias("director"))
 
 
-@query("SELECT s_suppkey, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN 'trade ' || s_suppkey END, s_name) AS purpose FROM supplier")
-def field_fallbacks(spark: SparkSession, folder: str) -> DataFrame:
-    text = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("Gegenstand: trade "), "s_suppkey")).otherwise("none")
-    found = F.nullif(F.regexp_extract(text, "Gegenstand: (.+)$", 1), F.lit(""))
-    return table(spark, folder, "supplier").select("s_suppkey", F.coalesce(found, "s_name").alias("purpose"))
-
-
 # -- arrays of tags --------------------------------------------------------------------------------------------------------
 @query("SELECT p_partkey, p_name FROM part WHERE list_contains(string_split(p_name, ' '), 'red')")
 def json_tag_filter(spark: SparkSession, folder: str) -> DataFrame:
