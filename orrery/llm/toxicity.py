@@ -2,23 +2,32 @@
 
 Features are the words of a text and their beginnings of four to eight
 characters, each present or absent, so that neither length nor repetition moves
-a score.  Of the labelled rows at most ``MAX_ROWS`` are used, drawn by a hash of
-their id.  Their features are counted by label on the executors, the ``WIDTH``
-that differ most between labels are kept, and a sparse logistic model is fitted
-to them.  In each labelled sentence that names a group of people the name is
-swapped for another of its kind; the model pays for every change of score that
-this makes, so that a neutral mention of a group carries no weight of its own.
+a score.  Of the labelled rows at most about ``MAX_ROWS`` are used, drawn by a
+hash of their id.  Their features are counted by label on the executors, the
+``WIDTH`` that differ most between labels are kept, and a sparse logistic model is
+fitted to them.
+
+Counterfactuals come from the labelled sentences.  Where one names a group of
+people, the name is swapped for another of its kind.  Where a text names none,
+its first sentence is taken with a name put in, with the next name of that kind
+in its place, and without it.  The model pays for every change of score between
+the sides of such a pair.  So a name carries no weight of its own, neither by
+itself nor by a beginning that it shares with an insult (``moroccans`` and
+``moron``), and a neutral mention of a group stays neutral.
 
 Scores cover every whole text.  Defined results: null and empty texts score as
 a text without any known feature; without labelled rows of both kinds all
-scores are 0; repeated rows score alike; rows with a null id are held out and
-scored; extra columns pass through; an empty table gives no rows.
+scores are 0; repeated rows score alike; of labelled rows with one id the least
+text is used; rows with a null id are held out and scored; very long texts are
+scored whole; extra columns pass through, but for one named as the score, which
+is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -47,6 +56,9 @@ GROUPS = (
     ("gay", "straight", "lesbian", "bisexual", "transgender"),
     ("immigrants", "refugees", "citizens", "foreigners", "locals"),
     ("immigrant", "refugee", "citizen", "foreigner", "local"),
+    ("moroccans", "germans", "pathans", "turks", "poles", "americans", "nigerians", "chinese"),
+    ("moroccan", "german", "pathan", "turk", "pole", "american", "nigerian", "indian"),
+    ("disabled", "deaf", "blind", "autistic"),
     ("frauen", "männer", "mädchen", "jungen"),
     ("christen", "muslime", "juden", "ausländer", "flüchtlinge"),
     ("femmes", "hommes", "filles", "garçons"),
@@ -73,13 +85,18 @@ def features_of(words: Iterable[str]) -> set[str]:
     return found
 
 
-def swapped_sentences(text: str | None) -> list[tuple[set[str], set[str]]]:
-    """Words of each sentence that names a group, and of its counterfactual."""
+def counterfactuals(text: str | None) -> list[tuple[set[str], set[str]]]:
+    """Pairs of word sets whose scores should be equal: sentences with swapped names, or with a name put in."""
     other, found = swaps(), []
-    for sentence in _SENTENCES.findall((text or "").lower()):
+    sentences = [s for s in _SENTENCES.findall((text or "").lower()) if s.strip()]
+    for sentence in sentences:
         words = set(_WORDS.findall(sentence))
         if named := words & other.keys():
             found.append((words, (words - named) | {other[w] for w in named}))
+    if not found and sentences:
+        words, names = set(_WORDS.findall(sentences[0])), sorted(other)
+        name = names[zlib.crc32(sentences[0].encode("utf-8", "surrogatepass")) % len(names)]
+        found = [(words | {name}, words | {other[name]}), (words | {name}, words)]
     return found
 
 
@@ -97,7 +114,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     every = max(1, -(-usable.count() // max_rows))
     sample = usable.filter(F.pmod(F.xxhash64("__id"), F.lit(every)) == 0)
     # the sample is bounded by max_rows, so it may be sent to every task
-    return docs.join(F.broadcast(sample), F.col(id_col) == F.col("__id")).select(F.col(text_col).alias("text"), "y")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("__id"))
+    return found.groupBy("__id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y")
 
 
 def feature_counts(sample: DataFrame) -> DataFrame:
@@ -141,7 +159,7 @@ def fit(sample: DataFrame, width: int = WIDTH, l1: float = L1, pair_weight: floa
             own, before, after = [], [], []
             for text in b["text"]:
                 own.append([place[f] for f in features_of(words_of(text)) if f in place])
-                pairs = [(features_of(a), features_of(c)) for a, c in swapped_sentences(text)]
+                pairs = [(features_of(a), features_of(c)) for a, c in counterfactuals(text)]
                 before.append([[place[f] for f in a - c if f in place] for a, c in pairs])
                 after.append([[place[f] for f in c - a if f in place] for a, c in pairs])
             yield pd.DataFrame({"y": b["y"], "own": own, "before": before, "after": after})
@@ -174,7 +192,7 @@ class Scorer:
         self.seen: dict[str, tuple[str, ...]] = {}
 
     def score(self, text: str | None) -> float:
-        if len(self.seen) > 1_000_000:
+        if len(self.seen) > 500_000:
             self.seen.clear()
         found: set[str] = set()
         seen = self.seen
@@ -188,7 +206,8 @@ class Scorer:
 
 
 def score_texts(docs: DataFrame, text_col: str, weights: dict[str, float], bias: float, out: str = "score") -> DataFrame:
-    """All rows with ``out``: probability of the label."""
+    """All rows with ``out``: probability of the label. A column of that name is replaced."""
+    docs = docs.drop(*({out} - {text_col}))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(weights, bias)
@@ -209,6 +228,7 @@ def train(
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``, scored by a model of the other four folds' labels; nulls, empties and repeats as the module says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     weights, bias = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score_texts(docs, "text", weights, bias)
