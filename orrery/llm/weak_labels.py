@@ -5,14 +5,15 @@ collapse into patterns of votes (at most three to the number of labellers, a
 table of bounded size), and expectation-maximisation on the pattern counts
 estimates how often documents are good and how often each labeller votes each
 way on good and on bad ones.  The posterior of its pattern labels a document.
-Posterior labels of at most ``MAX_ROWS`` documents, drawn by a hash of their
-id, train a linear scorer on hashed words and shape tokens, which then scores
-every whole text.  Human labels are never read.
+Posterior labels of at most about ``MAX_ROWS`` documents, drawn by a hash of id
+and text and each used once, train a linear scorer on hashed words and shape
+tokens, which then scores every whole text.  Human labels are never read.
 
 Defined results: null and empty texts get votes like any other and usually
 fail; with fewer than two kinds of pattern the posterior is the prior; repeated
-rows score alike; a null id takes part; extra columns pass through; an empty
-table gives no rows.
+rows score alike; a null id takes part; very long texts are read whole; extra
+columns pass through, but for those with the names of added columns, which are
+replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -131,10 +132,10 @@ def judge_weakly(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def cast(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             signs = ["".join("-0+"[v + 1] for v in votes(t)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(signs, pa.string()), b.column("pick")], ["votes", "pick"])
+            yield pa.RecordBatch.from_arrays([pa.array(signs, pa.string())], ["votes"])
 
-    every = F.xxhash64(F.col(id_col))
-    voted = docs.select(F.col(text_col).alias("text"), every.alias("pick")).mapInArrow(cast, "votes string, pick long")
+    every = F.xxhash64(F.col(id_col), F.col(text_col))
+    voted = docs.select(F.col(text_col).alias("text")).mapInArrow(cast, "votes string")
     table = voted.groupBy("votes").agg(F.count("*").alias("n")).toPandas()  # 3 ** LABELLERS rows at most
     posterior: dict[str, float] = {}
     weights, bias = np.zeros(1 << BITS), -40.0
@@ -145,13 +146,18 @@ def judge_weakly(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         step = max(1, -(-int(table["n"].sum()) // max_rows))
 
         def encode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen: set[int] = set()
             for b in batches:
+                b = b.drop_duplicates("pick")
+                b = b[~b["pick"].isin(seen)]
+                seen.update(b["pick"])
                 rows = [hashed_features(t) for t in b["text"]]
                 label = [posterior["".join("-0+"[v + 1] for v in votes(t))] for t in b["text"]]
-                yield pd.DataFrame({"y": label, "at": [r[0] for r in rows], "value": [r[1] for r in rows]})
+                yield pd.DataFrame({"pick": b["pick"].to_numpy(), "y": label, "at": [r[0] for r in rows], "value": [r[1] for r in rows]})
 
-        picked = docs.filter(F.pmod(every, F.lit(step)) == 0).select(F.col(text_col).alias("text"))
-        sample = picked.mapInPandas(encode, "y double, at array<int>, value array<float>").toPandas()  # about max_rows rows
+        picked = docs.filter(F.pmod(every, F.lit(step)) == 0).select(F.col(text_col).alias("text"), every.alias("pick"))
+        encoded = picked.mapInPandas(encode, "pick long, y double, at array<int>, value array<float>")
+        sample = encoded.dropDuplicates(["pick"]).orderBy("pick").toPandas()  # about max_rows rows
         cols = np.concatenate([np.asarray(x, np.int64) for x in sample["at"]] or [np.zeros(0, np.int64)])
         values = np.concatenate([np.asarray(x, float) for x in sample["value"]] or [np.zeros(0)])
         rows = np.repeat(np.arange(len(sample)), sample["at"].map(len).to_numpy(int))
@@ -174,5 +180,6 @@ def judge_weakly(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op2_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``: votes, posterior, score and verdict; nulls, empties, ties and repeats as the module says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return judge_weakly(docs).select("doc_id", "votes", "posterior", "score", "kept")
