@@ -51,6 +51,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,7 @@ SLACK = 2.0  # standard deviations of a signature's distance
 COUNTED = 20_000  # documents on which the frequency of shingles is counted
 FREQUENT = 1 << 16  # shingles at most whose frequency orders prefixes
 BUCKET = 1 << 18  # prefix rows of a group
+PAIRS = 512  # pairs that a group checks
 WIDE = 64  # rows that share a shingle, beyond which the largest component's are not paired with each other
 SEED = 42
 BLOCK = 1 << 21
@@ -140,27 +142,60 @@ def set_node(hashes: np.ndarray) -> int:
     return int(np.array(xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED), np.uint64).view(np.int64)) if len(hashes) else 0
 
 
-def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float | None) -> DataFrame:
-    """``(id, fp)`` for every row; with a similarity, of the set of words, with node and signature of the set of shingles."""
+def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """``(id, text_hash, node, fp)`` for every row; the node is the fingerprint."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for text in b["text"]:
-                if similarity is None:
-                    rows.append([fingerprint(text, words)])
-                else:
-                    parts = word_list(text)
-                    hashes = np.unique(shingle_hashes(parts, words))
-                    rows.append([word_fingerprint(parts), set_node(hashes), *signature(hashes)])
-            found = pd.DataFrame(np.array(rows, np.int64).reshape(len(b), -1), columns=names)
-            found.insert(0, "id", b["id"].to_numpy())
-            yield found
-
-    names = ["fp"] if similarity is None else ["fp", "node", *SIGNS]
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kinds = f"id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names)
-    return narrow.mapInPandas(run, kinds)
+            b["fp"] = np.array([fingerprint(t, words) for t in b.pop("text")], np.int64)
+            b["node"] = b["fp"]
+            yield b
+
+    return _narrow(docs, id_col, text_col).mapInPandas(run, f"{_row_kind(docs, id_col)}, fp long, node long")
+
+
+def with_sets(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``(id, text_hash, node)`` for every row; the node names its set of shingles.
+
+    The first row of a node in a task also has the fingerprint ``fp`` of its set of words, and the signature, the size
+    ``n``, the parities and the prefix of its set of shingles, in the order of ``common`` (see ``frequent_shingles``).
+    """
+    often, counts = common
+    names = ["fp", *SIGNS, "n", "parity"]
+
+    def describe(parts: list[bytes], hashes: np.ndarray) -> tuple:
+        seen = np.zeros(len(hashes), np.int64)
+        if len(often):
+            at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+            seen = np.where(often[at] == hashes, counts[at], 0)
+        size = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1 if len(hashes) else 0
+        prefix = hashes[np.lexsort((hashes, seen))[:size]].view(np.int64)
+        return word_fingerprint(parts), *signature(hashes), len(hashes), parity(hashes), prefix
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
+        for b in batches:
+            nodes, rows = [], []
+            for text in b.column("text").to_pylist():
+                parts = word_list(text)
+                hashes = np.unique(shingle_hashes(parts, words))
+                nodes.append(set_node(hashes))
+                rows.append((None,) * (len(names) + 1) if nodes[-1] in known else describe(parts, hashes))
+                known.add(nodes[-1])
+            *numbers, prefix = zip(*rows, strict=True) if rows else [()] * (len(names) + 1)
+            found = [pa.array(c, pa.int64()) for c in (nodes, *numbers)] + [pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), *found], ["id", "text_hash", "node", *names, "prefix"])
+
+    kinds = ", ".join(f"{c} long" for c in ("node", *names)) + ", prefix array<long>"
+    return _narrow(docs, id_col, text_col).mapInArrow(run, f"{_row_kind(docs, id_col)}, {kinds}")
+
+
+def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+
+
+def _row_kind(docs: DataFrame, id_col: str) -> str:
+    return f"id {docs.schema[id_col].dataType.simpleString()}, text_hash long"
 
 
 class Tree:
@@ -358,25 +393,32 @@ def texts_sets(texts: pd.Series, words: int, seen: set[int]) -> Iterator[tuple[i
 def check_links(
     links: DataFrame, each: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float
 ) -> DataFrame:
-    """The links whose texts' sets of shingles have at least this Jaccard similarity."""
+    """The links whose texts' sets of shingles have at least this Jaccard similarity.
+
+    Links are dealt into groups of about ``PAIRS`` by their first node, that of a node with many links into several; a
+    group gets the texts of its nodes, which are shorter than their sets of shingles.
+    """
     links = stage(links.distinct(), "candidates")
-    ends = stage(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-    wanted = stage(each.join(ends, "node").select(F.col("least").alias("wanted")).distinct(), "wanted")
+    degree = links.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).alias("many"))
+    deal = F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("many")))
+    links = stage(links.join(degree, "a").select("a", "b", F.pmod(deal, F.lit(links.count() // PAIRS + 1)).alias("bucket")), "dealt")
+    ends = links.select("bucket", F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = stage(ends.join(each.select("node", "least", "text_hash"), "node"), "wanted")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    same = F.col("id").eqNullSafe(F.col("least")) & (F.xxhash64("text") == F.col("text_hash"))
+    texts = texts.join(wanted, same).select("bucket", "text")
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for b in batches:
-            found = list(texts_sets(b["text"], words, seen))
-            yield pd.DataFrame({"node": [n for n, _ in found], "shingles": [h.view(np.int64) for _, h in found]})
+    def check(texts: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        sets = dict(texts_sets(texts["text"], words, set()))
+        kept = []
+        for a, b in zip(pairs["a"], pairs["b"], strict=True):
+            x, y = sets[a], sets[b]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            # 1e-9: a product such as 0.7 * 10 may lie above the whole number that it stands for
+            kept.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+        return pairs.loc[np.array(kept, bool), ["a", "b"]]
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
-    sets = texts.mapInPandas(run, "node long, shingles array<long>").join(ends, "node", "left_semi")
-    sets = stage(sets.groupBy("node").agg(F.first("shingles").alias("s")), "shingles")
-    left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in ("a", "b"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    # 1e-9: a product such as 0.7 * 10 may lie above the whole number that it stands for
-    return links.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
+    return texts.groupBy("bucket").cogroup(links.groupBy("bucket")).applyInPandas(check, "a long, b long")
 
 
 def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -445,29 +487,20 @@ def prefix_pairs(group: pd.DataFrame, similarity: float) -> np.ndarray:
     return np.unique(np.concatenate(found), axis=0)
 
 
-def prefix_candidates(docs: DataFrame, text_col: str, groups: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``(a, b)``: every pair of nodes of at least the similarity that ``groups`` do not join, and some others."""
-    texts = docs.select(F.col(text_col).alias("text"))
-    common, counts = frequent_shingles(texts, words)
+def prefix_candidates(sets: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: every pair of nodes of at least the similarity that ``groups`` do not join, and some others.
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = {0}
-        for b in batches:
-            rows = []
-            for node, hashes in texts_sets(b["text"], words, seen):
-                often = np.zeros(len(hashes), np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-                    often = np.where(common[at] == hashes, counts[at], 0)
-                size = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1
-                rows.append((node, len(hashes), parity(hashes), hashes[np.lexsort((hashes, often))[:size]].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["node", "n", "parity", "prefix"])
-
-    sets = stage(texts.mapInPandas(run, "node long, n long, parity long, prefix array<long>"), "prefixes")
-    total = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    named = sets.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = named.select("node", "n", "parity", "component", F.posexplode("prefix").alias("pos", "key"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(total // BUCKET + 1)))
+    Most shingles of a prefix are in one component only.  They are found by a sum over keys alone, before anything
+    else of a set is dealt by key.
+    """
+    prefixes = sets.filter("prefix IS NOT NULL").select("node", "n", "parity", "prefix")
+    named = prefixes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    keys = named.select(F.explode("prefix").alias("key"), "component").groupBy("key")
+    shared = keys.agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
+    shared = stage(shared, "shared")
+    rows = named.select("node", "n", "parity", "component", F.posexplode("prefix").alias("pos", "key")).join(shared, "key")
+    rows = stage(rows, "suspects")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(rows.count() // BUCKET + 1)))
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(prefix_pairs(group, similarity), columns=["a", "b"])
@@ -475,6 +508,28 @@ def prefix_candidates(docs: DataFrame, text_col: str, groups: DataFrame, words:
     return rows.groupBy("bucket").applyInPandas(pairs, "a long, b long")
 
 
+def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
+    """``(id, text_hash, node)`` for every row, and ``(node, fp, root)`` for every node, both written."""
+    if similarity is None:
+        marks = stage(with_fingerprints(docs, id_col, text_col, words), "fingerprints")
+        each = stage(marks.groupBy("node", "fp").agg(F.min("id").alias("least")), "distinct")
+        links = fingerprint_links(each, radius)
+    else:
+        common = frequent_shingles(docs.select(F.col(text_col).alias("text")), words)
+        marks = stage(with_sets(docs, id_col, text_col, words, similarity, common), "sets")
+        row = F.struct(F.col("id").isNull().alias("nameless"), "id", "text_hash")
+        each = marks.groupBy("node").agg(*[F.max(c).alias(c) for c in ("fp", *SIGNS)], F.min(row).alias("row"))
+        each = stage(each.select("node", "fp", *SIGNS, F.col("row.id").alias("least"), "row.text_hash"), "distinct")
+        links = fingerprint_links(each, radius, signature_limit(similarity))
+        links = check_links(links, each, docs, id_col, text_col, words, similarity)
+        known = stage(connected_components(links, "a", "b"), "known")
+        more = check_links(prefix_candidates(marks, known, similarity), each, docs, id_col, text_col, words, similarity)
+        links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+    groups = connected_components(links, "a", "b")
+    roots = each.join(groups, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("root"), "least")
+    return marks.select("id", "text_hash", "node"), stage(roots, "roots")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -488,35 +543,31 @@ def near_duplicates(
     With a ``similarity``, pairs link by the Jaccard similarity of their sets of shingles of ``words`` words, and
     ``radius`` is that of the fingerprints of their sets of words.
     """
-    marks = stage(with_fingerprints(docs, id_col, text_col, words, similarity), "fingerprints")
-    if similarity is None:
-        marks = marks.withColumn("node", F.col("fp"))
-    keys = [c for c in marks.columns if c != "id"]
-    each = stage(marks.groupBy(*keys).agg(F.min("id").alias("least")), "distinct")
-    limit = None if similarity is None else signature_limit(similarity)
-    links = fingerprint_links(each, radius, limit)
-    if similarity is not None:
-        links = check_links(links, each, docs, id_col, text_col, words, similarity)
-        known = stage(connected_components(links, "a", "b"), "known")
-        more = check_links(prefix_candidates(docs, text_col, known, words, similarity), each, docs, id_col, text_col, words, similarity)
-        links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    groups = connected_components(links, "a", "b")
-    named = each.select("node", "least").join(groups, "node", "left")
-    named = named.withColumn("root", F.coalesce("component", "node")).select("node", "root", "least")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = stage(named.join(least, "root").select("node", "component_id"), "components")
+    marks, roots = grouped(docs, id_col, text_col, words, radius, similarity)
+    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = stage(roots.join(least, "root").select("node", "fp", "component_id"), "components")
     return marks.join(names, "node").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Rows of ``docs``, one a component: that of its smallest id. Rows without an id cannot be told apart and stay."""
-    found = near_duplicates(docs, id_col, text_col, words, WORD_RADIUS, similarity)
-    keep = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
-    known = docs.filter(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("__id"), "left_semi")
-    return known.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    """Rows of ``docs``, one a component: that of its smallest id, and among rows of that id the least hash of the text.
+
+    Rows of one id with texts of different components all stay; a row without an id stays only where no row of its
+    component has an id. Of rows with equal id and text any one stays.
+    """
+    marks, roots = grouped(docs, id_col, text_col, words, WORD_RADIUS, similarity)
+    rows = marks.groupBy("id", "text_hash", "node").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("id").isNull().alias("nameless"), "id", "text_hash", "n")
+    keep = rows.join(roots.select("node", "root"), "node").groupBy("root").agg(F.min(order).alias("m"))
+    keep = stage(keep.select(F.col("m.id").alias("__id"), F.col("m.text_hash").alias("__hash"), F.col("m.n").alias("__n")), "kept")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
+    one = docs.join(keep.filter("__n = 1"), same, "left_semi")
+    several = docs.join(keep.filter("__n > 1"), same).dropDuplicates(["__id", "__hash"])
+    return one.unionByName(several.select(*docs.columns))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``: fingerprint and component of every row; nulls, empties, ties and repeats as the module says."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

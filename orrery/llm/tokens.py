@@ -26,7 +26,7 @@ from orrery.workers import per_worker
 # White space as Unicode defines it; Python's \s also takes four control characters.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Words a worker keeps; all are dropped when there are more.
-KEEP = 1_200_000
+KEEP = 600_000
 SPACE_RE2 = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"  # the same, as Arrow writes it
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = r"!-&(-/:-@\[-`{-~"  # of ASCII, but the apostrophe, with which contractions begin
