@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,23 +52,26 @@ def fertility(ids: np.ndarray, is_byte: np.ndarray, chars: int) -> tuple[float,
 
 
 def with_measures(docs: DataFrame, id_col: str, text_col: str, lang_col: str, path: str) -> DataFrame:
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["id", "lang", *COUNTS, "n_tokens", *REACH]
+    kinds = [pa.int64()] * (len(COUNTS) + 1) + [pa.float64()] * len(REACH)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = piece_encoder(path)
         for b in batches:
-            ids, sizes = words.encode_all(pa.array(b["text"], pa.string()))
-            ends = np.cumsum(sizes)
-            rows = []
-            for text, start, end in zip(b["text"], (ends - sizes).tolist(), ends.tolist(), strict=True):
-                counts = basic_counts(text)
-                rows.append((*counts, end - start, *fertility(ids[start:end], words.is_byte, counts[1])))
-            found = pd.DataFrame(rows, columns=[*COUNTS, "n_tokens", *REACH])
-            yield pd.concat([b[["id", "lang"]].astype(object), found], axis=1)
-
-    kinds = f"id {docs.schema[id_col].dataType.simpleString()}, lang string, " + ", ".join(
+            for at, ids, sizes in words.encode_parts(b.column("text")):
+                own, rows, start = b.slice(at, len(sizes)), [], 0
+                for text, n in zip(own.column("text"), sizes.tolist(), strict=True):
+                    counts = basic_counts(text.as_py())
+                    rows.append((*counts, n, *fertility(ids[start : start + n], words.is_byte, counts[1])))
+                    start += n
+                found = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([own.column("id"), own.column("lang"), *found], names)
+
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, lang string, " + ", ".join(
         [f"{c} long" for c in (*COUNTS, "n_tokens")] + [f"{m} double" for m in REACH]
     )
     narrow = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    return narrow.mapInPandas(run, kinds)
+    return narrow.mapInArrow(run, schema)
 
 
 def base_failed() -> Column:

@@ -65,11 +65,11 @@ def write_ids(
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, SCHEMA, strict=True)], schema=SCHEMA)
 
         for b in batches:
-            more, size = words.encode_all(b.column("text"), end_id)
-            names = names + b.column("id").to_pylist()
-            lengths, ids = np.concatenate([lengths, size]), np.concatenate([ids, more])
-            while len(ids) >= block_ids:
-                yield flush(int(np.searchsorted(np.cumsum(lengths), block_ids)) + 1)
+            for at, more, size in words.encode_parts(b.column("text"), end_id):
+                names = names + b.column("id").slice(at, len(size)).to_pylist()
+                lengths, ids = np.concatenate([lengths, size]), np.concatenate([ids, more])
+                while len(ids) >= block_ids:
+                    yield flush(int(np.searchsorted(np.cumsum(lengths), block_ids)) + 1)
         if names:
             yield flush(len(names))
 

@@ -112,26 +112,31 @@ def plan_runs(counts: dict[int, int], length: int) -> np.ndarray:
 def tokenised_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, length: int, with_ids: bool) -> DataFrame:
     """Pieces of every document, each numbered among those of its length in its task."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path, spaced=True)
         part = TaskContext.get().partitionId()
         seen = np.zeros(length + 1, np.int64)
         for b in batches:
-            ids, sizes = words.encode_all(pa.array(b["text"], pa.string()), end_id)
-            ids, ends = ids.astype("<u4"), np.cumsum(sizes)
-            rows = []
-            for doc, first, n in zip(b["id"], (ends - sizes).tolist(), sizes.tolist(), strict=True):
-                edges = [*range(n % length or length, n, length), n] if n > length else [n]
-                start = 0
-                for piece, end in enumerate(edges):
-                    own = ids[first + start : first + end].tobytes()
-                    rows.append((doc, piece, start, end - start, zlib.crc32(own), part, seen[end - start], own if with_ids else None))
-                    seen[end - start] += 1
-                    start = end
-            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids"])
+            for at, ids, sizes in words.encode_parts(b.column("text"), end_id):
+                ids, ends = ids.astype("<u4"), np.cumsum(sizes)
+                docs, rows = [], []
+                for k, (first, n) in enumerate(zip((ends - sizes).tolist(), sizes.tolist(), strict=True), at):
+                    edges = [*range(n % length or length, n, length), n] if n > length else [n]
+                    start = 0
+                    for piece, end in enumerate(edges):
+                        own = ids[first + start : first + end].tobytes()
+                        docs.append(k)
+                        rows.append((piece, start, end - start, zlib.crc32(own), part, int(seen[end - start]), own if with_ids else None))
+                        seen[end - start] += 1
+                        start = end
+                found = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(docs)), *found], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long, ids binary"
     )
 

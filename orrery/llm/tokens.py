@@ -13,6 +13,7 @@ in a text becomes that token.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -31,7 +32,7 @@ SPACE_RE2 = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = r"!-&(-/:-@\[-`{-~"  # of ASCII, but the apostrophe, with which contractions begin
 #: Bytes of text that are cut into words at once.
-CHUNK = 1 << 24
+CHUNK = 1 << 22
 
 
 class _Index(dict):
@@ -121,23 +122,23 @@ class WordEncoder:
         return at
 
     def encode(self, text: str | None) -> np.ndarray:
-        return self.encode_all(pa.array([text], pa.string()))[0]
+        return np.concatenate([np.zeros(0, np.int32), *[ids for _, ids, _ in self.encode_parts(pa.array([text], pa.string()))]])
 
-    def encode_all(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and how many each text has; ``end_id``, if given, follows each text's own."""
+    def encode_parts(self, texts: pa.Array, end_id: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For runs of texts of about ``CHUNK`` bytes: first row, ids of its texts in a row, and how many each text has.
+
+        ``end_id``, if given, follows each text's own ids.
+        """
         texts = pc.fill_null(texts, "")
-        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
-        ids, sizes, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
         while at < len(texts):
             begin = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, begin + CHUNK, "right")))
-            some, size = self._encode_some(texts.slice(at, to - at))
+            ids, size = self._encode_some(texts.slice(at, to - at))
             if end_id is not None:
-                some, size = np.insert(some, np.cumsum(size), end_id), size + 1
-            ids.append(some)
-            sizes.append(size)
+                ids, size = np.insert(ids, np.cumsum(size), end_id), size + 1
+            yield at, ids, size
             at = to
-        return np.concatenate(ids), np.concatenate(sizes)
 
     def _encode_some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > self.keep:

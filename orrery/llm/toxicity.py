@@ -192,7 +192,7 @@ class Scorer:
         self.seen: dict[str, tuple[str, ...]] = {}
 
     def score(self, text: str | None) -> float:
-        if len(self.seen) > 500_000:
+        if len(self.seen) > 300_000:
             self.seen.clear()
         found: set[str] = set()
         seen = self.seen
