@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from difflib import SequenceMatcher
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -67,17 +68,61 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return F.greatest(indel_ratio(both, left), indel_ratio(both, right), indel_ratio(left, right))
 
 
+def shared_from(threshold: float) -> int:
+    """Least length of the longer of two names from which a ratio of ``threshold`` leaves them a pair of letters in common.
+
+    Names of m and n letters are at most ``d = (1 - ratio) * (m + n)`` insertions and deletions apart, and each of these
+    takes at most two of the longer one's m - 1 pairs.
+    """
+    fails = [m for m in range(1, 400) if m - 1 - 2 * int((1 - threshold) * 2 * m + 1e-9) < 1]
+    return max(fails, default=0) + 1
+
+
+def name_keys(threshold: float) -> Callable[[Column], Column]:
+    """Keys of which two names have one in common if their indel ratio is ``threshold`` or more.
+
+    Pairs of letters, and for short names also what is left when as few letters are taken away as the ratio allows.
+    """
+    least, band = shared_from(threshold), threshold / (2 - threshold)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def keys(names: pd.Series) -> pd.Series:
+        found = []
+        for name in names:
+            own: set[str] = set()
+            if name is not None:
+                n = len(name)
+                if n >= least * band - 1:
+                    own.update("=" + name[k : k + 2] for k in range(n - 1))
+                if n < least:
+                    most = int((1 - threshold) * (n + least) + 1e-9)
+                    for k in range(max(0, n - most), n + 1):
+                        own.update("-" + "".join(c) for c in combinations(name, k))
+            found.append(sorted(own))
+        return pd.Series(found)
+
+    return keys
+
+
 def fuzzy_join(
     left: DataFrame, right: DataFrame, left_name: str, right_name: str, block: list[str], threshold: float, top: int, order: list[str]
 ) -> DataFrame:
     """Pairs within equal ``block`` columns whose names have an indel ratio of ``threshold``; the best ``top`` of each left row.
 
-    ratio >= r needs min(length) / max(length) >= r / (2 - r): pairs outside that band are never compared.
+    Distinct names are compared, once each, if they share a key that any such pair has (see ``name_keys``) and their
+    lengths allow the ratio: min(length) / max(length) >= r / (2 - r).  Rows come in after that.
     """
-    band = threshold / (2 - threshold)
-    a, b = F.length(left_name), F.length(right_name)
-    pairs = left.join(right, block).filter((F.least(a, b) >= F.greatest(a, b) * band))
-    pairs = pairs.withColumn("similarity", F.round(indel_ratio(F.col(left_name), F.col(right_name)), 4)).filter(F.col("similarity") >= threshold)
+    keys, band = name_keys(threshold), threshold / (2 - threshold)
+    one, two = (
+        rows.select(*block, F.col(name).alias(side)).filter(F.col(side).isNotNull()).distinct()
+        for rows, name, side in ((left, left_name, "__x"), (right, right_name, "__y"))
+    )
+    keyed = one.withColumn("__key", F.explode(keys("__x"))).join(two.withColumn("__key", F.explode(keys("__y"))), [*block, "__key"])
+    a, b = F.length("__x"), F.length("__y")
+    names = keyed.filter(F.least(a, b) >= F.greatest(a, b) * band - 1e-9).select(*block, "__x", "__y").distinct()
+    names = names.withColumn("similarity", F.round(indel_ratio(F.col("__x"), F.col("__y")), 4)).filter(F.col("similarity") >= threshold)
+    pairs = left.join(names.withColumnRenamed("__x", left_name), [*block, left_name]).join(right.withColumnRenamed(right_name, "__y"), [*block, "__y"])
+    pairs = pairs.withColumnRenamed("__y", right_name)
     best = W.partitionBy(order[0]).orderBy(F.desc("similarity"), *order[1:])
     return pairs.withColumn("pos", F.row_number().over(best)).filter(F.col("pos") <= top)
 

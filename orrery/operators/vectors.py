@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TILE = 1024
 
 
-def _tiles(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
+def _tiles(vectors: DataFrame, key: str, vector: str, *more: Column) -> tuple[DataFrame, int]:
     n = max(1, -(-vectors.count() // TILE))
-    rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).filter(F.col("v").isNotNull())
+    rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), *more).filter(F.col("v").isNotNull())
     return rows.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
 
 
@@ -48,22 +48,39 @@ def knn(vectors: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
-    """``(a, b)`` with a < b and cosine of at least ``threshold``."""
-    rows, n = _tiles(vectors, key, vector)
+def similar(vectors: DataFrame, key: str, vector: str, threshold: float, within: str | None = None) -> DataFrame:
+    """``(id, n, up)``: from every pair of tiles, how many vectors of cosine ``threshold`` or more a vector has, and one to hang it on.
+
+    Never the pairs themselves: sums of ``n`` are degrees, and components of ``(id, up)`` are those of all pairs.
+    ``within`` names a column on which vectors must agree.
+    """
+    rows, n = _tiles(vectors, key, vector, (F.lit(0) if within is None else F.xxhash64(within)).alias("g"))
     meets = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda u: F.struct(F.least(u, "tile").alias("x"), F.greatest(u, "tile").alias("y")))
-    sent = rows.withColumn("m", F.explode(meets)).select("id", "v", "tile", "m.x", "m.y")
+    sent = rows.withColumn("m", F.explode(meets)).select("id", "v", "g", "tile", "m.x", "m.y")
 
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[group["tile"] == group["x"].iloc[0]], group[group["tile"] == group["y"].iloc[0]]
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        x, y = part["x"].iloc[0], part["y"].iloc[0]
+        left = part if x == y else part[part["tile"] == x]
+        right = part if x == y else part[part["tile"] == y]
         if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": []})
-        i, j = np.nonzero(_unit(left["v"]) @ _unit(right["v"]).T >= threshold)
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        once = (a < b) if group["x"].iloc[0] == group["y"].iloc[0] else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[once], "b": np.maximum(a, b)[once]})
-
-    return sent.groupBy("x", "y").applyInPandas(pairs, "a long, b long")
+            return pd.DataFrame({"id": [], "n": [], "up": []})
+        near = (_unit(left["v"]) @ _unit(right["v"]).T >= threshold) & (left["g"].to_numpy()[:, None] == right["g"].to_numpy())
+        if x == y:
+            np.fill_diagonal(near, False)
+        else:
+            near = np.block([[np.zeros((len(left), len(left)), bool), near], [near.T, np.zeros((len(right), len(right)), bool)]])
+        ids = left["id"].to_numpy() if x == y else np.concatenate([left["id"], right["id"]])
+        up = np.arange(len(ids))
+        while True:  # the least position reached by links settles after as many rounds as the longest way
+            best = np.minimum(up, np.where(near, up, len(ids)).min(axis=1, initial=len(ids)))
+            best = best[best]
+            if np.array_equal(best, up):
+                break
+            up = best
+        some = near.any(axis=1)
+        return pd.DataFrame({"id": ids[some], "n": near.sum(axis=1)[some], "up": ids[up[some]]})
+
+    return sent.groupBy("x", "y").applyInPandas(work, "id long, n long, up long")
 
 
 def representatives(vectors: DataFrame, key: str, vector: str, group: str, k: int) -> DataFrame:
@@ -77,11 +94,15 @@ def representatives(vectors: DataFrame, key: str, vector: str, group: str, k: in
     return rows.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
 
 
-def group_tfidf(terms: DataFrame, group: str, term: str, k: int) -> DataFrame:
-    """``group, term, weight, rank``: the k terms of most weight, groups as documents, smooth idf, unit length."""
+def group_tfidf(terms: DataFrame, group: str, term: str, k: int, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
+    """``group, term, weight, rank``: the k terms of most weight, groups as documents, smooth idf, unit length.
+
+    Only terms of ``min_df`` groups or more, and of at most the share ``max_df`` of all groups, count.
+    """
     tf = terms.groupBy(group, term).agg(F.count("*").alias("tf"))
     n = tf.select(group).distinct().agg(F.count("*").alias("n"))
     df = tf.groupBy(term).agg(F.count("*").alias("df"))
+    df = df.join(F.broadcast(n)).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))).drop("n")  # n: one row
     weighted = tf.join(df, term).join(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = weighted.groupBy(group).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
     scored = weighted.join(norm, group).withColumn("weight", F.round(F.col("w") / F.col("norm"), 4))

@@ -9,11 +9,11 @@ from orrery.functions import text as X
 from orrery.operators.graph import connected_components
 from orrery.operators.search import prefix_search
 from orrery.operators.similarity import cascade, fuzzy_join, indel_ratio, sequence_ratio_above, token_set_ratio, token_sort
-from orrery.operators.vectors import group_tfidf, knn, representatives, similar_pairs
+from orrery.operators.vectors import group_tfidf, knn, representatives, similar
 from orrery.queries.registry import query
 from orrery.queries.textual import DOC_TOK
 from orrery.sources.tables import table
-from orrery.storage import table_path
+from orrery.storage import stage, table_path
 from orrery.streaming import jobs
 from orrery.streaming.jobs import deduplicated, file_stream, run_once, run_update, upsert_batches
 
@@ -57,9 +57,9 @@ def fuzzy_ratio(spark: SparkSession, folder: str) -> DataFrame:
 def fuzzy_best(spark: SparkSession, folder: str) -> DataFrame:
     """Best token-sorted match of each noisy part name among the distinct names."""
     part = table(spark, folder, "part")
-    noisy = part.select("p_partkey", token_sort(F.concat(F.reverse(F.split("p_name", " "))[0], F.lit(" "), F.reverse(F.split("p_name", " "))[1], F.lit("x"))).alias("noisy"), F.lit(1).alias("b"))
-    names = part.select("p_name").distinct().select("p_name", token_sort(F.col("p_name")).alias("plain"), F.lit(1).alias("b"))
-    return fuzzy_join(noisy, names, "noisy", "plain", ["b"], 0.85, 1, ["p_partkey", "p_name"]).select("p_partkey", "p_name", "similarity")
+    noisy = part.select("p_partkey", token_sort(F.concat(F.reverse(F.split("p_name", " "))[0], F.lit(" "), F.reverse(F.split("p_name", " "))[1], F.lit("x"))).alias("noisy"))
+    names = part.select("p_name").distinct().select("p_name", token_sort(F.col("p_name")).alias("plain"))
+    return fuzzy_join(noisy, names, "noisy", "plain", [], 0.85, 1, ["p_partkey", "p_name"]).select("p_partkey", "p_name", "similarity")
 
 
 @query()
@@ -82,25 +82,6 @@ def name_similarity_join(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select("c_custkey", "s_suppkey", score.alias("similarity")).filter("similarity >= 0.5")
 
 
-@query()
-def match_confidence(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "part").select("p_partkey", "p_name", F.concat_ws(" ", F.reverse(F.split("p_name", " ")), F.lit("company")).alias("title"))
-    similar = F.round(token_set_ratio(F.col("p_name"), F.col("title")), 4)
-    return rows.select("p_partkey", similar.alias("similarity")).withColumn("confidence", F.when(F.col("similarity") >= 0.99, 0.5).when(F.col("similarity") >= 0.8, 0.4).otherwise(0.3 * F.col("similarity")))
-
-
-@query("""SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'normalised' ELSE 'prefix' END AS stage, s_suppkey AS target FROM supplier""")
-def match_cascade(spark: SparkSession, folder: str) -> DataFrame:
-    """Names as written, normalised, and by their number; the first that finds a supplier decides."""
-    s = table(spark, folder, "supplier")
-    k = F.col("s_suppkey") % 3
-    noisy = F.when(k == 0, F.col("s_name")).when(k == 1, F.concat(F.upper("s_name"), F.lit(" GmbH"))).otherwise(F.concat(F.lit("Dealer no. "), F.regexp_extract("s_name", r"(\d+)$", 1)))
-    digits = lambda c: F.regexp_extract(c, r"(\d+)$", 1)
-    rows, targets = s.select("s_suppkey", noisy.alias("noisy")), s.select(F.col("s_suppkey").alias("target"), "s_name")
-    keys = [("exact", F.col("noisy"), F.col("s_name")), ("normalised", X.normalize_name(F.col("noisy")), X.normalize_name(F.col("s_name"))), ("prefix", digits(F.col("noisy")), digits(F.col("s_name")))]
-    return cascade(rows, targets, "s_suppkey", keys, "target")
-
-
 @query("""SELECT k, string_agg(DISTINCT origin, ',' ORDER BY origin) AS origins, max(conf) AS confidence FROM (SELECT c_nationkey AS k, 'customer' AS origin, 0.9 AS conf FROM customer WHERE c_acctbal > 9000
     UNION ALL SELECT s_nationkey, 'supplier', 0.8 FROM supplier WHERE s_acctbal > 5000 UNION ALL SELECT CAST(user_id % 25 AS INT), 'event', 0.6 FROM events WHERE event_type = 'error') GROUP BY k""")
 def detect_union(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,9 +95,9 @@ def detect_union(spark: SparkSession, folder: str) -> DataFrame:
 def alias_build(spark: SparkSession, folder: str) -> DataFrame:
     """Raw tags to frequent ones: exact, fuzzy, or kept as they are."""
     raw = table(spark, folder, "part").select(F.explode(F.split("p_name", " ")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
-    noisy = raw.select(F.concat("tag", F.lit("z")).alias("raw")).unionByName(raw.select(F.col("tag").alias("raw"))).withColumn("b", F.lit(1))
-    targets = raw.select(F.col("tag").alias("canonical"), F.lit(1).alias("b"))
-    found = fuzzy_join(noisy, targets, "raw", "canonical", ["b"], 0.8, 1, ["raw", "canonical"]).select("raw", "canonical", "similarity")
+    noisy = raw.select(F.concat("tag", F.lit("z")).alias("raw")).unionByName(raw.select(F.col("tag").alias("raw")))
+    targets = raw.select(F.col("tag").alias("canonical"))
+    found = fuzzy_join(noisy, targets, "raw", "canonical", [], 0.8, 1, ["raw", "canonical"]).select("raw", "canonical", "similarity")
     return noisy.select("raw").join(found, "raw", "left").withColumn("method", F.when(F.col("similarity") == 1, "exact").when(F.col("similarity").isNotNull(), "fuzzy").otherwise("kept"))
 
 
@@ -148,14 +129,17 @@ def cluster_representatives(spark: SparkSession, folder: str) -> DataFrame:
     return representatives(table(spark, folder, "embeddings"), "vec_id", "embedding", "label", 5).withColumnRenamed("id", "vec_id")
 
 
-@query(f"""WITH tf AS (SELECT lang, term, count(*) AS tf FROM (SELECT lang, unnest({DOC_TOK}) AS term FROM documents) GROUP BY lang, term),
-    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(DISTINCT lang) AS n FROM tf),
+@query(f"""WITH t AS (SELECT lang, {DOC_TOK} AS t FROM documents),
+    tf AS (SELECT lang, term, count(*) AS tf FROM (SELECT lang, unnest(t || list_transform(range(1, greatest(1, len(t))), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM t) GROUP BY lang, term),
+    n AS (SELECT count(DISTINCT lang) AS n FROM tf), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) <= 0.75 * (SELECT n FROM n)),
     w AS (SELECT lang, tf.term, tf * (ln((1.0 + n) / (1.0 + df)) + 1) AS w FROM tf JOIN df ON tf.term = df.term, n),
     s AS (SELECT w.lang, w.term, round(w / norm, 4) AS weight FROM w JOIN (SELECT lang, sqrt(sum(w * w)) AS norm FROM w GROUP BY lang) x ON w.lang = x.lang)
     SELECT lang, term, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY weight DESC, term) AS rank FROM s) WHERE rank <= 8""")
 def cluster_tfidf(spark: SparkSession, folder: str) -> DataFrame:
-    terms = table(spark, folder, "documents").select("lang", F.explode(X.tokens(F.col("text"))).alias("term"))
-    return group_tfidf(terms, "lang", "term", 8)
+    """Words and pairs of words; a term of more than three quarters of the groups says nothing about one."""
+    words = table(spark, folder, "documents").select("lang", X.tokens(F.col("text")).alias("t"))
+    terms = words.select("lang", F.explode(F.concat("t", X.ngrams(F.col("t"), 2))).alias("term"))
+    return group_tfidf(terms, "lang", "term", 8, max_df=0.75)
 
 
 @query("""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
@@ -163,20 +147,49 @@ def cluster_tfidf(spark: SparkSession, folder: str) -> DataFrame:
     r(node, reach) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a)
     SELECT node AS vec_id, min(reach) AS component FROM r GROUP BY node""")
 def similarity_components(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = similar_pairs(table(spark, folder, "embeddings"), "vec_id", "embedding", 0.4)
-    return connected_components(pairs, "a", "b").withColumnRenamed("node", "vec_id")
+    links = stage(similar(table(spark, folder, "embeddings"), "vec_id", "embedding", 0.4), "links")
+    return connected_components(links, "id", "up").withColumnRenamed("node", "vec_id")
 
 
-@query()
+_DENSE = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.x, b.x) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+    core AS (SELECT a FROM p WHERE s >= 0.35 GROUP BY a HAVING count(*) >= 3),
+    e AS (SELECT p.a, p.b FROM p JOIN core x ON p.a = x.a JOIN core y ON p.b = y.a WHERE s >= 0.35),
+    r(node, reach) AS (SELECT a, a FROM core UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a),
+    c AS (SELECT node, min(reach) AS cluster FROM r GROUP BY node)"""
+
+
+def _dense(vectors: DataFrame, least: float, neighbours: int) -> DataFrame:
+    """``(vec_id, cluster)`` of core vectors: components among those with so many neighbours."""
+    near = similar(vectors, "vec_id", "embedding", least)
+    core = near.groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= neighbours).select(F.col("id").alias("vec_id"))
+    cores = stage(vectors.join(core, "vec_id", "left_semi"), "cores")
+    found = connected_components(stage(similar(cores, "vec_id", "embedding", least), "links"), "id", "up")
+    found = found.withColumnRenamed("node", "vec_id")
+    return cores.select("vec_id").join(found, "vec_id", "left").select("vec_id", F.coalesce("component", "vec_id").alias("cluster"))
+
+
+@query(f"{_DENSE} SELECT v.vec_id, coalesce(c.cluster, -1) AS cluster FROM v LEFT JOIN c ON v.vec_id = c.node")
 def density_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Core points have three near neighbours or more; clusters are components of core points; the rest is noise (-1)."""
-    vectors = table(spark, folder, "embeddings")
-    pairs = similar_pairs(vectors, "vec_id", "embedding", 0.35)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("vec_id"))
-    core = ends.groupBy("vec_id").count().filter("count >= 3").select("vec_id")
-    kept = pairs.join(core.withColumnRenamed("vec_id", "a"), "a", "left_semi").join(core.withColumnRenamed("vec_id", "b"), "b", "left_semi")
-    found = connected_components(kept, "a", "b").withColumnRenamed("node", "vec_id")
-    return vectors.select("vec_id").join(found, "vec_id", "left").select("vec_id", F.coalesce("component", F.lit(-1)).alias("cluster"))
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    found = _dense(vectors, 0.35, 3)
+    return vectors.select("vec_id").join(found, "vec_id", "left").select("vec_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+@query(f"""{_DENSE.replace('0.35', '0.3')}, big AS (SELECT cluster FROM c GROUP BY cluster HAVING count(*) >= 25), m AS (SELECT c.node, c.cluster FROM c JOIN big ON c.cluster = big.cluster),
+    f AS (SELECT p.a, p.b FROM p JOIN m x ON p.a = x.node JOIN m y ON p.b = y.node WHERE s >= 0.33 AND x.cluster = y.cluster),
+    q(node, reach) AS (SELECT node, node FROM m UNION SELECT q.node, f.b FROM q JOIN f ON q.reach = f.a)
+    SELECT q.node AS vec_id, m.cluster AS parent, min(q.reach) AS cluster FROM q JOIN m ON q.node = m.node GROUP BY q.node, m.cluster""")
+def sub_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters of 25 core points or more cut again, by a closer similarity and within the cluster."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    found = stage(_dense(vectors, 0.3, 3), "clusters")
+    big = found.groupBy("cluster").count().filter("count >= 25").select("cluster")
+    inside = stage(vectors.join(found.join(big, "cluster", "left_semi"), "vec_id"), "inside")
+    links = stage(similar(inside, "vec_id", "embedding", 0.33, within="cluster"), "links")
+    parts = connected_components(links, "id", "up").select(F.col("node").alias("vec_id"), "component")
+    return inside.join(parts, "vec_id", "left").select("vec_id", F.col("cluster").alias("parent"), F.coalesce("component", "vec_id").alias("cluster"))
 
 
 # -- sources and sinks ------------------------------------------------------------------------------------------------------------
@@ -206,38 +219,37 @@ def feed_parse(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("page_id", "x.title", "x.link", F.md5(F.concat("x.title", "x.link").cast("binary")).alias("item_hash"))
 
 
-@query("SELECT 'loaded' AS outcome, count(*) AS n FROM orders WHERE o_totalprice > 50000 AND o_orderkey % 5 <> 0 UNION ALL SELECT 'known', count(*) FROM orders WHERE o_totalprice > 50000 AND o_orderkey % 5 = 0 UNION ALL SELECT 'filtered', count(*) FROM orders WHERE o_totalprice <= 50000")
-def load_stats(spark: SparkSession, folder: str) -> DataFrame:
-    outcome = F.when(F.col("o_totalprice") <= 50000, "filtered").when(F.col("o_orderkey") % 5 == 0, "known").otherwise("loaded")
-    return table(spark, folder, "orders").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+# -- streams --------------------------------------------------------------------------------------------------------------------------
+def _span(events: DataFrame) -> str:
+    """A delay that no event of the table exceeds, so that none counts as late."""
+    days = events.agg(F.date_diff(F.max("ts"), F.min("ts"))).first()[0]
+    return f"{(days or 0) + 1} days"
 
 
-# -- streams --------------------------------------------------------------------------------------------------------------------------
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_dedupe(spark: SparkSession, folder: str) -> DataFrame:
-    """Events that arrive twice count once."""
+    """Events that arrive twice count once, in whatever order their files come."""
     events = table(spark, folder, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     stream = file_stream(events.unionByName(events).repartition(4, "event_id"), "twice")
-    return run_once(deduplicated(stream, "event_id", "ts", "60 days"), "once").select("event_id", "user_id", "event_type")
+    return run_once(deduplicated(stream, "event_id", "ts", _span(events)), "once").select("event_id", "user_id", "event_type")
 
 
 @query()
 def token_bucket_stream(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")).repartition(1)
+    """Files hold whole users in order of time, so that no batch brings a user's earlier events later."""
+    events = table(spark, folder, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    events = events.repartition(4, "user_id").sortWithinPartitions("ts")
     return run_update(jobs.token_bucket(file_stream(events, "requests"), "user_id", "ts", 0.05, 2.0), "buckets", "user_id")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch(ts) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events WHERE user_id IS NOT NULL),
+    s(user_id, k, sec, tokens, allowed) AS (SELECT user_id, k, sec, CAST(1 AS DOUBLE), 1 FROM e WHERE k = 1
+      UNION ALL SELECT e.user_id, e.k, e.sec, least(2.0, s.tokens + (e.sec - s.sec) * 0.05 / 3600) - CASE WHEN least(2.0, s.tokens + (e.sec - s.sec) * 0.05 / 3600) >= 1 THEN 1 ELSE 0 END,
+        s.allowed + CASE WHEN least(2.0, s.tokens + (e.sec - s.sec) * 0.05 / 3600) >= 1 THEN 1 ELSE 0 END FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)
+    SELECT user_id, max(k) AS n, max(allowed)::BIGINT AS allowed FROM s GROUP BY user_id""")
 def token_bucket(spark: SparkSession, folder: str) -> DataFrame:
     """The same recurrence over each user's ordered events, in batch."""
-    times = table(spark, folder, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.col("ts").cast("timestamp").cast("double"))).alias("t"))
-    first = F.struct(F.lit(2.0).alias("tokens"), F.get("t", F.lit(0)).alias("last"), F.lit(0).alias("allowed"))
-
-    def step(s, now):
-        tokens = F.least(F.lit(2.0), s["tokens"] + (now - s["last"]) * F.lit(0.05 / 3600))
-        return F.struct(F.when(tokens >= 1, tokens - 1).otherwise(tokens).alias("tokens"), now.alias("last"), (s["allowed"] + F.when(tokens >= 1, 1).otherwise(0)).alias("allowed"))
-
-    return times.select("user_id", F.size("t").alias("n"), F.aggregate("t", first, step, lambda s: s["allowed"]).alias("allowed"))
+    return jobs.token_bucket_batch(table(spark, folder, "events"), "user_id", "ts", 0.05, 2.0)
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY date_trunc('hour', ts), event_type")
@@ -249,10 +261,8 @@ def tumbling_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS pos FROM events) WHERE pos = 1")
 def stream_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """Micro-batches merged into a table: the latest event of each user."""
-    events = table(spark, folder, "events").select("user_id", "event_id", "event_type").repartition(3, "event_id")
-    target = table_path(spark, "latest")
-    upsert_batches(spark, file_stream(events, "updates", 10), target, "user_id", "event_id")
-    return spark.read.parquet(f"{target}/v0")
+    events = table(spark, folder, "events").select("user_id", "event_id", "event_type").repartition(5, "event_id")
+    return upsert_batches(spark, file_stream(events, "updates", 1), table_path(spark, "latest"), "user_id", "event_id")
 
 
 @query("""SELECT user_id AS company, count(*) AS mentions, round(max(value), 2) AS amount FROM events WHERE event_type = 'purchase' AND value > 20 AND ts >= TIMESTAMP '2024-01-08' AND user_id IN (SELECT c_custkey FROM customer) GROUP BY user_id""")
@@ -261,6 +271,6 @@ def news_pipeline(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "events").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts")).repartition(3, "event_id")
     stream = file_stream(items.unionByName(items.filter("event_id % 2 = 0")).repartition(3, "event_id"), "items", 3)
     fresh = stream.filter("ts >= timestamp'2024-01-08 00:00:00' AND event_type = 'purchase' AND value > 20")
-    seen = run_once(deduplicated(fresh, "event_id", "ts", "60 days"), "news")
+    seen = run_once(deduplicated(fresh, "event_id", "ts", _span(items)), "news")
     known = seen.join(table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id")), "user_id", "left_semi")
     return known.groupBy(F.col("user_id").alias("company")).agg(F.count("*").alias("mentions"), F.round(F.max("value"), 2).alias("amount"))

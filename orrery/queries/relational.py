@@ -198,9 +198,9 @@ define("per_source_cap", """
       FROM {documents}) t WHERE pos <= 50""")
 define("priority_dedupe", """
     SELECT k, origin, amount FROM (SELECT k, origin, amount, row_number() OVER (PARTITION BY k ORDER BY rank_no, amount DESC) AS pos FROM (
-      SELECT c_custkey AS k, 'customer' AS origin, c_acctbal AS amount, 1 AS rank_no FROM {customer} WHERE c_custkey % 2 = 0
-      UNION ALL SELECT s_suppkey, 'supplier', s_acctbal, 2 FROM {supplier}
-      UNION ALL SELECT p_partkey, 'part', p_retailprice, 3 FROM {part} WHERE p_partkey < 500) u) t WHERE pos = 1""")
+      SELECT s_suppkey AS k, 'supplier' AS origin, s_acctbal AS amount, 1 AS rank_no FROM {supplier}
+      UNION ALL SELECT c_custkey, 'customer', c_acctbal, 2 FROM {customer}
+      UNION ALL SELECT p_partkey, 'part', p_retailprice, 3 FROM {part}) u) t WHERE pos = 1""")
 define("best_match", """
     SELECT c_custkey, s_suppkey, diff FROM (SELECT c.c_custkey, s.s_suppkey, round(abs(c.c_acctbal - s.s_acctbal), 2) AS diff,
       row_number() OVER (PARTITION BY c.c_custkey ORDER BY abs(c.c_acctbal - s.s_acctbal), s.s_suppkey) AS pos
@@ -224,43 +224,12 @@ define("empty_cells", """
     st AS (SELECT s, count(*) AS s_total FROM p GROUP BY s HAVING count(*) >= 3)
     SELECT mt.m AS mechanism, st.s AS sector, m_total, s_total FROM mt CROSS JOIN st
     WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.m = mt.m AND p.s = st.s)""")
-define("heatmap_topn", """
-    WITH p AS (SELECT split_part(p_name, ' ', 1) AS m, p_brand AS s FROM {part}),
-    mt AS (SELECT m, row_number() OVER (ORDER BY count(*) DESC, m) - 1 AS mi FROM p GROUP BY m),
-    st AS (SELECT s, row_number() OVER (ORDER BY count(*) DESC, s) - 1 AS si FROM p GROUP BY s)
-    SELECT p.m AS mechanism, p.s AS sector, CAST(mi AS BIGINT) AS mi, CAST(si AS BIGINT) AS si, count(*) AS n
-    FROM p JOIN mt ON p.m = mt.m JOIN st ON p.s = st.s WHERE mi < 5 AND si < 5 GROUP BY p.m, p.s, mi, si""")
-define("gap_ranking", """
-    WITH p AS (SELECT DISTINCT p_partkey, split_part(p_name, ' ', 1) AS m, p_brand AS s, CAST(CASE WHEN p_size <= 10 THEN 1 ELSE 0 END AS DOUBLE) AS solo FROM {part}),
-    total AS (SELECT count(*) AS pairs FROM p),
-    mt AS (SELECT m, count(*) AS mn, avg(solo) AS solo FROM p GROUP BY m),
-    st AS (SELECT s, count(*) AS sn FROM p GROUP BY s),
-    cell AS (SELECT m, s, count(*) AS n FROM p GROUP BY m, s),
-    scored AS (SELECT mt.m AS mechanism, st.s AS sector, mt.mn, st.sn, coalesce(cell.n, 0) AS actual,
-      CAST(mt.mn AS DOUBLE) * st.sn / total.pairs AS expected, mt.solo
-      FROM mt CROSS JOIN st CROSS JOIN total LEFT JOIN cell ON cell.m = mt.m AND cell.s = st.s),
-    graded AS (SELECT mechanism, sector, mn, sn, actual, round(expected, 4) AS expected,
-      round(greatest(0.0, expected - actual) * ln(1 + mn) * ln(1 + sn) * (1 + solo), 4) AS score FROM scored)
-    SELECT mechanism, sector, mn AS mechanism_total, sn AS sector_total, actual, expected, score,
-      CAST(row_number() OVER (ORDER BY score DESC, mechanism, sector) AS BIGINT) AS gap_rank FROM graded WHERE score > 0""")
 define("proven_gaps", """
     WITH c AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS m, p_brand AS s FROM {part} WHERE p_size <= 4),
     strong AS (SELECT m, count(*) AS k FROM c GROUP BY m HAVING count(*) >= 2),
     active AS (SELECT s, count(*) AS a FROM c GROUP BY s HAVING count(*) >= 2)
     SELECT strong.m AS mechanism, active.s AS sector, k * a AS weight FROM strong CROSS JOIN active
     WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.m = strong.m AND c.s = active.s)""")
-define("era_metrics", """
-    WITH y AS (SELECT c.c_nationkey AS k, CASE WHEN o.o_custkey % 4 = 0 THEN NULL ELSE year(o.o_orderdate) END AS yr
-      FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey),
-    r AS (SELECT k, yr, row_number() OVER (PARTITION BY k ORDER BY yr) AS pos, count(*) OVER (PARTITION BY k) AS dated FROM y WHERE yr IS NOT NULL),
-    m AS (SELECT k, min(yr) AS year_min, max(yr) AS year_max, max(CASE WHEN pos = CAST(floor(dated / 2) AS BIGINT) + 1 THEN yr END) AS median_year,
-      sum(CASE WHEN yr < 1997 THEN 1 ELSE 0 END) AS early, sum(CASE WHEN yr BETWEEN 1997 AND 1999 THEN 1 ELSE 0 END) AS middle,
-      sum(CASE WHEN yr > 1999 THEN 1 ELSE 0 END) AS late, max(dated) AS dated FROM r GROUP BY k)
-    SELECT m.k AS nation, round(CAST(dated AS DOUBLE) / a.n, 4) AS coverage, year_min, median_year, year_max, CAST(early AS BIGINT) AS early,
-      CAST(middle AS BIGINT) AS middle, CAST(late AS BIGINT) AS late,
-      CASE WHEN dated < 5 OR CAST(dated AS DOUBLE) / a.n < 0.4 THEN 'unknown' WHEN late > early AND late > middle THEN 'current'
-        WHEN early >= middle THEN 'legacy' ELSE 'mixed' END AS era
-    FROM m JOIN (SELECT k, count(*) AS n FROM y GROUP BY k) a ON m.k = a.k""")
 define("timeline_topn", """
     WITH c AS (SELECT year(l.l_shipdate) AS yr, split_part(p.p_name, ' ', 1) AS m, count(*) AS n FROM {lineitem} l
       JOIN {part} p ON l.l_partkey = p.p_partkey GROUP BY year(l.l_shipdate), split_part(p.p_name, ' ', 1)),
@@ -278,26 +247,21 @@ define("opportunity_score", """
       CASE WHEN p_retailprice < 1000 THEN 25 WHEN p_retailprice < 1500 THEN 15 ELSE 3 END AS era,
       CASE p_type WHEN 'ECONOMY' THEN 25 WHEN 'STANDARD' THEN 15 ELSE 8 END AS moat,
       CASE WHEN p_partkey % 2 = 0 THEN 30 ELSE 10 END AS shape FROM {part}) t""")
-define("change_classify", """
-    SELECT event_id, CASE WHEN prev IS NULL THEN 'new' WHEN prev = event_type THEN 'same' WHEN event_type = 'purchase' THEN 'converted'
-      WHEN prev = 'purchase' THEN 'left' ELSE 'moved' END AS change_type
-    FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM {events}) t""")
 define("rescore_diff", """
     SELECT CAST(sum(CASE WHEN a <> b THEN 1 ELSE 0 END) AS BIGINT) AS changed, CAST(sum(CASE WHEN a < 3 AND b >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS gained,
       CAST(sum(CASE WHEN a >= 3 AND b < 3 THEN 1 ELSE 0 END) AS BIGINT) AS lost FROM (SELECT CASE WHEN c_acctbal > 5000 THEN 3 ELSE 1 END AS a,
       CASE WHEN c_acctbal > 4000 AND c_mktsegment <> 'AUTOMOBILE' THEN 4 ELSE 1 END AS b FROM {customer}) t""")
-define("capped_confidence", """
-    SELECT c_custkey, round(least(1.0, greatest(0.0, least(0.45, 0.15 * (c_custkey % 5)) + least(0.3, 0.1 * (c_nationkey % 6))
-      + CASE WHEN c_acctbal > 0 THEN 0.2 ELSE -0.25 END)), 4) AS confidence FROM {customer}""")
 
 # -- state ------------------------------------------------------------------------------------------------------
 define("upsert_latest", """
     SELECT user_id, event_id, event_type, value FROM (SELECT user_id, event_id, event_type, value,
       row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS pos FROM {events}) t WHERE pos = 1""")
+# what came before is told by a date in the data, not by the key
 define("insert_ignore", """
-    SELECT o_orderkey, o_custkey, o_totalprice FROM {orders} WHERE o_orderkey % 2 = 0
-    UNION ALL SELECT o_orderkey, o_custkey, o_totalprice FROM {orders} d WHERE o_orderkey % 3 = 0
-      AND NOT EXISTS (SELECT 1 FROM {orders} b WHERE b.o_orderkey % 2 = 0 AND b.o_orderkey = d.o_orderkey)""")
+    WITH base AS (SELECT * FROM {orders} WHERE o_orderdate < TIMESTAMP '1998-01-01 00:00:00'),
+    fresh AS (SELECT * FROM {orders} WHERE o_orderdate >= TIMESTAMP '1997-06-01 00:00:00')
+    SELECT o_orderkey, o_custkey, o_totalprice FROM base
+    UNION ALL SELECT o_orderkey, o_custkey, o_totalprice FROM fresh d WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.o_orderkey = d.o_orderkey)""")
 define("merge_max", """
     SELECT l_partkey, l_suppkey, max(l_discount) AS confidence, count(*) AS notes FROM {lineitem} GROUP BY l_partkey, l_suppkey""")
 define("merge_coalesce", """
@@ -321,18 +285,23 @@ define("replace_children", """
     UNION ALL SELECT o_orderkey, 1, CAST(0 AS DOUBLE) FROM {orders} WHERE o_orderkey % 10 = 0""")
 define("cascade_delete", """
     SELECT l.l_orderkey, l.l_linenumber FROM {lineitem} l WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus <> 'F')""")
-define("frontier_gap", """
-    WITH k AS (SELECT o_orderkey AS k, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS nxt FROM {orders} WHERE o_orderkey % 7 NOT IN (1, 2, 3))
-    SELECT min(k) AS last_before_gap FROM k WHERE nxt - k > 3""")
 define("late_filter", """
     SELECT event_id, ts FROM {events} WHERE ts IS NULL OR ts >= TIMESTAMP '2024-01-24 00:00:00'""")
-define("grid_progress", """
-    SELECT g.event_type, count(*) AS cells, CAST(sum(CASE WHEN e.n IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS done
-    FROM (SELECT t.event_type, u.user_id FROM (SELECT DISTINCT event_type FROM {events}) t CROSS JOIN (SELECT DISTINCT user_id FROM {events}) u) g
-    LEFT JOIN (SELECT event_type, user_id, count(*) AS n FROM {events} WHERE value > 50 GROUP BY event_type, user_id) e
-      ON g.event_type = e.event_type AND g.user_id = e.user_id GROUP BY g.event_type""")
 define("session_counts", """
     WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '12' HOUR
       OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS opens FROM {events}),
     s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_no FROM g)
     SELECT user_id, CAST(session_no AS BIGINT) AS session_no, count(*) AS n FROM s GROUP BY user_id, session_no""")
+
+# -- marks, samples, reports ------------------------------------------------------------------------------------
+define("bulk_flags", """
+    SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS starred, CASE WHEN c_acctbal < 0 THEN concat('overdrawn, ', c_mktsegment) ELSE '' END AS notes
+    FROM {customer}""")
+define("seeded_sample", """
+    SELECT doc_id, source FROM (SELECT doc_id, source, md5(concat('seed-7-', CAST(doc_id AS STRING))) AS h FROM {documents}) t ORDER BY h, doc_id LIMIT 5""")
+define("text_report", """
+    SELECT line_no, line FROM (SELECT 1 AS line_no, concat('Companies: ', CAST(count(*) AS STRING)) AS line FROM {supplier}
+      UNION ALL SELECT 2, concat('With capital: ', CAST(sum(CASE WHEN s_acctbal > 0 THEN 1 ELSE 0 END) AS STRING)) FROM {supplier}
+      UNION ALL SELECT 3, concat('Events: ', CAST(count(*) AS STRING), ', users: ', CAST(count(DISTINCT user_id) AS STRING)) FROM {events}
+      UNION ALL SELECT 10 + r_regionkey, concat('  ', r_name, ': ', CAST(n AS STRING)) FROM (SELECT r.r_regionkey, r.r_name, count(s.s_suppkey) AS n FROM {region} r
+        LEFT JOIN {nation} n ON n.n_regionkey = r.r_regionkey LEFT JOIN {supplier} s ON s.s_nationkey = n.n_nationkey GROUP BY r.r_regionkey, r.r_name) q) t ORDER BY line_no""")

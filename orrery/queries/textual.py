@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions import text as X
@@ -15,34 +16,6 @@ DOC_TOK = TOK.format("text")
 
 
 
-@query("""SELECT p_partkey, CASE WHEN greatest(a, b, c) < 1 THEN NULL WHEN a >= b AND a >= c THEN 'bright' WHEN b >= c THEN 'dark' ELSE 'tool' END AS label
-    FROM (SELECT p_partkey, CAST(contains(p_name, 'red') AS INT) + CAST(contains(p_name, 'blue') AS INT) AS a,
-      CAST(contains(p_name, 'small') AS INT) AS b, CAST(contains(p_name, 'bolt') AS INT) + CAST(contains(p_name, 'ring') AS INT) AS c FROM part)""")
-def argmax_label(spark: SparkSession, folder: str) -> DataFrame:
-    def count(*words):
-        return sum((F.col("p_name").contains(w).cast("int") for w in words[1:]), F.col("p_name").contains(words[0]).cast("int"))
-
-    scores = [("bright", count("red", "blue")), ("dark", count("small")), ("tool", count("bolt", "ring"))]
-    return table(spark, folder, "part").select("p_partkey", X.argmax_label(scores, 1).alias("label"))
-
-
-
-
-
-
-@query("""SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'setup' WHEN length(text) < 60 THEN 'brief' WHEN contains(text, '?') THEN 'question' ELSE 'statement' END AS tag FROM conversations""")
-def tag_rules(spark: SparkSession, folder: str) -> DataFrame:
-    turns = table(spark, folder, "conversations")
-    tag = F.when(F.col("role") == "system", "setup").when(F.length("text") < 60, "brief").when(F.col("text").contains("?"), "question").otherwise("statement")
-    return turns.select("conv_id", "turn", tag.alias("tag"))
-
-
-@query("""SELECT p_partkey, list_max(list_transform(string_split(p_name, ' '), lambda w: CASE WHEN w IN ('red', 'bolt') THEN 4 WHEN w = 'small' THEN 2 ELSE 0 END)) AS tier FROM part""")
-def tier_max(spark: SparkSession, folder: str) -> DataFrame:
-    tier = F.array_max(F.transform(F.split("p_name", " "), lambda w: F.when(w.isin("red", "bolt"), 4).when(w == "small", 2).otherwise(0)))
-    return table(spark, folder, "part").select("p_partkey", tier.alias("tier"))
-
-
 # -- numbers and amounts written out ---------------------------------------------------------------------------------
 def _german(price):
     """1234.5 as 1.234,50."""
@@ -63,11 +36,6 @@ def normalize_name(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "supplier").select("s_suppkey", X.normalize_name(noisy).alias("name"))
 
 
-@query("SELECT s_suppkey, 'jane supplier' AS person FROM supplier")
-def normalize_person(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "supplier").select("s_suppkey", X.normalize_person(F.concat(F.lit("Dr. Prof. Jane "), "s_name")).alias("person"))
-
-
 @query("SELECT page_id, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1), '^www\\.', '') AS host FROM pages")
 def normalize_url(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", X.host_of(F.col("url")).alias("host"))
@@ -79,13 +47,6 @@ def normalize_tag(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", X.normalize_tag(noisy).alias("tag"))
 
 
-@query("SELECT s_suppkey, p || 'supplier' || (s_suppkey % 10) || t AS domain FROM supplier, (VALUES (''), ('get')) a(p), (VALUES ('.com'), ('.de'), ('.io')) b(t)")
-def domain_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    base = F.concat(F.lit("supplier"), F.col("s_suppkey") % 10)
-    made = F.flatten(F.transform(F.array(base, F.concat(F.lit("get"), base)), lambda b: F.transform(F.array(F.lit(".com"), F.lit(".de"), F.lit(".io")), lambda t: F.concat(b, t))))
-    return table(spark, folder, "supplier").select("s_suppkey", F.explode(made).alias("domain"))
-
-
 @query("SELECT p_partkey, p_name || ' | ' || p_brand || ' | ' || p_type AS assembled FROM part")
 def text_assembly(spark: SparkSession, folder: str) -> DataFrame:
     """Parts joined once each; a part equal to an earlier one in its first 80 lower-case characters is dropped."""
@@ -121,13 +82,6 @@ def content_hash(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.md5(F.concat("source", F.lit("|"), "text").cast("binary")).alias("content_hash"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_totalprice >= 100000 THEN CAST(CAST(floor(o_totalprice / 1000) AS INT) AS VARCHAR) || 'K' ELSE CAST(CAST(floor(o_totalprice) AS INT) AS VARCHAR) END AS shown FROM orders""")
-def format_amount(spark: SparkSession, folder: str) -> DataFrame:
-    price = F.col("o_totalprice")
-    shown = F.when(price >= 100000, F.concat(F.floor(price / 1000).cast("string"), F.lit("K"))).otherwise(F.floor(price).cast("string"))
-    return table(spark, folder, "orders").select("o_orderkey", shown.alias("shown"))
-
-
 @query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN '' ELSE event_type END AS items FROM events")
 def coerce_array(spark: SparkSession, folder: str) -> DataFrame:
     """A JSON array, a scalar or nothing as an array."""
@@ -177,14 +131,7 @@ def native_number_parse(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""SELECT o_custkey, min(o_orderdate) AS registered, count(*) AS n FROM orders GROUP BY o_custkey""")
 def min_nested_date(spark: SparkSession, folder: str) -> DataFrame:
-    nested = table(spark, folder, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderdate").alias("dates"))
-    return nested.select("o_custkey", F.array_min("dates").alias("registered"), F.size("dates").cast("long").alias("n"))
-
-
-@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type <> 'error' AS is_current FROM events""")
-def flatten_nested(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events").select("event_id", F.from_json("props", "k long").alias("p"), F.when(F.col("event_type") == "error", F.col("ts")).alias("end"))
-    return events.select("event_id", "p.k", F.col("end").isNull().alias("is_current"))
+    return table(spark, folder, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("registered"), F.count("*").alias("n"))
 
 
 @query("""SELECT event_type, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS high_water FROM events GROUP BY event_type""")
@@ -205,26 +152,6 @@ def multi_format_date(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("o_orderkey", parsed.alias("parsed"), (parsed.isNull() | (parsed >= F.lit("1998-01-01").cast("date"))).alias("kept"))
 
 
-@query("""SELECT doc_id, regexp_replace(split_part(text, chr(10), 1), '^The ', '') AS title FROM documents""")
-def title_split(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), "^The ", "").alias("title"))
-
-
-@query("""SELECT page_id, list_filter(regexp_extract_all(url || ' http://skip.example/x ' || url, 'https?://[^ ]+'), lambda x: NOT contains(x, 'skip'))[1] AS link FROM pages""")
-def first_external_url(spark: SparkSession, folder: str) -> DataFrame:
-    text = F.concat("url", F.lit(" http://skip.example/x "), "url")
-    links = F.filter(F.regexp_extract_all(text, F.lit("https?://[^ ]+"), F.lit(0)), lambda u: ~u.contains("skip"))
-    return table(spark, folder, "pages").select("page_id", F.get(links, F.lit(0)).alias("link"))
-
-
-@query("SELECT s_suppkey, 'HRB ' || s_suppkey AS register, 'A' || s_suppkey AS director FROM supplier")
-def impressum_parse(spark: SparkSession, folder: str) -> DataFrame:
-    text = F.concat(F.lit("Registergericht X, HRB "), "s_suppkey", F.lit(". Vertreten durch: A"), "s_suppkey", F.lit(", B"))
-    rows = table(spark, folder, "supplier").select("s_suppkey", text.alias("t"))
-    people = F.split(F.regexp_extract("t", "durch: (.+)$", 1), ", ")
-    return rows.select("s_suppkey", F.regexp_extract("t", r"(HR[AB] \d+)", 1).alias("register"), F.get(F.slice(people, 1, 5), F.lit(0)).alias("director"))
-
-
 # -- arrays of tags --------------------------------------------------------------------------------------------------------
 @query("SELECT p_partkey, p_name FROM part WHERE list_contains(string_split(p_name, ' '), 'red')")
 def json_tag_filter(spark: SparkSession, folder: str) -> DataFrame:
@@ -310,8 +237,11 @@ def nested_collect(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""SELECT s_nationkey, string_agg(s_name, ',' ORDER BY s_acctbal DESC, s_suppkey) AS best FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS pos FROM supplier) WHERE pos <= 5 GROUP BY s_nationkey""")
 def nested_topk(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct((-F.col("s_acctbal")).alias("b"), "s_suppkey", "s_name"))).alias("m"))
-    return rows.select("s_nationkey", F.array_join(F.slice("m", 1, 5)["s_name"], ",").alias("best"))
+    """Only the best five of a group are gathered."""
+    order = W.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")
+    top = table(spark, folder, "supplier").withColumn("pos", F.row_number().over(order)).filter("pos <= 5")
+    rows = top.groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("pos", "s_name"))).alias("m"))
+    return rows.select("s_nationkey", F.array_join("m.s_name", ",").alias("best"))
 
 
 @query("""SELECT p_partkey, round(score, 4) AS score FROM (SELECT p_partkey, len(list_intersect(string_split(p_name, ' '), ['red', 'bolt', 'ring'])) / 3.0 + CASE WHEN contains(p_name, 'red bolt') THEN 0.5 ELSE 0 END AS score FROM part) WHERE score >= 0.4""")
