@@ -7,6 +7,7 @@ statistics, which an RDD checkpoint loses.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,13 @@ from orrery.workers import per_worker
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder shared by driver and executors; a temporary one, of this process, only where none is set."""
+    """Folder shared by driver and executors; a temporary one, of this process, only where Spark runs in this process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    return (where or per_worker("local shared folder", lambda: f"file://{tempfile.mkdtemp(prefix='orrery-')}")).rstrip("/")
+    if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
+        where = per_worker("local shared folder", lambda: f"file://{tempfile.mkdtemp(prefix='orrery-')}")
+    return where.rstrip("/")
 
 
 def table_path(spark: SparkSession, name: str) -> str:
