@@ -51,12 +51,12 @@ def fertility(ids: np.ndarray, is_byte: np.ndarray, chars: int) -> tuple[float,
     return chars / len(ids), float(is_byte[ids].mean()), entropy / max(1.0, float(np.log2(len(ids))))
 
 
-def with_measures(docs: DataFrame, id_col: str, text_col: str, lang_col: str, path: str) -> DataFrame:
+def with_measures(docs: DataFrame, id_col: str, text_col: str, lang_col: str, path: str | None) -> DataFrame:
     names = ["id", "lang", *COUNTS, "n_tokens", *REACH]
     kinds = [pa.int64()] * (len(COUNTS) + 1) + [pa.float64()] * len(REACH)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = piece_encoder(path)
+        words = piece_encoder(path or public_tokenizers.path(VOCABULARY))  # where the executor has it
         for b in batches:
             for at, ids, sizes in words.encode_parts(b.column("text")):
                 own, rows, start = b.slice(at, len(sizes)), [], 0
@@ -98,7 +98,6 @@ def judge_quality(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", path: str | None = None
 ) -> DataFrame:
     """A row a document: id, counts, measures, ``base_failed, kept`` and ``failed``: the measures outside their bands."""
-    path = path or public_tokenizers.path(VOCABULARY)
     measured = with_measures(docs, id_col, text_col, lang_col, path).withColumn("base_failed", base_failed())
     measured = stage(measured.withColumn("class", length_class()), "measures")
     whole, fine = stage(_limits(measured, "lang"), "bands"), stage(_limits(measured, "lang", "class"), "bands")

@@ -48,10 +48,9 @@ def write_ids(
     block_ids: int = BLOCK_IDS,
 ) -> None:
     """Write all documents' ids to the folder ``where`` in ascending order of ``id_col``."""
-    path = path or public_tokenizers.path(TOKENIZER)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(path, spaced=False)
+        words = encoder(path or public_tokenizers.path(TOKENIZER), spaced=False)  # where the executor has it
         part, block = TaskContext.get().partitionId(), 0
         names, lengths, ids = [], np.zeros(0, np.int64), np.zeros(0, np.int32)
 
@@ -118,6 +117,7 @@ def read_ids(spark: SparkSession, where: str, with_ids: bool = False) -> DataFra
 
 
 def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``, written as blocks of ids and read back; nulls, empties, ties and repeats as the module says."""
     where = table_path(spark, "ids")
     write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), where)
     return read_ids(spark, where)

@@ -2,18 +2,19 @@
 
 What best fit decides depends on lengths alone, and there are at most as many
 lengths as a sequence has places.  Documents are tokenised once, where they
-lie; each task numbers its pieces by length, and the counts by length (a table
-of bounded size) are all that reaches the driver.  There the planner takes
-lengths from long to short and asks a segment tree over remaining capacities
-for the tightest open bin, in time logarithmic in the capacity.  Equal
-documents go into equal bins by runs, so planning does not grow with the
-documents.  The plan maps (length, number) to a sequence and a place in it, and
-is applied to the pieces where they lie: nothing is sorted or moved.
+lie, and counts by length (a table of bounded size) are all that reaches the
+driver.  There the planner takes lengths from long to short and asks a segment
+tree over remaining capacities for the tightest open bin, in time logarithmic in
+the capacity.  Equal documents go into equal bins by runs, so planning does not
+grow with the documents.  The plan maps (length, number) to a sequence and a
+place in it.  Pieces of a length are numbered in hash ranges of about ``RANGE``
+pieces, after those of the ranges before: no task numbers all pieces of a length.
 
 Defined results: null and empty texts have only the end id; a document longer
 than a sequence is cut from its end into full pieces, so that the first may be
-shorter; repeated rows are packed each; extra columns do not matter; an empty
-table gives no pieces.
+shorter; repeated rows are packed each; very long texts are tokenised whole;
+extra columns do not matter, whatever their names; an empty table gives no
+pieces.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from orrery.storage import stage
 LENGTH = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
+RANGE = 1 << 15
 RUN = np.dtype([("size", "i4"), ("rank", "i8"), ("sequence", "i8"), ("each", "i4"), ("offset", "i4")])
 
 
@@ -109,14 +111,14 @@ def plan_runs(counts: dict[int, int], length: int) -> np.ndarray:
     return np.array(runs, RUN)
 
 
-def tokenised_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, length: int, with_ids: bool) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, id_col: str, text_col: str, path: str | None, end_id: int, length: int, with_ids: bool) -> DataFrame:
     """Pieces of every document, each numbered among those of its length in its task."""
 
     names = ["id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids"]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(path, spaced=True)
+        words = encoder(path or public_tokenizers.path(TOKENIZER), spaced=True)  # where the executor has it
         part = TaskContext.get().partitionId()
         seen = np.zeros(length + 1, np.int64)
         for b in batches:
@@ -151,13 +153,18 @@ def pack_documents(
     with_ids: bool = False,
 ) -> DataFrame:
     """A row a piece: id, ``piece, start, length, ids_crc32, sequence_id, offset`` and, if asked for, ``ids`` (little-endian)."""
-    path = path or public_tokenizers.path(TOKENIZER)
     pieces = stage(tokenised_pieces(docs, id_col, text_col, path, end_id, length, with_ids), "pieces")
-    by_part = stage(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
-    counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `length` rows at most
+    by_length = stage(pieces.groupBy("length").agg(F.count("*").alias("n")), "lengths")
+    counts = {r["length"]: r["n"] for r in by_length.collect()}  # `length` rows at most
     runs = plan_runs(counts, length)
-    before = F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    bases = by_part.select("part", "length", F.coalesce(before, F.lit(0)).alias("base"))
+    many = by_length.select("length", (F.floor(F.col("n") / RANGE) + 1).alias("many"))
+    dealt = pieces.join(F.broadcast(many), "length")  # `length` rows at most
+    dealt = dealt.withColumn("range", F.pmod(F.xxhash64("part", "rank"), F.col("many")))
+    sums = stage(dealt.groupBy("length", "range").agg(F.count("*").alias("n")), "ranges")
+    before = F.sum("n").over(W.partitionBy("length").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    bases = sums.select("length", "range", F.coalesce(before, F.lit(0)).alias("base"))
+    inside = F.row_number().over(W.partitionBy("length", "range").orderBy("part", "rank")) - 1
+    numbered = dealt.withColumn("inside", inside).join(bases, ["length", "range"]).withColumn("number", F.col("base") + F.col("inside"))
     step = 1 << 44  # more than any count of pieces of one length
     keys = runs["size"].astype(np.int64) * step + runs["rank"]
     order = np.argsort(keys)
@@ -165,20 +172,21 @@ def pack_documents(
 
     def place(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rank = (b["rank"] + b["base"]).to_numpy(np.int64)
+            rank = b["number"].to_numpy(np.int64)
             run = runs[np.searchsorted(keys, b["length"].to_numpy(np.int64) * step + rank, "right") - 1]
             at = rank - run["rank"]
             b["sequence_id"] = run["sequence"] + at // run["each"]
             b["offset"] = run["offset"] + at % run["each"] * run["size"].astype(np.int64)
-            yield b.drop(columns=["part", "rank", "base"])
+            yield b.drop(columns=["number"])
 
     columns = [f for f in pieces.schema.names if f not in ("part", "rank")]
     if not with_ids:
         columns.remove("ids")
-    placed = pieces.join(bases, ["part", "length"]).select("part", "rank", "base", *columns)
+    placed = numbered.select("number", *columns)
     kinds = ", ".join(f"{c} {pieces.schema[c].dataType.simpleString()}" for c in columns)
     return placed.mapInPandas(place, f"{kinds}, sequence_id long, offset long").withColumnRenamed("id", id_col)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents`` as pieces in sequences; nulls, empties, ties and repeats as the module says."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
