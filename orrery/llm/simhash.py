@@ -31,9 +31,10 @@ So a prefix join follows, which loses none.  Two sets of the similarity share on
 of their first ``n - ceil(similarity * n) + 1`` shingles in any common order; the
 order is rare before frequent (counted on a sample, which changes no result).
 Pairs that share such a shingle, are not in one component yet, and may still
-reach the similarity by their sizes, the shingle's places in both prefixes and
-the parities of their sets are checked exactly too.  Links are then all pairs of
-the similarity, up to what connects them; links by radius alone are exact as well.
+reach the similarity by their sizes and the shingle's places in both prefixes
+are candidates too.  Of all candidates those are checked on their texts that the
+parities of their sets leave open.  Links are then all pairs of the similarity,
+up to what connects them; links by radius alone are exact as well.
 
 The trees themselves are built on the driver from a bounded sample of fingerprints
 (``SAMPLE`` a shard, at most ``2 ** MAX_DEPTH`` shards a tree); the sample only shapes
@@ -54,6 +55,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.operators.graph import connected_components
@@ -68,6 +70,7 @@ SLACK = 2.0  # standard deviations of a signature's distance
 COUNTED = 20_000  # documents on which the frequency of shingles is counted
 FREQUENT = 1 << 16  # shingles at most whose frequency orders prefixes
 BUCKET = 1 << 18  # prefix rows of a group
+ODD = 1024  # parities of a set
 PAIRS = 512  # pairs that a group checks
 WIDE = 64  # rows that share a shingle, beyond which the largest component's are not paired with each other
 SEED = 42
@@ -158,10 +161,10 @@ def with_sets(docs: DataFrame, id_col: str, text_col: str, words: int, similarit
     """``(id, text_hash, node)`` for every row; the node names its set of shingles.
 
     The first row of a node in a task also has the fingerprint ``fp`` of its set of words, and the signature, the size
-    ``n``, the parities and the prefix of its set of shingles, in the order of ``common`` (see ``frequent_shingles``).
+    ``n``, the ``parities`` and the prefix of its set of shingles, in the order of ``common`` (see ``frequent_shingles``).
     """
     often, counts = common
-    names = ["fp", *SIGNS, "n", "parity"]
+    names = ["fp", *SIGNS, "n"]
 
     def describe(parts: list[bytes], hashes: np.ndarray) -> tuple:
         seen = np.zeros(len(hashes), np.int64)
@@ -170,7 +173,7 @@ def with_sets(docs: DataFrame, id_col: str, text_col: str, words: int, similarit
             seen = np.where(often[at] == hashes, counts[at], 0)
         size = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1 if len(hashes) else 0
         prefix = hashes[np.lexsort((hashes, seen))[:size]].view(np.int64)
-        return word_fingerprint(parts), *signature(hashes), len(hashes), parity(hashes), prefix
+        return word_fingerprint(parts), *signature(hashes), len(hashes), parities(hashes), prefix
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -180,13 +183,13 @@ def with_sets(docs: DataFrame, id_col: str, text_col: str, words: int, similarit
                 parts = word_list(text)
                 hashes = np.unique(shingle_hashes(parts, words))
                 nodes.append(set_node(hashes))
-                rows.append((None,) * (len(names) + 1) if nodes[-1] in known else describe(parts, hashes))
+                rows.append((None,) * (len(names) + 2) if nodes[-1] in known else describe(parts, hashes))
                 known.add(nodes[-1])
-            *numbers, prefix = zip(*rows, strict=True) if rows else [()] * (len(names) + 1)
-            found = [pa.array(c, pa.int64()) for c in (nodes, *numbers)] + [pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), *found], ["id", "text_hash", "node", *names, "prefix"])
+            *numbers, odd, prefix = zip(*rows, strict=True) if rows else [()] * (len(names) + 2)
+            found = [pa.array(c, pa.int64()) for c in (nodes, *numbers)] + [pa.array(c, pa.list_(pa.int64())) for c in (odd, prefix)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), *found], ["id", "text_hash", "node", *names, "odd", "prefix"])
 
-    kinds = ", ".join(f"{c} long" for c in ("node", *names)) + ", prefix array<long>"
+    kinds = ", ".join(f"{c} long" for c in ("node", *names)) + ", odd array<long>, prefix array<long>"
     return _narrow(docs, id_col, text_col).mapInArrow(run, f"{_row_kind(docs, id_col)}, {kinds}")
 
 
@@ -390,15 +393,29 @@ def texts_sets(texts: pd.Series, words: int, seen: set[int]) -> Iterator[tuple[i
             yield node, hashes
 
 
+def possible(links: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """Distinct links whose sets may have the similarity by their sizes and parities."""
+    links = stage(links.distinct(), "candidates")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = marks.filter("n IS NOT NULL").join(ends, "node", "left_semi").select("node", "n", "odd")
+    sets = stage(sets.dropDuplicates(["node"]), "parities")
+    left, right = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}")) for c in ("a", "b"))
+    bits = F.aggregate(F.zip_with("oa", "ob", lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda t, v: t + F.bit_count(v))
+    size = F.col("na") + F.col("nb")
+    shared = F.ceil(similarity / (1 + similarity) * size - 1e-9)  # members that the similarity needs in common
+    fits = (F.least("na", "nb") >= shared) & (bits <= size - 2 * shared)
+    return links.join(left, "a").join(right, "b").filter(fits).select("a", "b")
+
+
 def check_links(
-    links: DataFrame, each: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float
+    links: DataFrame, each: DataFrame, marks: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float
 ) -> DataFrame:
     """The links whose texts' sets of shingles have at least this Jaccard similarity.
 
-    Links are dealt into groups of about ``PAIRS`` by their first node, that of a node with many links into several; a
-    group gets the texts of its nodes, which are shorter than their sets of shingles.
+    Links that sizes and parities leave open are dealt into groups of about ``PAIRS`` by their first node, those of a
+    node with many links into several; a group gets the texts of its nodes, which are shorter than their sets.
     """
-    links = stage(links.distinct(), "candidates")
+    links = stage(possible(links, marks, similarity), "possible")
     degree = links.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).alias("many"))
     deal = F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("many")))
     links = stage(links.join(degree, "a").select("a", "b", F.pmod(deal, F.lit(links.count() // PAIRS + 1)).alias("bucket")), "dealt")
@@ -438,17 +455,16 @@ def frequent_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndar
     return keys[order], n[order]
 
 
-def parity(hashes: np.ndarray) -> int:
-    """Bit k tells whether an odd number of hashes end in k; two sets differ in at least as many members as parities."""
-    odd = np.bincount((hashes & np.uint64(63)).astype(np.int64), minlength=64) & 1
-    return int(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")[0])
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Bit k of ``ODD`` tells whether an odd number of hashes end in k; two sets differ in at least as many members as in these bits."""
+    odd = np.bincount((hashes & np.uint64(ODD - 1)).astype(np.int64), minlength=ODD) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def prefix_pairs(group: pd.DataFrame, similarity: float) -> np.ndarray:
     """Pairs of nodes that share a key, lie in different components and may have the similarity."""
     group = group.drop_duplicates(["key", "node"]).sort_values(["key", "component"], kind="stable")
-    key, node, part, n, pos, odd = (group[c].to_numpy() for c in ("key", "node", "component", "n", "pos", "parity"))
-    odd = odd.astype(np.int64).view(np.uint64)  # bits of signed integers are counted without the sign
+    key, node, part, n, pos = (group[c].to_numpy() for c in ("key", "node", "component", "n", "pos"))
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     ends = np.r_[starts[1:], len(key)]
     mixed = part[starts] != part[ends - 1]
@@ -461,7 +477,6 @@ def prefix_pairs(group: pd.DataFrame, similarity: float) -> np.ndarray:
             size = n[a] + n[b]
             least = np.ceil(similarity / (1 + similarity) * size - 1e-9)  # shared shingles that the similarity needs
             ok = (part[a] != part[b]) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least)
-            ok &= np.bitwise_count(odd[a] ^ odd[b]) <= size - 2 * least
             a, b = node[a[ok]], node[b[ok]]
             found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
 
@@ -490,22 +505,21 @@ def prefix_pairs(group: pd.DataFrame, similarity: float) -> np.ndarray:
 def prefix_candidates(sets: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
     """``(a, b)``: every pair of nodes of at least the similarity that ``groups`` do not join, and some others.
 
-    Most shingles of a prefix are in one component only.  They are found by a sum over keys alone, before anything
-    else of a set is dealt by key.
+    Prefixes are dealt by key once.  Most keys are in one component only, and go no further than their task.
     """
-    prefixes = sets.filter("prefix IS NOT NULL").select("node", "n", "parity", "prefix")
-    named = prefixes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keys = named.select(F.explode("prefix").alias("key"), "component").groupBy("key")
-    shared = keys.agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-    shared = stage(shared, "shared")
-    rows = named.select("node", "n", "parity", "component", F.posexplode("prefix").alias("pos", "key")).join(shared, "key")
-    rows = stage(rows, "suspects")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(rows.count() // BUCKET + 1)))
+    prefixes = sets.filter("prefix IS NOT NULL").select("node", "n", "prefix")
+    total = prefixes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    named = prefixes.join(groups, "node", "left")
+    rows = named.select("node", "component", "n", F.posexplode("prefix").alias("pos", "key"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(total // BUCKET + 1)).cast("int")).repartition("bucket")
+    # the component travels only where it is not the node itself; buckets keep whole keys, so the window moves nothing
+    rows, own = rows.withColumn("component", F.coalesce("component", "node")), W.partitionBy("bucket", "key")
+    rows = rows.withColumns({"low": F.min("component").over(own), "high": F.max("component").over(own)}).filter("low <> high")
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(prefix_pairs(group, similarity), columns=["a", "b"])
 
-    return rows.groupBy("bucket").applyInPandas(pairs, "a long, b long")
+    return rows.select("bucket", "key", "node", "component", "n", "pos").groupBy("bucket").applyInPandas(pairs, "a long, b long")
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
@@ -521,9 +535,9 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int
         each = marks.groupBy("node").agg(*[F.max(c).alias(c) for c in ("fp", *SIGNS)], F.min(row).alias("row"))
         each = stage(each.select("node", "fp", *SIGNS, F.col("row.id").alias("least"), "row.text_hash"), "distinct")
         links = fingerprint_links(each, radius, signature_limit(similarity))
-        links = check_links(links, each, docs, id_col, text_col, words, similarity)
+        links = check_links(links, each, marks, docs, id_col, text_col, words, similarity)
         known = stage(connected_components(links, "a", "b"), "known")
-        more = check_links(prefix_candidates(marks, known, similarity), each, docs, id_col, text_col, words, similarity)
+        more = check_links(prefix_candidates(marks, known, similarity), each, marks, docs, id_col, text_col, words, similarity)
         links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     groups = connected_components(links, "a", "b")
     roots = each.join(groups, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("root"), "least")
