@@ -13,7 +13,8 @@ counts of links by vector and a spanning forest, never the pairs.
 Defined results: null, empty, zero vectors and those with a null or non-finite
 component link with nothing, nor do rows with a null label, nor vectors of
 different lengths; repeated rows link like any others; a null id is a vector
-that others may link to but names no component; an empty table gives no rows.
+that others may link to but names no component; extra columns are dropped,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -77,11 +78,11 @@ def embedding_links(
         & F.exists(vector, lambda v: v != 0)
     )
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), vector.alias("v"), F.coalesce(usable, F.lit(False)).alias("ok"))
-    rows = rows.withColumn("class", F.when(F.col("ok"), F.xxhash64("label", "v")))
-    # a class is a label and a vector; a hash names it, and the vector itself keeps two classes of one hash apart
+    # a node is a label and a vector, named by a hash; vectors travel by their nodes once they are counted
+    rows = rows.withColumn("node", F.when(F.col("ok"), F.xxhash64("label", "v")))
     good = rows.filter("ok")
-    classes = good.groupBy("class", "label", "v").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    classes = stage(classes.withColumn("node", F.xxhash64("class", F.col("v").cast("string"))).withColumn("dim", F.size("v")), "classes")
+    classes = good.groupBy("node", "label", "v").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    classes = stage(classes.withColumn("dim", F.size("v")), "classes")
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("rows"))
     sizes = sizes.withColumn("tiles", F.ceil(F.col("rows") / TILE).cast("int"))
     dealt = classes.join(sizes, ["label", "dim"]).withColumn("tile", F.pmod(F.col("node"), F.col("tiles")).cast("int"))
@@ -128,14 +129,14 @@ def embedding_links(
     groups = connected_components(found, "node", "up")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = (
-        classes.select("class", "label", "v", "node", "n", "least")
+        classes.select("node", "n", "least")
         .join(counts, "node", "left")
         .join(groups, "node", "left")
         .withColumn("root", F.coalesce("component", "node"))
     )
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("class", "label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    linked = good.join(named, ["class", "label", "v"]).select("id", "n_links", "component_id")
+    named = named.join(least, "root").select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    linked = good.select("id", "node").join(named, "node").select("id", "n_links", "component_id")
     alone = rows.filter("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(
         F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
@@ -143,4 +144,5 @@ def embedding_links(
 
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``embeddings``: links, component and verdict of every vector; nulls, ties and repeats as the module says."""
     return embedding_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -1,4 +1,4 @@
-"""The ten operators' queries and the pipeline, as registered for the driver."""
+"""The ten operators' queries, as registered for the driver."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from orrery.llm.embeddings import op8_embeddings
 from orrery.llm.fertility import op5_fertility
 from orrery.llm.id_files import op10_id_files
@@ -20,7 +18,6 @@ from orrery.llm.url_rules import op4_url_filters
 from orrery.llm.weak_labels import op2_weak_labels
 
 QUERIES = [
-    corpus_pipeline.run,
     op1_simhash,
     op2_weak_labels,
     op3_packing,
@@ -36,7 +33,7 @@ SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline" if f is corpus_pipeline.run else f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

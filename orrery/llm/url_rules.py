@@ -11,7 +11,10 @@ rows is matched once.
 
 Defined results: a null url, or one without ``://``, has empty host and path;
 a URL that no listed and no mined rule fits is allowed, as are all when nothing
-is labelled; repeated rows give repeated results; extra columns pass through.
+is labelled; equally sure rules are told apart by support, then by their tokens;
+very long URLs are read whole; repeated rows give repeated results; extra columns
+pass through, but for those with the names of added columns, which are replaced;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -155,5 +158,6 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``pages``: host, path, listed rule and verdict; nulls, ties and repeats as the module says."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", F.array_join("mined", " ").alias("mined"))

@@ -1,12 +1,15 @@
 """Each operator against a brute-force version, and on null, empty, long, repeated and oddly named input."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -14,8 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from orrery.llm import embeddings, fertility, id_files, idcodec, mixing, packing, secrets, simhash, textstats, toxicity, url_rules, weak_labels
-from orrery.llm.tokens import WordEncoder
+from orrery.llm import embeddings, fertility, id_files, idcodec, mixing, packing, secrets, simhash, textstats, tokens, toxicity, url_rules, weak_labels
 from orrery.storage import table_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -162,6 +164,22 @@ def test_simhash_of_odd_rows(odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_rows_of_one_id_with_other_texts_stay(spark):
+    one, two = "a b c d e f g h i j k l m n o p q r s t", "p q r s t u v w x y z a b c d e f g h i"
+    rows = [(5, one), (5, two), (5, two), (6, one), (None, two + " z"), (None, "alone here"), (None, "alone here")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(5, one), (5, two), (None, "alone here")], key=str)
+
+
+def test_similarity_on_documents_loses_no_pair(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.toPandas().sort_values("doc_id")
+    found = simhash.near_duplicates(docs, words=5, radius=simhash.WORD_RADIUS, similarity=0.8).toPandas().sort_values("doc_id")
+    ids = rows["doc_id"].tolist()
+    places = jaccard_components(rows["text"].fillna("").tolist())
+    assert found["component_id"].tolist() == [ids[k] for k in places]
+
+
 def test_keep_one_of_each_group(odd):
     kept = simhash.keep_one(odd)
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 3, 5, None])
@@ -183,6 +201,53 @@ def test_em_finds_the_better_labellers():
     assert np.abs(right - accuracy).max() < 0.05
 
 
+def plain_votes(text):
+    """The labellers again, character by character."""
+    text = text or ""
+    n, chars, symbols, dup_lines, repeats = plain_counts(text)
+    if not n:
+        return "-" * 2 + "0" * 6
+    low = [c if ord(c) < 0x10000 else "\uffff" for c in text]
+    letters, upper = sum(c.isalpha() for c in low), sum(c.isupper() for c in low)
+    stops, lines = sum(c in ".?!" for c in text), text.count("\n") + 1
+
+    def sign(value, good, bad):
+        up = value <= good if good < bad else value >= good
+        down = value >= bad if good < bad else value <= bad
+        return "+" if up else "-" if down else "0"
+
+    return "".join([
+        sign(n, 30, 5), sign(letters / max(1, chars), 0.9, 0.75), sign(repeats / n, 0.05, 0.3), sign(dup_lines / lines, 0.05, 0.3), sign(symbols / n, 0.02, 0.15),
+        sign(upper / max(1, letters), 0.1, 0.4), sign((text.count("!!") + text.count("??")) / n, 0.01, 0.1), sign(n / (stops + 1), 40, 120) if n >= 20 else "0",
+    ])
+
+
+def test_weak_labels_against_plain_votes_and_em(spark, data, docs):
+    found = {r.doc_id: r for r in weak_labels.op2_weak_labels(spark, data).collect()}
+    votes = {r.doc_id: plain_votes(r.text) for r in docs.collect()}
+    assert {k: r.votes for k, r in found.items()} == votes
+    counts = Counter(votes.values())
+    signs = {v: ["-0+".index(c) for c in v] for v in counts}
+    post = {v: 0.1 if "-" in v else 0.9 for v in counts}
+    for _ in range(weak_labels.ROUNDS):
+        weight = [sum((p if k else 1 - p) * counts[v] for v, p in post.items()) for k in (0, 1)]
+        rate = [[[(sum((post[v] if k else 1 - post[v]) * n for v, n in counts.items() if signs[v][j] == s) + 0.5) / (weight[k] + 1.5) for s in range(3)] for j in range(8)] for k in (0, 1)]
+        share = (weight[1] + 1) / (sum(counts.values()) + 2)
+        for v in post:
+            odds = np.log(share / (1 - share)) + sum(np.log(rate[1][j][s] / rate[0][j][s]) for j, s in enumerate(signs[v]))
+            post[v] = 1 / (1 + np.exp(-odds))
+    assert all(abs(r.posterior - post[r.votes]) < 1e-6 and r.kept == (r.score >= 0.5) for r in found.values())
+
+
+def test_sample_of_repeated_rows_stays_small(spark, monkeypatch):
+    seen = []
+    fit = weak_labels.fit_logistic
+    monkeypatch.setattr(weak_labels, "fit_logistic", lambda *a, **k: seen.append(len(a[3])) or fit(*a, **k))
+    same = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text again and again").alias("text"))
+    weak_labels.judge_weakly(same.unionByName(spark.createDataFrame([(1, "x y"), (2, "")], same.schema)), max_rows=10_000).count()
+    assert seen and seen[0] <= 3
+
+
 def test_weak_labels_agree_with_human_ones(spark):
     folder = "/root/testdata/sf0.01"
     found = weak_labels.op2_weak_labels(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").toPandas()
@@ -244,14 +309,28 @@ def test_packing_of_odd_rows(odd, none):
 
 
 @pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_cached_words_give_the_library_ids(docs, name, spaced):
-    words = WordEncoder(public_tokenizers.path(name), spaced)
-    odd_texts = [
-        "a!\x1c b", " foo  bar\n\n  x", "don't  I'LL ve'", "12 3.5!! ok...", "<|endoftext|> hi", "É́ é ΣΑΣ Σ İx ﬁ", " ", "", "\n\nfoo\t\tbar  ",
-        "ä ̈b", "x,y.z Über-straße!? ñandú ÷×", "日本語 テキスト 🙂🙂", "\x85a \x1fb", "\xa0 a", "a \xa0b",
-    ]
-    for text in [*odd_texts, *[r.text for r in docs.limit(60).collect()]]:
-        assert words.encode(text).tolist() == words.whole.encode(text, add_special_tokens=False).ids, text
+def test_cached_words_give_the_library_ids(docs, name, spaced, monkeypatch):
+    monkeypatch.setattr(tokens, "CHUNK", 2000)
+    words, plain = tokens.WordEncoder(public_tokenizers.path(name), spaced), Tokenizer.from_file(public_tokenizers.path(name))
+    draw = random.Random(3)
+    bits = ["foo", "Bar", "É", "ä", "don't", "'s", " ", "  ", "\n", "\n\n", "\t", ".", ",", "!?", "***", "<|endoftext|>", "<|startoftext|>", "\xa0", "\x1c",
+            "\x85", "12", "日本", "🙂", "́", "İ", "Σ", "ﬁ", "ß", "_", "-", "a", "'", "\r\n", "　", "ÿ", "Ā"]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randint(0, 12))) for _ in range(3000)]
+    texts += [None, "", " ", "\n", "a\n", " a", "\n a", "a \nb", *[r.text for r in docs.limit(60).collect()]]
+    parts = list(words.encode_parts(pa.array(texts, pa.string()), 7))
+    ids, sizes = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+    assert [p[0] for p in parts] == [0, *np.cumsum([len(p[2]) for p in parts])[:-1]] and len(sizes) == len(texts)
+    for text, end, n in zip(texts, np.cumsum(sizes), sizes, strict=True):
+        assert ids[end - n : end].tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 7], text
+
+
+def test_numbers_of_pieces_do_not_depend_on_ranges(odd, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE", 3)
+    found = packing.pack_documents(odd.repartition(3)).toPandas()
+    for _, pieces in found.groupby("sequence_id"):
+        pieces = pieces.sort_values("offset")
+        assert pieces["offset"].tolist() == [0, *np.cumsum(pieces["length"])[:-1]] and pieces["length"].sum() <= 1024
+    assert sorted(found.groupby("sequence_id")["length"].sum()) == sorted(1024 - r for r in best_fit(found["length"], 1024))
 
 
 # -- 4 --------------------------------------------------------------------------------------------------------------------
@@ -281,6 +360,41 @@ def test_mined_rules_hold(spark, data):
         assert abs(own.count(r.verdict) / len(own) - r.confidence) < 1e-6 and r.confidence >= url_rules.MIN_CONFIDENCE
 
 
+def test_mined_verdicts_against_a_plain_scan(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    url = F.col("url")
+    host, path = url_rules.url_host(url), url_rules.url_path(url)
+    rows = pages.select("page_id", url_rules.url_tokens(url, host, path).alias("tokens"), url_rules.listed_rule(host, path).alias("listed")).collect()
+    labelled = [(frozenset(r.tokens), r.listed.verdict) for r in rows if r.listed and r.tokens]
+    rules = []
+    for size in (1, 2, 3):  # every set of tokens, not FP-growth
+        counts = Counter((c, v) for t, v in labelled for c in map(frozenset, combinations(sorted(t), size)))
+        every = Counter(c for t, _ in labelled for c in map(frozenset, combinations(sorted(t), size)))
+        share = Counter(v for _, v in labelled)
+        least = max(url_rules.MIN_SUPPORT * len(labelled), url_rules.MIN_ROWS)
+        for (c, v), n in counts.items():
+            sure = n / every[c]
+            if n >= least - 1e-9 and sure >= url_rules.MIN_CONFIDENCE and sure / (share[v] / len(labelled)) > 1.0 + 1e-12:
+                rules.append((c, v, round(sure, 9), round(n / len(labelled), 9)))
+    known = {(c, v): s for c, v, s, _ in rules}
+    kept = [r for r in rules if not any(known.get((r[0] - {t}, r[1]), -1) >= r[2] for t in r[0])]
+    found = {r.page_id: r for r in url_rules.op4_url_filters(spark, data).collect()}
+    assert any(r.mined for r in found.values())
+    for r in rows:
+        fits = [(s, p, sorted(c), v) for c, v, s, p in kept if c <= set(r.tokens)]
+        want = r.listed.verdict if r.listed else max(fits)[3] if fits else "allow"
+        assert found[r.page_id].verdict == want
+
+
+def test_urls_of_odd_rows(spark):
+    kinds = "page_id long, url string, host int, path string, rule string, verdict string, mined string, tokens string"
+    long = "http://a.com/" + "x/" * 100_000 + "?" + "k=v&" * 50_000
+    rows = spark.createDataFrame([(1, long, 1, "p", "r", "v", "m", "t"), (None, None, None, None, None, None, None, None)], kinds)
+    found = url_rules.judge_urls(rows).collect()
+    assert {(r.page_id, r.host, r.verdict) for r in found} == {(1, "a.com", "allow"), (None, "", "allow")} and all(r.mined is None for r in found)
+    assert url_rules.judge_urls(rows.limit(0)).count() == 0
+
+
 # -- 5 --------------------------------------------------------------------------------------------------------------------
 def plain_counts(text):
     text = text or ""
@@ -306,11 +420,45 @@ def test_fertility_of_odd_rows(odd, none):
     assert fertility.judge_quality(none).count() == 0
 
 
+def test_bands_against_plain_quartiles(spark, data):
+    found = fertility.op5_fertility(spark, data).toPandas()
+    docs = spark.read.parquet(f"{data}/documents.parquet").toPandas()
+    found = found.merge(docs[["doc_id", "lang"]], on="doc_id")
+    found["class"] = np.floor(2 * np.log2(np.maximum(1, found["n_tokens"]))).astype(int)
+    passed = found[~found["base_failed"]]
+    low = lambda v, q: np.sort(v)[max(0, int(np.ceil(q * len(v))) - 1)]
+    for r in found.itertuples():
+        same = passed[(passed["lang"] == r.lang) & (passed["class"] == found.loc[r.Index, "class"])]
+        if len(same) < fertility.MIN_BAND:
+            same = passed[passed["lang"] == r.lang]
+        out = []
+        for m, (below, above, least) in fertility.REACH.items():
+            q1, mid, q3 = (low(same[m].to_numpy(), q) for q in (0.25, 0.5, 0.75))
+            value = getattr(r, m)
+            if (below and value < mid - max((mid - q1) * below, least)) or (above and value > mid + max((q3 - mid) * above, least)):
+                out.append(m)
+        assert r.failed == ",".join(out) and r.kept == (not r.base_failed and not out)
+
+
+def test_every_measure_rejects_its_own_junk(spark, docs):
+    good = [(k, r.text, "en") for k, r in enumerate(docs.filter("lang = 'en'").collect())]
+    draw = random.Random(1)
+    junk = {
+        "chars_per_token": " ".join("".join(draw.choice("qxzjkvw") for _ in range(8)) for _ in range(200)),
+        "byte_share": " ".join(chr(draw.randint(0x1F600, 0x1F640)) * 3 for _ in range(200)),
+        "evenness": " ".join(f"{draw.choice('ab')}nd the" for _ in range(3)) + " " + " ".join(draw.choice(["the", "of", "and", "is"]) for _ in range(400)),
+    }
+    rows = good + [(-1 - k, text, "en") for k, text in enumerate(junk.values())]
+    found = {r.doc_id: r for r in fertility.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for k, measure in enumerate(junk):
+        assert measure in found[-1 - k].failed, (measure, found[-1 - k])
+
+
 def test_fertility_keeps_clean_documents(spark):
     folder = "/root/testdata/sf0.01"
     found = fertility.op5_fertility(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").toPandas()
     clean = found[(found["quality"] == 1) & ~found["base_failed"]]
-    assert clean["kept"].mean() > 0.97 and found[found["quality"] == 0]["kept"].mean() < 0.5
+    assert clean["kept"].mean() > 0.97 and found[found["quality"] == 0]["kept"].mean() < 0.25
 
 
 # -- 6 --------------------------------------------------------------------------------------------------------------------
@@ -351,6 +499,53 @@ def test_entropy_by_incremental_counts(spark):
         assert (r.h["first"], r.h["last"]) == plain_hot(r.t, 3.7)
 
 
+def plain_entropy_spans(text, base):
+    """The method again, by windows counted anew."""
+    found = []
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text):
+        word, start = m.group(), m.start()
+        if any(b <= start and m.end() <= e for b, _, e, _ in base):
+            continue
+        plain = re.search("^[a-z/_=+-]+$|^[A-Z/_=+-]+$|^[0-9/_=+-]+$", word)
+        joined = re.search("[/_=+-]", word) and not re.search("[A-Za-z][0-9]|[0-9][A-Za-z]|[0-9]{5}", word)
+        if plain or joined or re.search(secrets.UUID, word):
+            continue
+        bits = next(b for _, p, b in secrets.CLASSES if re.search(p, word))
+        first, last = plain_hot(word, bits)
+        if first is not None and not re.search(secrets.PLACEHOLDER, word[first:last]):
+            found.append((start + first, len(KINDS), start + last, "entropy"))
+    return found
+
+
+def test_all_spans_against_plain_scan(spark, docs):
+    draw = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
+    made = ["".join(draw.choice(letters[: draw.choice([16, 36, 52, 62, 67])]) for _ in range(draw.randint(15, 60))) for _ in range(300)]
+    made += ["my_example_key=zK9fQ2xW7pLm4Rt8Yb1Nc5Vd3Hs6", "dummy-zK9fQ2xW7pLm4Rt8Yb1Nc5Vd3Hs6", "getElementByIdAndReturnTheValueOfIt", " ".join(["deadbeef" * 4] * 1200)]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate([*made, *[r.text for r in docs.collect()]])], "doc_id long, text string")
+    hits = 0
+    for r in secrets.scan_secrets(rows).collect():
+        base = plain_spans(r.text)
+        want = sorted(base + plain_entropy_spans(r.text or "", base))
+        assert [(s.start, s.rank, s.end, s.kind) for s in r.spans] == want
+        hits += len(want) - len(base)
+    assert hits > 50
+
+
+def test_very_long_candidates(spark):
+    draw = random.Random(4)
+    keys = "".join(draw.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(200_000))
+    texts = [keys, "a-1-" * 30_000 + "a", "x" * 200_000, "A" + keys[:99] * 1000]
+    found = secrets.scan_secrets(spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[(s.start, s.end) for s in r.spans] for r in found] == [[(0, 200_000)], [], [], [(0, 99_001)]]
+
+
+def test_secrets_of_odd_rows(odd, none):
+    found = secrets.scan_secrets(odd.withColumnRenamed("tokens", "base").withColumn("spans", F.lit(1)))
+    assert found.count() == odd.count() and found.filter("doc_id = 3").first().spans == []
+    assert secrets.scan_secrets(none).count() == 0
+
+
 def test_secret_spans_and_redaction(spark):
     text = "see zK9fQ2xW7pLm4Rt8Yb1Nc5Vd3Hs6 or 550e8400-e29b-41d4-a716-446655440000 token=abcdef12 end"
     row = secrets.scan_secrets(spark.createDataFrame([(1, text, 3)], "doc_id long, text string, spans int"))
@@ -395,10 +590,41 @@ def test_mixing_meets_targets(spark, docs):
     assert found.set_index("doc_id")["taken"].sort_index().equals(again.set_index("doc_id")["taken"].sort_index())
 
 
-def test_newton_finds_the_tilt(spark):
-    pairs = [(10.0, 20.0), (10.0, 0.001), (1e9, 3.0), (5.0, 5.0)]
-    rows = spark.createDataFrame(pairs, "m double, t double").select("m", "t", mixing.newton_tilt(F.col("m"), F.col("t")).alias("x"))
-    assert all(abs(r.m * np.exp(r.x) - r.t) <= 1e-9 * r.t for r in rows.collect())
+def test_dual_is_solved(spark):
+    """Targets are met under the cap, and the moment of lengths vanishes; tilts of cells follow from that alone."""
+    draw = np.random.default_rng(0)
+    rows = []
+    for k in range(30):
+        mass = draw.integers(1, 10_000, 12).astype(float)
+        rows.append((f"s{k}", [(float(x), float(m)) for x, m in zip(np.arange(12) - 7.0, mass, strict=True)], float(mass.sum() * draw.uniform(0.1, 1.9)), False))
+    frame = spark.createDataFrame(rows, "source string, cells array<struct<x:double,mass:double>>, target double, full boolean")
+    solved, mu = mixing.solve_dual(frame, 2.0)
+    moment, ridge, unit = 0.0, 0.0, 0.0
+    for r in solved.collect():
+        rates = [(c.x, c.mass, min(2.0, np.exp(r["lambda"] + mu * c.x))) for c in r.cells]
+        assert abs(sum(m * t for _, m, t in rates) - r.target) < 1e-6 * r.target
+        moment += sum(m * t * x for x, m, t in rates)
+        unit += sum(m for _, m, _ in rates)
+    assert abs(mu) > 0.01 and abs(moment + mixing.RIDGE * unit * mu) < 1e-5 * unit
+
+
+def test_mix_keeps_lengths_only_by_the_dual(spark):
+    draw = np.random.default_rng(1)
+    sizes = [(s, int(n)) for s, top in (("long", 400), ("short", 30), ("some", 100)) for n in draw.integers(1, top, 400)]
+    docs = spark.createDataFrame([(k, "w " * n, s) for k, (s, n) in enumerate(sizes)], "doc_id long, text string, source string")
+
+    def mean(frame):
+        rows = frame.withColumn("class", mixing.length_class(F.col("size")))
+        got = rows.agg((F.sum(F.col("class") * F.col("size")) / F.sum("size")).alias("a"), (F.sum(F.col("class") * F.col("taken")) / F.sum("taken")).alias("b")).first()
+        return abs(got["a"] - got["b"])
+
+    weights = (1, 4, 2)
+    kept, free = (mixing.mix_sources(docs, weights=weights, total_ratio=1.0, keep_length=k) for k in (True, False))
+    assert mean(kept) < 0.3 * mean(free)
+    target = {r.source: r.target for r in kept.select("source", "target").distinct().collect()}
+    for frame in (kept, free):
+        for r in frame.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("size").alias("most")).collect():
+            assert abs(r.taken - target[r.source]) <= r.most
 
 
 def test_mixing_of_odd_rows(odd, none):
@@ -428,6 +654,15 @@ def test_embeddings_against_all_pairs(spark, monkeypatch):
     assert found["component_id"].tolist() == components(list(range(len(values))), pairs)
 
 
+def test_embeddings_of_odd_rows(spark):
+    kinds = "vec_id long, embedding array<float>, label int, n long, node string, tile int, v string, component_id string"
+    rows = [(1, [1.0, 0.0], 1, 1, "a", 1, "b", "c"), (1, [1.0, 0.01], 1, 1, "a", 1, "b", "c"), (None, [1.0, 0.0], 1, None, None, None, None, None), (3, None, None, 1, "a", 1, "b", "c")]
+    frame = spark.createDataFrame(rows, kinds)
+    found = sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in embeddings.embedding_links(frame).collect())
+    assert found == [("1", 2, 1, True), ("1", 2, 1, True), ("3", 0, 3, True), ("None", 2, 1, False)]
+    assert embeddings.embedding_links(frame.limit(0)).count() == 0
+
+
 def test_quantisation_bound_is_never_broken():
     draw = np.random.default_rng(0)
     unit = draw.normal(size=(300, 64))
@@ -457,11 +692,34 @@ def test_group_names_carry_no_weight(spark):
     assert scorer.score("jewish people are scum") > scorer.score("muslim people are kind")
 
 
+def test_insults_do_not_rub_off_on_names(spark):
+    """Names of groups begin as insults do; the price on counterfactuals keeps the beginnings from counting."""
+    rows = [(f"you moron{e} word{k} and more.", 1) for k in range(40) for e in ("", "s", "ic")] + [(f"nice people came here word{k} again.", 0) for k in range(120)]
+    sample = spark.createDataFrame(rows, "text string, y int")
+    plain, bias0 = toxicity.fit(sample, pair_weight=0.0)
+    fair, bias1 = toxicity.fit(sample, pair_weight=20.0)
+    text = "moroccans live next to germans"
+    before, after = toxicity.Scorer(plain, bias0).score(text), toxicity.Scorer(fair, bias1).score(text)
+    assert after < before - 0.5 and after < 0
+    assert toxicity.Scorer(fair, bias1).score("you moron") > 0
+
+
+def test_scores_against_the_plain_sum(spark, data, docs):
+    weights, bias = toxicity.train(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    assert weights
+    for r in toxicity.score_texts(docs, "text", weights, bias).collect():
+        words = set(re.findall(r"\w+", (r.text or "").lower()))
+        total = bias + sum(w for f, w in weights.items() if f in words or (f.endswith("~") and any(x.startswith(f[:-1]) and len(x) > len(f) - 1 for x in words)))
+        assert abs(r.score - 1 / (1 + np.exp(-total))) < 1e-9
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     weights, bias = toxicity.train(odd, spark.createDataFrame([], "doc_id long, toxic int"))
-    found = toxicity.score_texts(odd.drop("score"), "text", weights, bias)
-    assert found.count() == odd.count() and all(r.score < 1e-9 for r in found.collect())
-    assert toxicity.score_texts(none.drop("score"), "text", weights, bias).count() == 0
+    found = toxicity.score_texts(odd, "text", weights, bias)
+    assert found.count() == odd.count() and all(r.score < 1e-9 for r in found.collect()) and sorted(found.columns) == sorted(odd.columns)
+    assert toxicity.score_texts(none, "text", weights, bias).count() == 0
+    twice = spark.createDataFrame([(2, 1), (2, 1), (1, 0)], "doc_id long, toxic int")
+    assert toxicity.labelled_sample(odd, twice, "doc_id", "text", "toxic", 10).count() <= 2
 
 
 # -- 10 -------------------------------------------------------------------------------------------------------------------
@@ -521,7 +779,7 @@ def test_pipeline(spark, data):
             sets = {r.doc_id: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for r in docs.collect() if (w := (r.text or "").lower().split())}
             ids = sorted(sets)
             near = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-            assert len(near) <= 1  # the search of word sets is approximate; one pair is the most it may miss here
+            assert not near
         if name == "secrets":
             assert docs.count() == before.count() and not any(plain_spans(r.text) for r in docs.collect())
     assert seen == ["toxicity", "simhash", "secrets", "mixing", "packing"]
