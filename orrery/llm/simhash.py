@@ -31,9 +31,9 @@ So a prefix join follows, which loses none.  Two sets of the similarity share on
 of their first ``n - ceil(similarity * n) + 1`` shingles in any common order; the
 order is rare before frequent (counted on a sample, which changes no result).
 Pairs that share such a shingle, are not in one component yet, and may still
-reach the similarity by their sizes and the shingle's places in both prefixes
-are candidates too.  Of all candidates those are checked on their texts that the
-parities of their sets leave open.  Links are then all pairs of the similarity,
+reach the similarity by their sizes, some parities of their sets and the
+shingle's places in both prefixes are candidates too.  Of all candidates those are checked on their texts that the
+other parities leave open.  Links are then all pairs of the similarity,
 up to what connects them; links by radius alone are exact as well.
 
 The trees themselves are built on the driver from a bounded sample of fingerprints
@@ -49,12 +49,13 @@ no member has an id; extra columns pass through; an empty table gives none.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -465,6 +466,7 @@ def prefix_pairs(group: pd.DataFrame, similarity: float) -> np.ndarray:
     """Pairs of nodes that share a key, lie in different components and may have the similarity."""
     group = group.drop_duplicates(["key", "node"]).sort_values(["key", "component"], kind="stable")
     key, node, part, n, pos = (group[c].to_numpy() for c in ("key", "node", "component", "n", "pos"))
+    words = [group[c].to_numpy(np.int64).view(np.uint64) for c in ("even", "odd")]  # bits of signed integers are counted without the sign
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     ends = np.r_[starts[1:], len(key)]
     mixed = part[starts] != part[ends - 1]
@@ -477,6 +479,9 @@ def prefix_pairs(group: pd.DataFrame, similarity: float) -> np.ndarray:
             size = n[a] + n[b]
             least = np.ceil(similarity / (1 + similarity) * size - 1e-9)  # shared shingles that the similarity needs
             ok = (part[a] != part[b]) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least)
+            a, b = a[ok], b[ok]
+            bits = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in words)
+            ok = bits <= size[ok] - 2 * least[ok]
             a, b = node[a[ok]], node[b[ok]]
             found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
 
@@ -507,10 +512,15 @@ def prefix_candidates(sets: DataFrame, groups: DataFrame, similarity: float) ->
 
     Prefixes are dealt by key once.  Most keys are in one component only, and go no further than their task.
     """
-    prefixes = sets.filter("prefix IS NOT NULL").select("node", "n", "prefix")
+    def folded(first: int) -> Column:
+        """Parities of every second word as one word: still at most as many differ as members do."""
+        words = [F.get("odd", F.lit(k)) for k in range(first, ODD // 64, 2)]
+        return reduce(lambda x, y: x.bitwiseXOR(y), words)
+
+    prefixes = sets.filter("prefix IS NOT NULL").select("node", "n", "prefix", folded(0).alias("even"), folded(1).alias("odd"))
     total = prefixes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     named = prefixes.join(groups, "node", "left")
-    rows = named.select("node", "component", "n", F.posexplode("prefix").alias("pos", "key"))
+    rows = named.select("node", "component", "n", "even", "odd", F.posexplode("prefix").alias("pos", "key"))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(total // BUCKET + 1)).cast("int")).repartition("bucket")
     # the component travels only where it is not the node itself; buckets keep whole keys, so the window moves nothing
     rows, own = rows.withColumn("component", F.coalesce("component", "node")), W.partitionBy("bucket", "key")
@@ -519,7 +529,7 @@ def prefix_candidates(sets: DataFrame, groups: DataFrame, similarity: float) ->
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(prefix_pairs(group, similarity), columns=["a", "b"])
 
-    return rows.select("bucket", "key", "node", "component", "n", "pos").groupBy("bucket").applyInPandas(pairs, "a long, b long")
+    return rows.select("bucket", "key", "node", "component", "n", "pos", "even", "odd").groupBy("bucket").applyInPandas(pairs, "a long, b long")
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
