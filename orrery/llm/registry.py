@@ -1,4 +1,4 @@
-"""The ten operators' queries, as registered for the driver."""
+"""The thirteen operators' queries, as registered for the driver."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orrery.llm import collocations
+from orrery.llm.alignment import op11_alignment
+from orrery.llm.collocations import op12_collocations
 from orrery.llm.embeddings import op8_embeddings
 from orrery.llm.fertility import op5_fertility
 from orrery.llm.id_files import op10_id_files
@@ -13,6 +16,7 @@ from orrery.llm.mixing import op7_mixing
 from orrery.llm.packing import op3_packing
 from orrery.llm.secrets import op6_secrets
 from orrery.llm.simhash import op1_simhash
+from orrery.llm.token_counts import op13_token_counts
 from orrery.llm.toxicity import op9_toxicity
 from orrery.llm.url_rules import op4_url_filters
 from orrery.llm.weak_labels import op2_weak_labels
@@ -28,8 +32,11 @@ QUERIES = [
     op8_embeddings,
     op9_toxicity,
     op10_id_files,
+    op11_alignment,
+    op12_collocations,
+    op13_token_counts,
 ]
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op12_collocations": collocations.SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
