@@ -386,6 +386,25 @@ def test_mined_verdicts_against_a_plain_scan(spark, data):
         assert found[r.page_id].verdict == want
 
 
+def test_long_urls_that_many_rows_share(spark):
+    """40 different segments in 300 equal rows, and in rows of both verdicts: FP-growth alone would name 2 ** 40 sets."""
+    segments = "/".join(f"s{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40))
+    urls = [f"http://a.com/{segments}"] * 300 + [f"http://b{k}.net/fr/x" for k in range(60)] + [f"http://c.org/{segments}/z"]
+    urls += [f"http://{'a.com/' if k % 2 else 'a.net/fr/'}{'/'.join(segments.split('/')[k % 5 :: 2])}/y" for k in range(40)]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = {r.page_id: r for r in url_rules.judge_urls(rows).collect()}
+    assert len(found) == len(urls) and found[0].verdict == "allow" and found[360].verdict == "allow" and found[300].verdict == "block"
+
+
+def test_counted_sets_equal_grown_sets(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    url = F.col("url")
+    host, path = url_rules.url_host(url), url_rules.url_path(url)
+    rows = pages.select(url_rules.url_tokens(url, host, path).alias("tokens"), url_rules.listed_rule(host, path)["verdict"].alias("verdict")).filter("verdict is not null")
+    one, two = (sorted(map(str, url_rules.mine_rules(rows, longest).collect())) for longest in (12, 0))
+    assert one == two and any("support" in r for r in one)
+
+
 def test_urls_of_odd_rows(spark):
     kinds = "page_id long, url string, host int, path string, rule string, verdict string, mined string, tokens string"
     long = "http://a.com/" + "x/" * 100_000 + "?" + "k=v&" * 50_000
