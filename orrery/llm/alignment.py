@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orrery.llm.tokens import SPACE, WordEncoder
+from orrery.llm.tokens import LETTERS, MARKS, SPACE, WordEncoder
 from orrery.storage import stage
 from orrery.workers import per_worker
 
@@ -79,6 +79,9 @@ class Aligner:
             raise ValueError("pieces of the second tokenizer go on past a white space")
         self.head = self.b.encode("x")
         self.cut = re.compile(SEGMENTS).findall
+        self.plain = re.compile(f"( ?[{LETTERS}]+)([{MARKS}]*)").fullmatch
+        self.names = {b: c for c, b in names.items()}
+        self.marks: dict[str, list[int]] = {}
         self._reset()
 
     def _bytes_of(self, i: int) -> bytes:
@@ -91,35 +94,54 @@ class Aligner:
         self.n: list[tuple[int, int, int]] = []
         self.pairs: list[tuple[int, ...]] = []
 
-    def align(self, segment: str) -> tuple[str | None, tuple[int, int, int], tuple[int, ...]]:
+    def _first_ids(self, segment: str) -> list[int]:
+        """Ids of the byte-level tokenizer; it cuts letters and the marks after them apart, and so does this."""
+        found = self.plain(segment)
+        if found is None:
+            return self.a.encode(segment, add_special_tokens=False).ids
+        core, mark = found.groups()
+        if not core.isascii():
+            core = core.encode().decode("latin-1")
+        ids = [t.id for t in self.a.model.tokenize(core.translate(self.names))]
+        if mark:
+            if mark not in self.marks:
+                self.marks[mark] = self.a.encode(mark, add_special_tokens=False).ids
+            ids += self.marks[mark]
+        return ids
+
+    def align(self, segment: str, a: list[int], b: list[int]) -> tuple[str | None, tuple[int, int, int], tuple[int, ...]]:
         """Groups as text, how many tokens of both and groups, and the linked pairs (last tokens of each group)."""
         raw = segment.encode()
-        a = self.a.encode(segment, add_special_tokens=False).ids
-        b = self.b.encode("x" + segment)[len(self.head) :]  # after a letter no blank is put before it
-        if b"".join(self.a_bytes[i] for i in a) != raw or b"".join(self.b_bytes[i] for i in b) != raw:
+        left, right = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+        if b"".join(left) != raw or b"".join(right) != raw:
             return None, (0, 0, 0), ()
-        a_ends, b_ends = (np.cumsum([len(t[i]) for i in ids]) for t, ids in ((self.a_bytes, a), (self.b_bytes, b)))
-        _, x, y = np.intersect1d(a_ends, b_ends, return_indices=True)
-        groups, i, j = [], 0, 0
-        for p, q in zip((x + 1).tolist(), (y + 1).tolist(), strict=True):
-            groups.append(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")
-            i, j = p, q
-        pairs = tuple((a[p] << SHIFT) + b[q] for p, q in zip(x.tolist(), y.tolist(), strict=True))
-        return ";".join(groups), (len(a), len(b), len(groups)), pairs
+        groups, pairs, i, j, p, q, ahead = [], [], 0, 0, 0, 0, 0  # ahead: bytes by which the first tokens lead
+        while p < len(a) or q < len(b):
+            if ahead <= 0:
+                ahead += len(left[p])
+                p += 1
+            else:
+                ahead -= len(right[q])
+                q += 1
+            if not ahead:
+                groups.append(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")
+                pairs.append((a[p - 1] << SHIFT) + b[q - 1])
+                i, j = p, q
+        return ";".join(groups), (len(a), len(b), len(groups)), tuple(pairs)
 
     def places(self, text: str) -> list[int]:
-        """The entries of a text's segments, the text with a space before it."""
-        found = []
-        for s in self.cut(" " + text):
-            at = self.index.get(s)
-            if at is None:
-                at = len(self.groups)
-                for kept, new in zip((self.groups, self.n, self.pairs), self.align(s), strict=True):
+        """The entries of a text's segments, the text with a space before it; new ones are tokenised together."""
+        segments = self.cut(" " + text)
+        fresh = list(dict.fromkeys(s for s in segments if s not in self.index))
+        if fresh:
+            known, ids = {}, self.b.encode(["x" + s for s in fresh], num_threads=1)  # after a letter no blank is put before it
+            for s, b in zip(fresh, ids, strict=True):
+                (self.index if len(s) <= KEEP_CHARS else known)[s] = len(self.groups)
+                for kept, new in zip((self.groups, self.n, self.pairs), self.align(s, self._first_ids(s), b[len(self.head) :]), strict=True):
                     kept.append(new)
-                if len(s) <= KEEP_CHARS:
-                    self.index[s] = at
-            found.append(at)
-        return found
+            if known:
+                return [self.index[s] if s in self.index else known[s] for s in segments]
+        return list(map(self.index.__getitem__, segments))
 
 
 def aligner(first: str | None, second: str | None) -> Aligner:
