@@ -1,4 +1,4 @@
-"""Full-text search over an inverted index."""
+"""Prefix search by a scan of all texts; fulltext.py keeps an index for it."""
 
 from __future__ import annotations
 
@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from orrery.functions.text import tokens
 
 
-def inverted_index(rows: DataFrame, key: str, text: Column) -> DataFrame:
-    """``(token, key)``, each pair once."""
-    return rows.select(F.col(key), F.explode(F.array_distinct(tokens(text))).alias("token"))
-
-
 def prefix_search(rows: DataFrame, key: str, text: Column, words: str) -> DataFrame:
     """``key, hits`` of rows in which each query word begins some token; hits counts the matching tokens."""
     terms = [t for t in "".join(c if c.isalnum() else " " for c in words.lower()).split() if t]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from orrery.functions import text as X
 from orrery.operators.graph import connected_components
-from orrery.operators.search import prefix_search
 from orrery.operators.similarity import cascade, fuzzy_join, indel_ratio, sequence_ratio_above, token_set_ratio, token_sort
 from orrery.operators.vectors import group_tfidf, knn, representatives, similar
 from orrery.queries.registry import query
@@ -18,33 +17,6 @@ from orrery.streaming import jobs
 from orrery.streaming.jobs import deduplicated, file_stream, run_once, run_update, upsert_batches
 
 
-# -- full text -------------------------------------------------------------------------------------------------------------
-_FTS = """SELECT {key}, CAST(len(list_filter(t, lambda x: starts_with(x, 'than'))) + len(list_filter(t, lambda x: starts_with(x, 'er'))) AS BIGINT) AS hits
-    FROM (SELECT {key}, {tok} AS t FROM {table}) WHERE len(list_filter(t, lambda x: starts_with(x, 'than'))) > 0 AND len(list_filter(t, lambda x: starts_with(x, 'er'))) > 0"""
-
-
-@query(_FTS.format(key="doc_id", tok=DOC_TOK, table="documents"))
-def fts_prefix_search(spark: SparkSession, folder: str) -> DataFrame:
-    return prefix_search(table(spark, folder, "documents"), "doc_id", F.col("text"), "than er")
-
-
-@query(f"""SELECT d.doc_id, d.lang FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM ({_FTS.format(key='doc_id', tok=DOC_TOK, table='documents')})
-    UNION SELECT item_id FROM ({_FTS.format(key='item_id', tok=DOC_TOK, table='benchmark')}))""")
-def fts_union_semi(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    one = prefix_search(docs, "doc_id", F.col("text"), "than er").select("doc_id")
-    two = prefix_search(table(spark, folder, "benchmark"), "item_id", F.col("text"), "than er").select(F.col("item_id").alias("doc_id"))
-    return docs.join(one.union(two).distinct(), "doc_id", "left_semi").select("doc_id", "lang")
-
-
-@query("""SELECT d.doc_id, w AS word FROM documents d, (VALUES ('idiot'), ('scum'), ('trash'), ('loser')) v(w) WHERE list_contains(list_filter(regexp_split_to_array(lower(d.text), '[^a-z0-9]+'), lambda x: x <> ''), w)""")
-def dictionary_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Dictionary terms in texts: tokens join the dictionary, never term by text."""
-    terms = spark.createDataFrame([(w,) for w in ("idiot", "scum", "trash", "loser")], "word string")
-    docs = table(spark, folder, "documents").select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("word"))
-    return docs.join(terms, "word").select("doc_id", "word")
-
-
 # -- fuzzy matching -----------------------------------------------------------------------------------------------------------
 @query()
 def fuzzy_ratio(spark: SparkSession, folder: str) -> DataFrame:
