@@ -20,7 +20,7 @@ PROFILES = f"""SELECT doc_id AS id, n_chars,
     CASE n_chars % 7 WHEN 0 THEN {_W1} || ' ' || {_W2} || ' - Founder & CEO at Acme - Berlin | LinkedIn' WHEN 1 THEN 'Show HN: ' || {_W1} || ' – a tool: for ' || {_W2}
       WHEN 2 THEN {_W1} || ': ' || {_W2} || ' | ex-Google, ex-Rocket' WHEN 3 THEN {_W1} || '-' || {_W2} WHEN 4 THEN 'CTO bei ' || {_W1} || ' – Stealth Startup, Zürich'
       WHEN 5 THEN '[Idea] ' || {_W1} || ' https://www.reddit.com/x https://ex.org/' || CAST(n_chars % 9 AS STRING) || ' end' ELSE '' END AS headline,
-    substr({_FLAT}, 1, 400) AS snippet FROM documents"""
+    {_FLAT} AS snippet FROM documents"""
 
 
 def profiles(spark: SparkSession, folder: str) -> DataFrame:

@@ -19,7 +19,7 @@ NEWS = f"""SELECT *, coalesce(title, '') || ' ' || coalesce(description, '') AS
     WHEN 2 THEN 'Seed-Runde für ' || {_W1} || ': ' || {_A} || ',2 Mio. Euro angeführt von Delta Partners, sowie andere'
     WHEN 3 THEN {_W1} || ' sammelt die erste Million ein' WHEN 4 THEN {_W1} || ': Series B über €' || {_A} || ' Millionen'
     WHEN 5 THEN 'Tipps: wie man ' || {_W1} || ' gründet' WHEN 6 THEN 'KI-Startup ' || {_W1} || ' bekommt EXIST-Gründerstipendium'
-    WHEN 7 THEN {_W1} || ' erhält 2 Milliarden Euro vom Investor Omega Fund' WHEN 8 THEN substr({_FLAT}, 1, 100) WHEN 9 THEN NULL
+    WHEN 7 THEN {_W1} || ' erhält 2 Milliarden Euro vom Investor Omega Fund' WHEN 8 THEN {_FLAT} WHEN 9 THEN NULL
     ELSE 'the round: ' || {_W1} || ' closes 12.5 million dollar pre-seed' END AS title FROM documents)"""
 _G = "CAST(30 + n_chars % 60 AS STRING) || '.000'"
 NOTICES = f"""SELECT doc_id AS id, CASE WHEN n_chars % 3 = 0 THEN CAST(25000 AS DOUBLE) END AS current, CASE n_chars % 8
@@ -28,7 +28,7 @@ NOTICES = f"""SELECT doc_id AS id, CASE WHEN n_chars % 3 = 0 THEN CAST(25000 AS
     WHEN 2 THEN 'Bestellt als Geschäftsführerin: Dr. Anna ' || {_W1} || ', *01.02.1980; Max von Berg und Eva Stein-Wolf. Ausgeschieden als Prokurist: Otto Kern.'
     WHEN 3 THEN 'Geschäftsführer: 1. ' || {_W1} || ' ' || {_W2} || '; 2. Prof. Dr. Lena Öz. Abberufen Vorstand: Uwe Maier, geb. 03.04.1970, Köln. Geschäftsführer: Lena Öz.'
     WHEN 4 THEN 'Neue Gesellschafter; Sacheinlage. Gegenstand: ' || {_W1} || '. Sitz: Berlin. Kapital EUR 40.000,00'
-    WHEN 5 THEN 'Liquidator: ' || {_W1} || ' ' || {_W1} || '. Die Gesellschaft ist aufgelöst.' WHEN 6 THEN NULL ELSE substr({_FLAT}, 1, 200) END AS txt FROM documents"""
+    WHEN 5 THEN 'Liquidator: ' || {_W1} || ' ' || {_W1} || '. Die Gesellschaft ist aufgelöst.' WHEN 6 THEN NULL ELSE {_FLAT} END AS txt FROM documents"""
 
 
 def _view(spark: SparkSession, folder: str, sql: str) -> DataFrame:

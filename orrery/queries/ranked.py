@@ -69,11 +69,11 @@ _KEYS = 1024
 
 
 @query("""
-    WITH k AS (SELECT o_orderkey AS k, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS nxt FROM orders WHERE o_orderkey % 7 NOT IN (1, 2, 3))
+    WITH k AS (SELECT o_orderkey AS k, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS nxt FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderstatus = 'F'))
     SELECT min(k) AS last_before_gap FROM k WHERE nxt - k > 3""")
 def frontier_gap(spark: SparkSession, folder: str) -> DataFrame:
-    """Last key before the first gap of more than three: gaps inside blocks of keys, and between a block and the next."""
-    keys = table(spark, folder, "orders").filter("o_orderkey % 7 NOT IN (1, 2, 3)").select(F.col("o_orderkey").alias("k"))
+    """Last filled key before the first gap of more than three (other orders are misses): gaps inside blocks of keys, and between a block and the next."""
+    keys = table(spark, folder, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"))
     keys = keys.distinct().withColumn("block", F.floor(F.col("k") / _KEYS))
     nxt = F.lead("k").over(W.partitionBy("block").orderBy("k"))
     inside = keys.withColumn("nxt", nxt).filter(F.col("nxt") - F.col("k") > 3).select("k")

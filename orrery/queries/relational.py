@@ -266,8 +266,8 @@ define("merge_max", """
     SELECT l_partkey, l_suppkey, max(l_discount) AS confidence, count(*) AS notes FROM {lineitem} GROUP BY l_partkey, l_suppkey""")
 define("merge_coalesce", """
     SELECT coalesce(n.k, b.k) AS k, coalesce(n.v, b.v) AS v, greatest(coalesce(n.flag, 0), coalesce(b.flag, 0)) AS flag
-    FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS v, 0 AS flag FROM {customer} WHERE c_custkey % 3 <> 0) n
-    FULL JOIN (SELECT c_custkey AS k, c_acctbal AS v, 1 AS flag FROM {customer} WHERE c_custkey % 2 = 0) b ON n.k = b.k""")
+    FROM (SELECT c_custkey AS k, CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE c_acctbal END AS v, 0 AS flag FROM {customer} WHERE c_acctbal < 6000) n
+    FULL JOIN (SELECT c_custkey AS k, c_acctbal AS v, 1 AS flag FROM {customer} WHERE c_acctbal >= 1000) b ON n.k = b.k""")
 define("fill_missing", """
     SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 4 = 0 THEN NULL ELSE d.lang END, s.lang) AS lang FROM {documents} d
     LEFT JOIN (SELECT source, min(lang) AS lang FROM {documents} GROUP BY source) s ON d.source = s.source""")
