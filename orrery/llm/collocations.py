@@ -6,8 +6,10 @@ as relations:
 
 * group and count: each block of a relation counts its own phrases, and Spark adds
   these up per language;
-* semi-join: a block asks once for each phrase it holds whether it is frequent,
-  and occurrences of the others go;
+* semi-join: occurrences of phrases that are not frequent go.  Where the frequent
+  ones are few enough for a bitmap of ``BITS`` bits over their hashes, tasks keep
+  that and look phrases up where blocks lie; beyond that size, each block asks in a
+  join, once for each phrase it holds;
 * merge-join: two neighbours of ``Rk`` in one piece, at adjacent positions, make
   an occurrence of ``Rk+1``.  Both halves of it are frequent, or it could not be.
 
@@ -17,7 +19,7 @@ a free place between pieces, so that adjacent places are adjacent positions of o
 piece; a block keeps the steps from place to place, the phrase at each, and the
 distinct phrases.  Blocks are cut between pieces, also inside of long texts.
 
-The semi-join asks by a 64-bit hash of language and phrase: a collision would only
+Places and phrases of a block are packed and compressed.  Semi-joins know phrases by hashes of language and phrase: a collision would only
 keep occurrences that the exact counts leave out later.  Scores are integers of up
 to 38 digits.
 
@@ -41,11 +43,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from orrery.storage import stage
+from orrery.storage import drop_staged, stage
 
 LEAST, WORDS, TOP = 10, 3, 2000
-BLOCK, SLICE = 1 << 21, 1 << 22  # words, bytes
+BLOCK, SLICE = 1 << 20, 1 << 22  # words, bytes
+#: Bits of the bitmap that stands for the frequent phrases (8 MB), and how many bits each has to have at least.
+BITS, BITS_EACH = 1 << 26, 8
 SALTS = 16
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 END = re.compile(rb"[.,;:!?\n-\r]")
@@ -57,10 +62,21 @@ _SCHEMA = pa.schema(
 )
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Non-negative integers, compressed; the first byte is their width."""
+    width = 1 if (most := values.max(initial=0)) < 1 << 8 else 2 if most < 1 << 16 else 4
+    raw = values.astype(f"<u{width}").tobytes()
+    return bytes([width]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    raw = pa.decompress(packed[9:], int.from_bytes(packed[1:9], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(raw, f"<u{packed[0]}").astype(np.int32)
+
+
 def _row(block: int, lang: str, places: np.ndarray, codes: np.ndarray, phrases: pa.Array) -> list[pa.Array]:
     counts = np.bincount(codes, minlength=len(phrases)).astype(np.int64)
-    steps = np.diff(places, prepend=0).astype("<i4")
-    values = [block, lang, steps.tobytes(), codes.astype("<i4").tobytes()]
+    values = [block, lang, _packed(np.diff(places, prepend=0)), _packed(codes)]
     lists = [pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), v) for v in (phrases, pa.array(counts))]
     return [*[pa.array([v], f.type) for v, f in zip(values, _SCHEMA, strict=False)], *lists]
 
@@ -148,44 +164,85 @@ def frequent_codes(relation: DataFrame, frequent: DataFrame) -> DataFrame:
     return asked.join(frequent.select(F.xxhash64("lang", "phrase").alias("key")), "key", "left_semi").select("asker", "code")
 
 
-def _extend(relation: pa.Table, alive: pa.Table) -> pa.Table:
-    """The occurrences of a block made one word longer: merge-join of its frequent occurrences at adjacent places."""
-    if not relation.num_rows or not alive.num_rows:
-        return _SCHEMA.empty_table()
-    block, lang = (relation.column(c)[0].as_py() for c in ("block", "lang"))
-    places = np.cumsum(np.frombuffer(relation.column("steps")[0].as_py(), "<i4"), dtype=np.int32)
-    codes = np.frombuffer(relation.column("codes")[0].as_py(), "<i4")
-    phrases = relation.column("phrases").combine_chunks().flatten()
-    stays = np.zeros(len(phrases), bool)
-    stays[alive.column("code").to_numpy()] = True
+def frequent_bits(frequent: DataFrame, bits: int = BITS) -> np.ndarray:
+    """A bit each for the frequent phrases' hashes: at most ``bits`` / 32768 rows of 4 KB reach the driver."""
+    at = F.xxhash64("lang", "phrase").bitwiseAND(F.lit(bits - 1)) + 1  # places count from 1
+    parts = frequent.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("part"))
+    found = np.zeros(bits // 8, np.uint8)
+    for r in parts.collect():
+        found[(r.bucket - 1) * 4096 :][:4096] = np.frombuffer(r.part, np.uint8)
+    return found
+
+
+def _in_bits(found: np.ndarray, lang: str, phrases: pa.Array) -> np.ndarray:
+    """Which phrases may be frequent; those that are, are never left out."""
+    seed = xxh64_intdigest(lang, 42)
+    keys = np.fromiter((xxh64_intdigest(p, seed) for p in phrases.to_pylist()), np.uint64, len(phrases)) & np.uint64(len(found) * 8 - 1)
+    return (found[keys >> np.uint64(3)] >> (keys & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _extend(block: int, lang: str, steps: bytes, codes: bytes, phrases: pa.Array, stays: np.ndarray, last: bool) -> pa.RecordBatch | None:
+    """The occurrences of a block made one word longer: merge-join of its frequent occurrences at adjacent places.
+
+    Of the ``last`` level only the counts are kept.
+    """
+    places, codes = np.cumsum(_unpacked(steps), dtype=np.int32), _unpacked(codes)
     kept = np.flatnonzero(stays[codes])
     places, codes = places[kept], codes[kept]
     at = np.flatnonzero(places[1:] == places[:-1] + 1)
     if not len(at):
-        return _SCHEMA.empty_table()
+        return None
     pairs, longer = np.unique(codes[at].astype(np.int64) * len(phrases) + codes[at + 1], return_inverse=True)
     first, second = phrases.take(pa.array(pairs // len(phrases))), phrases.take(pa.array(pairs % len(phrases)))
     second = pc.replace_substring_regex(second, "(?s)^.* ", "")  # its last word
-    names = pc.binary_join_element_wise(first, second, " ")
-    return pa.Table.from_batches([pa.RecordBatch.from_arrays(_row(block, lang, places[at], longer, names), schema=_SCHEMA)])
-
+    row = _row(block, lang, places[at], longer, pc.binary_join_element_wise(first, second, " "))
+    if last:
+        row[2:4] = [pa.nulls(1, pa.binary())] * 2
+    return pa.RecordBatch.from_arrays(row, schema=_SCHEMA)
+
+
+def longer_occurrences(relation: DataFrame, frequent: DataFrame, last: bool, bits: int = BITS) -> DataFrame:
+    """``Rk+1`` from ``Rk`` and the (written) frequent phrases of k words."""
+    relation = relation.drop("counts")
+    if frequent.count() * BITS_EACH <= bits:
+        found = relation.sparkSession.sparkContext.broadcast(frequent_bits(frequent, bits))
+
+        def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in range(b.num_rows):
+                    block, lang, steps, codes = (b.column(c)[k].as_py() for c in ("block", "lang", "steps", "codes"))
+                    phrases = b.column("phrases")[k].values
+                    row = _extend(block, lang, steps, codes, phrases, _in_bits(found.value, lang, phrases), last)
+                    if row is not None:
+                        yield row
+
+        return relation.mapInArrow(look, RELATION)
+
+    def join(own: pa.Table, alive: pa.Table) -> pa.Table:
+        if not own.num_rows or not alive.num_rows:
+            return _SCHEMA.empty_table()
+        block, lang, steps, codes = (own.column(c)[0].as_py() for c in ("block", "lang", "steps", "codes"))
+        phrases = own.column("phrases").combine_chunks().flatten()
+        stays = np.zeros(len(phrases), bool)
+        stays[alive.column("code").to_numpy()] = True
+        row = _extend(block, lang, steps, codes, phrases, stays, last)
+        return _SCHEMA.empty_table() if row is None else pa.Table.from_batches([row])
 
-def longer_occurrences(relation: DataFrame, frequent: DataFrame) -> DataFrame:
-    """``Rk+1`` from ``Rk`` and the frequent phrases of k words."""
     alive = frequent_codes(relation, frequent)
-    return relation.drop("counts").groupBy("block").cogroup(alive.groupBy("asker")).applyInArrow(_extend, RELATION)
+    return relation.groupBy("block").cogroup(alive.groupBy("asker")).applyInArrow(join, RELATION)
 
 
 def mine_phrases(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", words: int = WORDS, least: int = LEAST, block_words: int = BLOCK
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", words: int = WORDS, least: int = LEAST, block_words: int = BLOCK, bits: int = BITS
 ) -> tuple[DataFrame, DataFrame]:
     """``(lang, phrase, size, n)`` of phrases of 1 to ``words`` words that occur ``least`` times, and ``(lang, n)`` of all words."""
     relation = stage(word_occurrences(docs, text_col, lang_col, block_words), "occurrences")
     counts = stage(phrase_counts(relation), "words")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
-    found = level = counts.filter(F.col("n") >= least).withColumn("size", F.lit(1))
+    found = level = stage(counts.filter(F.col("n") >= least).withColumn("size", F.lit(1)), "phrases")
     for size in range(2, words + 1):
-        relation = stage(longer_occurrences(relation, level), "occurrences")
+        before, relation = relation, stage(longer_occurrences(relation, level, size == words, bits), "occurrences")
+        drop_staged(before)
         level = stage(phrase_counts(relation).filter(F.col("n") >= least).withColumn("size", F.lit(size)), "phrases")
         found = found.unionByName(level)
     return found.select("lang", "phrase", "size", "n"), totals
@@ -217,10 +274,10 @@ def drop_contained(scored: DataFrame, percent: int = 50) -> DataFrame:
 
 
 def collocations(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", words: int = WORDS, least: int = LEAST, top: int = TOP, block_words: int = BLOCK
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", words: int = WORDS, least: int = LEAST, top: int = TOP, block_words: int = BLOCK, bits: int = BITS
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's first ``top`` phrases."""
-    found, totals = mine_phrases(docs, text_col, lang_col, words, least, block_words)
+    found, totals = mine_phrases(docs, text_col, lang_col, words, least, block_words, bits)
     kept = drop_contained(stage(score_phrases(found), "scored"))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     some = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))  # no task ranks a whole language

@@ -163,14 +163,15 @@ def plain_collocations(rows, least, top, words=3):
     return [(g, k, p.decode(), -a, l, r, n[g], -s) for g, rows in found.items() for k, (s, a, p, l, r) in enumerate(sorted(rows)[:top], 1)]
 
 
-def test_collocations_against_plain_counts(spark, odd):
+def test_collocations_against_plain_counts(spark, odd, monkeypatch):
     draw = random.Random(11)
     vocabulary = ["new", "york", "city", "San", "francisco", "café", "zürich", "a", "of", "the"]
     texts = ["".join(draw.choice(vocabulary) + draw.choice([" ", " ", "  ", "\t", ". ", "\n", ", ", " "]) for _ in range(draw.randrange(60))) for _ in range(120)]
     rows = [(t, draw.choice(["en", "de", None, ""])) for t in texts] + [("a a a a a a", "en")] * 5
     made = spark.createDataFrame(rows, "text string, lang string").repartition(3).unionByName(odd.select("text", "lang"))
-    for words, block in ((3, 50), (3, collocations.BLOCK), (4, 700)):
-        found = collocations.collocations(made, least=4, top=40, block_words=block, words=words)
+    for words, block, bits, each in ((3, 50, 1 << 15, 8), (3, collocations.BLOCK, collocations.BITS, 8), (4, 700, 1 << 15, 1 << 15)):
+        monkeypatch.setattr(collocations, "BITS_EACH", each)  # the last: too few bits for the phrases, blocks ask by a join
+        found = collocations.collocations(made, least=4, top=40, block_words=block, words=words, bits=bits)
         assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
         assert sorted(map(tuple, found.collect())) == sorted(plain_collocations(map(tuple, made.collect()), 4, 40, words))
 
