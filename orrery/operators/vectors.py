@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.storage import stage
+
 TILE = 1024
 
 
@@ -94,16 +99,36 @@ def representatives(vectors: DataFrame, key: str, vector: str, group: str, k: in
     return rows.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
 
 
-def group_tfidf(terms: DataFrame, group: str, term: str, k: int, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
-    """``group, term, weight, rank``: the k terms of most weight, groups as documents, smooth idf, unit length.
+def term_counts(rows: DataFrame, group: str, words: str, n: int = 2) -> DataFrame:
+    """``group, term, tf`` of words and runs of up to ``n`` words: each batch counts its own terms before any is shuffled."""
+
+    def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found: dict[object, Counter] = {}
+            for g, own in zip(b[group], b[words], strict=True):
+                if own is not None:
+                    own = list(own)
+                    counts = found.setdefault(None if pd.isna(g) else g, Counter())
+                    counts.update(own)
+                    for k in range(2, n + 1):
+                        counts.update(map(" ".join, zip(*(own[i:] for i in range(k)), strict=False)))
+            for g, counts in found.items():
+                yield pd.DataFrame({group: [g] * len(counts), "term": counts.keys(), "tf": counts.values()})
+
+    kind = rows.schema[group].dataType.simpleString()
+    parts = rows.select(group, words).mapInPandas(count, f"{group} {kind}, term string, tf long")
+    return parts.repartition("term").groupBy(group, "term").agg(F.sum("tf").alias("tf"))  # so that a term's groups lie together
+
+
+def group_tfidf(tf: DataFrame, group: str, term: str, k: int, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
+    """``group, term, weight, rank`` from counts ``tf``: the k terms of most weight, groups as documents, smooth idf, unit length.
 
     Only terms of ``min_df`` groups or more, and of at most the share ``max_df`` of all groups, count.
     """
-    tf = terms.groupBy(group, term).agg(F.count("*").alias("tf"))
+    tf = stage(tf.withColumn("df", F.count("*").over(W.partitionBy(term))), "tf")
     n = tf.select(group).distinct().agg(F.count("*").alias("n"))
-    df = tf.groupBy(term).agg(F.count("*").alias("df"))
-    df = df.join(F.broadcast(n)).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))).drop("n")  # n: one row
-    weighted = tf.join(df, term).join(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    counted = tf.join(F.broadcast(n)).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))  # n: one row
+    weighted = counted.select(group, term, (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
     norm = weighted.groupBy(group).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
     scored = weighted.join(norm, group).withColumn("weight", F.round(F.col("w") / F.col("norm"), 4))
     best = W.partitionBy(group).orderBy(F.desc("weight"), term)

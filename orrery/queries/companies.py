@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from orrery.functions import lexicon as L
 from orrery.functions import scoring as S
 from orrery.queries.registry import query
-from orrery.sources.tables import table
+from orrery.sources.tables import spread, table
 from orrery.storage import table_path
 
 _FLAT = "replace(text, chr(10), ' ')"
@@ -36,7 +36,7 @@ COMPANIES = f"""SELECT doc_id AS id, text AS purpose, CASE WHEN n_chars % 7 = 0
 
 
 def companies(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text", "n_chars"))
     return spark.sql(COMPANIES.replace("FROM documents", "FROM {documents}"), documents=docs)
 
 

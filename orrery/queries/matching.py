@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from orrery.functions import text as X
 from orrery.operators.graph import connected_components
 from orrery.operators.similarity import cascade, fuzzy_join, indel_ratio, sequence_ratio_above, token_set_ratio, token_sort
-from orrery.operators.vectors import group_tfidf, knn, representatives, similar
+from orrery.operators.vectors import group_tfidf, knn, representatives, similar, term_counts
 from orrery.queries.registry import query
 from orrery.queries.textual import DOC_TOK
-from orrery.sources.tables import table
+from orrery.sources.tables import spread, table
 from orrery.storage import stage, table_path
 from orrery.streaming import jobs
 from orrery.streaming.jobs import deduplicated, file_stream, run_once, run_update, upsert_batches
@@ -109,9 +109,8 @@ def cluster_representatives(spark: SparkSession, folder: str) -> DataFrame:
     SELECT lang, term, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY weight DESC, term) AS rank FROM s) WHERE rank <= 8""")
 def cluster_tfidf(spark: SparkSession, folder: str) -> DataFrame:
     """Words and pairs of words; a term of more than three quarters of the groups says nothing about one."""
-    words = table(spark, folder, "documents").select("lang", X.tokens(F.col("text")).alias("t"))
-    terms = words.select("lang", F.explode(F.concat("t", X.ngrams(F.col("t"), 2))).alias("term"))
-    return group_tfidf(terms, "lang", "term", 8, max_df=0.75)
+    words = spread(table(spark, folder, "documents").select("lang", "text")).select("lang", X.tokens(F.col("text")).alias("t"))
+    return group_tfidf(term_counts(words, "lang", "t"), "lang", "term", 8, max_df=0.75)
 
 
 @query("""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id

@@ -11,7 +11,7 @@ from orrery.operators.fulltext import build_index, search_prefixes, search_ranke
 from orrery.queries.news import NEWS, NOTICES, _view
 from orrery.queries.registry import query
 from orrery.queries.textual import DOC_TOK, TOK
-from orrery.sources.tables import table
+from orrery.sources.tables import spread, table
 from orrery.storage import table_path
 
 _FTS = """SELECT {key}, CAST(len(list_filter(t, lambda x: starts_with(x, 'than'))) + len(list_filter(t, lambda x: starts_with(x, 'er'))) AS BIGINT) AS hits
@@ -19,7 +19,7 @@ _FTS = """SELECT {key}, CAST(len(list_filter(t, lambda x: starts_with(x, 'than')
 
 
 def _index(spark: SparkSession, folder: str, name: str, key: str, stems: bool = False):
-    return build_index(table(spark, folder, name), key, F.col("text"), table_path(spark, f"index-{name}"), stems)
+    return build_index(spread(table(spark, folder, name).select(key, "text")), key, F.col("text"), table_path(spark, f"index-{name}"), stems)
 
 
 @query(_FTS.format(key="doc_id", tok=DOC_TOK, table="documents"))
