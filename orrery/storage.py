@@ -30,11 +30,14 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/orrery-{uuid.uuid4().hex}/{name}"
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` once and return the written table."""
+def stage(df: DataFrame, name: str = "stage", group_rows: int | None = None) -> DataFrame:
+    """Write ``df`` once and return the written table; ``group_rows`` bounds row groups where single rows are large."""
     spark = df.sparkSession
     path = table_path(spark, name)
-    df.write.parquet(path)
+    writer = df.write
+    if group_rows is not None:
+        writer = writer.option("parquet.block.row.count.limit", group_rows)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
