@@ -48,7 +48,9 @@ from xxhash import xxh64_intdigest
 from orrery.storage import drop_staged, stage
 
 LEAST, WORDS, TOP = 10, 3, 2000
-BLOCK, SLICE = 1 << 20, 1 << 22  # words, bytes
+BLOCK, SLICE = 1 << 18, 1 << 20  # words, bytes
+#: Blocks of a row group, so that readers and writers hold a few at once.
+GROUP = 8
 #: Bits of the bitmap that stands for the frequent phrases (8 MB), and how many bits each has to have at least.
 BITS, BITS_EACH = 1 << 26, 8
 SALTS = 16
@@ -135,6 +137,7 @@ def word_occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "l
                 block += 1
             filling.clear()
             held = 0
+            pa.default_memory_pool().release_unused()
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
@@ -236,12 +239,12 @@ def mine_phrases(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", words: int = WORDS, least: int = LEAST, block_words: int = BLOCK, bits: int = BITS
 ) -> tuple[DataFrame, DataFrame]:
     """``(lang, phrase, size, n)`` of phrases of 1 to ``words`` words that occur ``least`` times, and ``(lang, n)`` of all words."""
-    relation = stage(word_occurrences(docs, text_col, lang_col, block_words), "occurrences")
+    relation = stage(word_occurrences(docs, text_col, lang_col, block_words), "occurrences", GROUP)
     counts = stage(phrase_counts(relation), "words")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
     found = level = stage(counts.filter(F.col("n") >= least).withColumn("size", F.lit(1)), "phrases")
     for size in range(2, words + 1):
-        before, relation = relation, stage(longer_occurrences(relation, level, size == words, bits), "occurrences")
+        before, relation = relation, stage(longer_occurrences(relation, level, size == words, bits), "occurrences", GROUP)
         drop_staged(before)
         level = stage(phrase_counts(relation).filter(F.col("n") >= least).withColumn("size", F.lit(size)), "phrases")
         found = found.unionByName(level)
