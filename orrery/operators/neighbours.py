@@ -10,6 +10,7 @@ that one place with a third of all vectors is many tiles.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -41,18 +42,22 @@ def _nearest(q: np.ndarray, ids: np.ndarray, c: np.ndarray, others: np.ndarray,
     return sims, np.lexsort((np.broadcast_to(others, sims.shape), -np.round(sims, 9)), axis=1)[:, :k]
 
 
-def pruned_knn(vectors: DataFrame, key: str, vector: str, k: int, pivots: int = PIVOTS, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """``id, neighbor, similarity, rank`` as all pairs would give them, and one row ``(visited, pairs)`` of tile pairs.
+@dataclass(frozen=True)
+class Cells:
+    """Vectors as ``id, v, tile``, and of each cell: its centre, its radius and its tiles."""
 
-    Null vectors have no neighbours and are nobody's; ids are unique longs.
-    """
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
-    n = rows.count()
-    many = max(1, min(pivots, int(n**0.5)))
-    chosen = [r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(many).collect()]  # `pivots` vectors at most
+    placed: DataFrame
+    centres: np.ndarray
+    radius: np.ndarray
+    tiles: list[list[int]]
+
+
+def cells_of(rows: DataFrame, pivots: int = PIVOTS, tile: int = TILE) -> Cells | None:
+    """Cells of ``id, v``; at most ``pivots`` vectors come to the driver.  None without a vector."""
+    many = max(1, min(pivots, int(rows.count() ** 0.5)))
+    chosen = [r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(many).collect()]
     if not chosen:
-        none = rows.select("id", F.col("id").alias("neighbor"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("rank"))
-        return none, rows.agg(F.count("*").alias("visited"), F.count("*").alias("pairs"))
+        return None
     centres = _unit(pd.Series(chosen))
 
     def settle(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,22 +66,41 @@ def pruned_knn(vectors: DataFrame, key: str, vector: str, k: int, pivots: int =
             yield b.assign(cell=d.argmin(axis=1).astype("int32"), d=d.min(axis=1, initial=np.inf))
 
     settled = stage(rows.mapInPandas(settle, "id long, v array<double>, cell int, d double"), "cells")
-    cells = {r.cell: (r.n, r.d) for r in settled.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("d")).collect()}  # a row a pivot
-    tiles = {c: -(-n // tile) for c, (n, _) in cells.items()}
-    first = dict(zip(tiles, np.cumsum([0, *tiles.values()])[:-1].tolist(), strict=True))
-    spread = F.create_map(*[F.lit(x) for c in tiles for x in (c, tiles[c])])
-    start = F.create_map(*[F.lit(x) for c in tiles for x in (c, first[c])])
-    placed = stage(settled.withColumn("tile", (start[F.col("cell")] + F.pmod(F.xxhash64("id"), spread[F.col("cell")])).cast("int")).select("id", "v", "tile"), "tiles")
-    known = np.array(sorted(tiles))
-    radius = np.array([cells[c][1] for c in known])
+    sizes = {r.cell: (r.n, r.d) for r in settled.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("d")).collect()}  # a row a pivot
+    known = sorted(sizes)
+    many_tiles = {c: -(-sizes[c][0] // tile) for c in known}
+    first = dict(zip(known, np.cumsum([0, *many_tiles.values()])[:-1].tolist(), strict=True))
+    spread = F.create_map(*[F.lit(x) for c in known for x in (c, many_tiles[c])])
+    start = F.create_map(*[F.lit(x) for c in known for x in (c, first[c])])
+    placed = settled.withColumn("tile", (start[F.col("cell")] + F.pmod(F.xxhash64("id"), spread[F.col("cell")])).cast("int"))
+    tiles = [list(range(first[c], first[c] + many_tiles[c])) for c in known]
+    return Cells(stage(placed.select("id", "v", "tile"), "tiles"), centres[known], np.array([sizes[c][1] for c in known]), tiles)
+
+
+def pruned_knn(vectors: DataFrame, key: str, vector: str, k: int, pivots: int = PIVOTS, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """``id, neighbor, similarity, rank`` as all pairs would give them, and one row ``(visited, pairs)`` of tile pairs.
+
+    Null vectors have no neighbours and are nobody's; ids are unique longs.
+    """
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
+    cells = cells_of(rows, pivots, tile)
+    if cells is None:
+        none = rows.select("id", F.col("id").alias("neighbor"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("rank"))
+        return none, rows.agg(F.count("*").alias("visited"), F.count("*").alias("pairs"))
+    return knn_in_cells(cells, k)
+
+
+def knn_in_cells(cells: Cells, k: int) -> tuple[DataFrame, DataFrame]:
+    """`pruned_knn` over vectors that lie in cells."""
+    placed, centres, radius, tiles = cells.placed, cells.centres, cells.radius, cells.tiles
 
     def bound(part: pd.DataFrame) -> pd.DataFrame:
         """Which tiles each query of a tile has to visit."""
         x, ids = _unit(part["v"]), part["id"].to_numpy()
         sims, order = _nearest(x, ids, x, ids, k)
         kth = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * sims[np.arange(len(ids)), order[:, -1]])) if order.shape[1] == k else np.full(len(ids), np.inf)
-        near = _apart(x, centres[known]) - radius[None, :] <= kth[:, None] + SLACK
-        to = [[t for c in known[row].tolist() for t in range(first[c], first[c] + tiles[c])] for row in near]
+        near = _apart(x, centres) - radius[None, :] <= kth[:, None] + SLACK
+        to = [[t for c in np.flatnonzero(row) for t in tiles[c]] for row in near]
         return pd.DataFrame({"id": ids, "v": part["v"], "a": part["tile"], "b": to})
 
     asked = placed.groupBy("tile").applyInPandas(bound, "id long, v array<double>, a int, b array<int>")
@@ -96,7 +120,7 @@ def pruned_knn(vectors: DataFrame, key: str, vector: str, k: int, pivots: int =
     near = asked.groupBy("a", "b").cogroup(corpus.groupBy("to", "at")).applyInPandas(top, "id long, neighbor long, similarity double")
     best = W.partitionBy("id").orderBy(F.desc(F.round("similarity", 9)), "neighbor")
     found = near.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
-    total = sum(tiles.values())
+    total = sum(map(len, tiles))
     return found, pairs.agg(F.count("*").alias("visited"), F.lit(total * total).cast("long").alias("pairs"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators.clusters import recursive_clusters as clusters_of
+from orrery.operators.hierarchy import density_hierarchy
 from orrery.operators.neighbours import pruned_knn, text_vectors
 from orrery.queries.matching import _KNN
 from orrery.queries.news import NEWS, _view
@@ -36,6 +37,13 @@ def recursive_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clusters_of(table(spark, folder, "embeddings"), "vec_id", "embedding", 0.3, 3, 25).withColumn("parent", F.coalesce("parent", F.lit(-1)))
 
 
+@query()
+def hierarchical_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """The most stable density clusters of all vectors, at least five in each; the rest is noise (-1)."""
+    found = density_hierarchy(table(spark, folder, "embeddings"), "vec_id", "embedding", 3, 5)
+    return found.withColumn("strength", F.round("strength", 6))
+
+
 _TITLE = "regexp_extract(title, '^(.*?) (raises|sammelt|erhält|closes)', 1)"
 _AMOUNT = "CAST(nullif(regexp_extract(title, '([0-9]+)(m| Mio| Millionen| million)', 1), '') AS DOUBLE) * 1000000"
 _LED = "nullif(regexp_extract(title, 'led by ([^,.]+)', 1), '')"
