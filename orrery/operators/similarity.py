@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable
 from difflib import SequenceMatcher
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orrery.storage import stage
+
 
 def indel(a: str, b: str) -> float:
     """2 * longest common subsequence / total length; 1 for two empty strings. Bits of one integer hold a row of the table."""
@@ -68,58 +71,84 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return F.greatest(indel_ratio(both, left), indel_ratio(both, right), indel_ratio(left, right))
 
 
-def shared_from(threshold: float) -> int:
+def shared_from(threshold: float) -> float:
     """Least length of the longer of two names from which a ratio of ``threshold`` leaves them a pair of letters in common.
 
     Names of m and n letters are at most ``d = (1 - ratio) * (m + n)`` insertions and deletions apart, and each of these
-    takes at most two of the longer one's m - 1 pairs.
+    takes at most two of the longer one's m - 1 pairs.  Infinite if no length is enough.
     """
-    fails = [m for m in range(1, 400) if m - 1 - 2 * int((1 - threshold) * 2 * m + 1e-9) < 1]
+    if 1 - 4 * (1 - threshold) <= 0:
+        return float("inf")
+    fails = [m for m in range(1, int(2 / (1 - 4 * (1 - threshold))) + 2) if m - 1 - 2 * int((1 - threshold) * 2 * m + 1e-9) < 1]
     return max(fails, default=0) + 1
 
 
-def name_keys(threshold: float) -> Callable[[Column], Column]:
-    """Keys of which two names have one in common if their indel ratio is ``threshold`` or more.
+def name_tokens(threshold: float) -> Callable[[Column], Column]:
+    """Numbered pairs of letters (``=``) and letters (``-``) of names, with how many of the rarest have to be looked at.
 
-    Pairs of letters, and for short names also what is left when as few letters are taken away as the ratio allows.
+    Of two names whose indel ratio is ``threshold`` or more, the longer one either has ``shared_from`` letters, and they share
+    pairs, or both are shorter and share letters: at least ``ratio * (m + n) / 2`` of them.  Whatever the order of all tokens is, if t of them are
+    shared, the first ``size - t + 1`` of both names have one in common.  A name has no more tokens than twice its letters.
     """
     least, band = shared_from(threshold), threshold / (2 - threshold)
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def keys(names: pd.Series) -> pd.Series:
-        found = []
+    def kept(n: int) -> tuple[int, int]:
+        """How many pairs and letters of a name of ``n`` letters are looked at, over all lengths of its partner."""
+        pairs = letters = 0
+        for m in range(math.ceil(n * band - 1e-9), int(n / band + 1e-9) + 1):
+            longer = max(m, n)
+            if longer >= least:
+                shared = longer - 1 - 2 * int((1 - threshold) * (m + n) + 1e-9)
+                pairs = max(pairs, n - 1 - max(1, shared) + 1)
+            else:
+                letters = max(letters, n - max(1, math.ceil(threshold * (m + n) / 2 - 1e-9)) + 1)
+        return pairs, letters
+
+    @F.pandas_udf("array<struct<token: string, keep: int>>")
+    def tokens(names: pd.Series) -> pd.Series:
+        found, sizes = [], {}
         for name in names:
-            own: set[str] = set()
-            if name is not None:
+            own = [] if name != "" else [{"token": "-", "keep": 1}]
+            if name:
                 n = len(name)
-                if n >= least * band - 1:
-                    own.update("=" + name[k : k + 2] for k in range(n - 1))
-                if n < least:
-                    most = int((1 - threshold) * (n + least) + 1e-9)
-                    for k in range(max(0, n - most), n + 1):
-                        own.update("-" + "".join(c) for c in combinations(name, k))
-            found.append(sorted(own))
+                if n not in sizes:
+                    sizes[n] = kept(n)
+                for mark, keep, parts in zip("=-", sizes[n], ([name[k : k + 2] for k in range(n - 1)], name), strict=True):
+                    seen: Counter = Counter()
+                    for p in parts if keep > 0 else ():
+                        seen[p] += 1
+                        own.append({"token": f"{mark}{p}{seen[p]}", "keep": keep})
+            found.append(own)
         return pd.Series(found)
 
-    return keys
+    return tokens
 
 
 def fuzzy_join(
     left: DataFrame, right: DataFrame, left_name: str, right_name: str, block: list[str], threshold: float, top: int, order: list[str]
 ) -> DataFrame:
-    """Pairs within equal ``block`` columns whose names have an indel ratio of ``threshold``; the best ``top`` of each left row.
+    """Pairs within equal ``block`` columns whose names have an indel ratio, to four digits, of ``threshold``, which is
+    above 0; the best ``top`` of each left row.
 
-    Distinct names are compared, once each, if they share a key that any such pair has (see ``name_keys``) and their
-    lengths allow the ratio: min(length) / max(length) >= r / (2 - r).  Rows come in after that.
+    Distinct names are compared, once each, if they share one of their rarest tokens (see ``name_tokens``; counted over both
+    sides) and their lengths allow the ratio: min(length) / max(length) >= r / (2 - r).  Rows come in after that.
     """
-    keys, band = name_keys(threshold), threshold / (2 - threshold)
+    if not 0 < threshold <= 1:
+        raise ValueError(f"a threshold above 0 and of at most 1 is needed, not {threshold}")
+    least = max(threshold - 5e-5, threshold / 2)  # what is rounded up to the threshold
+    tokens, band = name_tokens(least), least / (2 - least)
     one, two = (
-        rows.select(*block, F.col(name).alias(side)).filter(F.col(side).isNotNull()).distinct()
-        for rows, name, side in ((left, left_name, "__x"), (right, right_name, "__y"))
+        rows.select(*block, F.col(name).alias("name"), F.lit(side).alias("side")).filter(F.col(name).isNotNull()).distinct()
+        for rows, name, side in ((left, left_name, 0), (right, right_name, 1))
     )
-    keyed = one.withColumn("__key", F.explode(keys("__x"))).join(two.withColumn("__key", F.explode(keys("__y"))), [*block, "__key"])
+    told = stage(one.unionByName(two).withColumn("t", F.explode(tokens("name"))).select(*block, "name", "side", "t.*"), "tokens")
+    seen = told.groupBy("token").agg(F.count("*").alias("seen"))
+    rarest = W.partitionBy(*block, "side", "name", F.substring("token", 1, 1)).orderBy("seen", "token")
+    keyed = told.join(seen, "token").withColumn("at", F.row_number().over(rarest)).filter(F.col("at") <= F.col("keep")).drop("at", "keep", "seen")
+    keyed = stage(keyed, "keys")
     a, b = F.length("__x"), F.length("__y")
-    names = keyed.filter(F.least(a, b) >= F.greatest(a, b) * band - 1e-9).select(*block, "__x", "__y").distinct()
+    x, y = keyed.filter("side = 0").drop("side").withColumnRenamed("name", "__x"), keyed.filter("side = 1").drop("side").withColumnRenamed("name", "__y")
+    names = x.join(y, [*block, "token"]).filter(F.least(a, b) >= F.greatest(a, b) * band - 1e-9).select(*block, "__x", "__y").distinct()
     names = names.withColumn("similarity", F.round(indel_ratio(F.col("__x"), F.col("__y")), 4)).filter(F.col("similarity") >= threshold)
     pairs = left.join(names.withColumnRenamed("__x", left_name), [*block, left_name]).join(right.withColumnRenamed(right_name, "__y"), [*block, "__y"])
     pairs = pairs.withColumnRenamed("__y", right_name)

@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import types as T
 
-from orrery.operators.similarity import fuzzy_join
+from orrery.operators.similarity import fuzzy_join, name_tokens
 from orrery.queries import names, registry
 from orrery.storage import table_path
 from orrery.streaming.jobs import file_stream, latest, upsert_batches
@@ -88,7 +88,7 @@ def plain_indel(a, b):
     return 2 * row[-1] / (len(a) + len(b)) if a or b else 1.0
 
 
-@pytest.mark.parametrize("threshold", [0.7, 0.8, 0.85, 0.95])
+@pytest.mark.parametrize("threshold", [0.3, 0.7, 0.8, 0.85, 0.95])
 def test_fuzzy_join_loses_no_pair(spark, threshold):
     draw = random.Random(7)
     base = ["".join(draw.choice("abcde ") for _ in range(draw.randint(1, 16))) for _ in range(120)]
@@ -102,6 +102,15 @@ def test_fuzzy_join_loses_no_pair(spark, threshold):
     assert {(r.i, r.j) for r in pairs if r.a and r.b} == want and len(pairs) == len({(r.i, r.j) for r in pairs})
 
 
+@pytest.mark.parametrize("threshold", [0.2, 0.75, 0.85, 0.99])
+def test_tokens_of_a_name_are_few(spark, threshold):
+    rows = spark.createDataFrame([("abcdefghij" * 8,), ("Ünïcödé" * 4,), ("aaaa",), ("",), (None,)], "name string")
+    for r in rows.withColumn("t", name_tokens(threshold)("name")).collect():
+        assert len(r.t) <= max(1, 2 * len(r.name or "")) and len({t.token for t in r.t}) == len(r.t)
+    with pytest.raises(ValueError):
+        fuzzy_join(rows, rows.withColumnRenamed("name", "other"), "name", "other", [], 0.0, 1, ["name", "other"])
+
+
 def test_fuzzy_queries_against_all_pairs(spark, data):
     known = registry.queries()
     customers = {r.c_custkey: (r.c_name, r.c_nationkey) for r in spark.read.parquet(f"{data}/customer.parquet").collect()}
