@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import text as X
+from orrery.operators.aliases import canonical_tag, tag_aliases
 from orrery.operators.graph import connected_components
 from orrery.operators.similarity import cascade, fuzzy_join, indel_ratio, sequence_ratio_above, token_set_ratio, token_sort
 from orrery.operators.vectors import group_tfidf, knn, representatives, similar, term_counts
 from orrery.queries.registry import query
+from orrery.queries.sqltext import indel_sql, letter_masks
 from orrery.queries.textual import DOC_TOK
 from orrery.sources.tables import spread, table
 from orrery.storage import stage, table_path
@@ -18,14 +20,22 @@ from orrery.streaming.jobs import deduplicated, file_stream, run_once, run_updat
 
 
 # -- fuzzy matching -----------------------------------------------------------------------------------------------------------
-@query()
+_SORTED = "array_to_string(list_sort(string_split_regex(trim(lower({})), '\\s+')), ' ')"
+
+
+@query(f"""SELECT s_suppkey, {indel_sql('m', 'a', 'b')} AS ratio FROM (SELECT s_suppkey, lower(s_name) AS a, {letter_masks('lower(s_name)')} AS m, lower(n_name) AS b
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey)""")
 def fuzzy_ratio(spark: SparkSession, folder: str) -> DataFrame:
     nations = table(spark, folder, "nation")
     suppliers = table(spark, folder, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
     return suppliers.select("s_suppkey", F.round(indel_ratio(F.lower("s_name"), F.lower("n_name")), 4).alias("ratio"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part), x AS (SELECT p_partkey, {_SORTED.format("w[-1] || ' ' || w[-2] || 'x'")} AS x FROM w),
+    y AS (SELECT DISTINCT p_name, {_SORTED.format('p_name')} AS y FROM part), d AS (SELECT x, {letter_masks('x')} AS m FROM (SELECT DISTINCT x FROM x)),
+    s AS (SELECT x, p_name, {indel_sql('m', 'x', 'y')} AS similarity FROM d, y),
+    r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY similarity DESC, p_name) AS pos FROM s WHERE similarity >= 0.85)
+    SELECT p_partkey, p_name, similarity FROM x JOIN r ON x.x = r.x WHERE pos = 1""")
 def fuzzy_best(spark: SparkSession, folder: str) -> DataFrame:
     """Best token-sorted match of each noisy part name among the distinct names."""
     part = table(spark, folder, "part")
@@ -34,7 +44,10 @@ def fuzzy_best(spark: SparkSession, folder: str) -> DataFrame:
     return fuzzy_join(noisy, names, "noisy", "plain", [], 0.85, 1, ["p_partkey", "p_name"]).select("p_partkey", "p_name", "similarity")
 
 
-@query()
+@query(f"""WITH c AS (SELECT c_custkey, c_nationkey AS g, regexp_extract(c_name, '([0-9]+)$', 1) AS a FROM customer), d AS (SELECT *, {letter_masks('a')} AS m FROM c),
+    s AS (SELECT s_suppkey, s_nationkey AS g, regexp_extract(s_name, '([0-9]+)$', 1) AS b FROM supplier),
+    p AS (SELECT c_custkey, s_suppkey, {indel_sql('m', 'a', 'b')} AS similarity FROM d JOIN s ON d.g = s.g)
+    SELECT c_custkey, s_suppkey, similarity FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY similarity DESC, s_suppkey) AS pos FROM p WHERE similarity >= 0.85) WHERE pos <= 10""")
 def fuzzy_range_join(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "customer").select("c_custkey", F.regexp_extract("c_name", r"(\d+)$", 1).alias("c_no"), F.col("c_nationkey").alias("nation"))
     s = table(spark, folder, "supplier").select("s_suppkey", F.regexp_extract("s_name", r"(\d+)$", 1).alias("s_no"), F.col("s_nationkey").alias("nation"))
@@ -63,14 +76,26 @@ def detect_union(spark: SparkSession, folder: str) -> DataFrame:
     return one.unionByName(two).unionByName(three).groupBy("k").agg(F.array_join(F.array_sort(F.collect_set("origin")), ",").alias("origins"), F.max("conf").alias("confidence"))
 
 
-@query()
+_FORM = "regexp_replace(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-|-$', '', 'g')"
+
+
+@query(f"""WITH t AS (SELECT unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS raw FROM pages), c AS (SELECT raw, count(*) AS occurrences FROM t GROUP BY raw),
+    f AS (SELECT *, CASE WHEN k NOT IN ('', 'unknown', 'n-a', 'na', 'none', 'null') THEN k END AS form FROM (SELECT *, {_FORM.format('raw')} AS k FROM c)),
+    v AS (SELECT form AS canonical FROM f WHERE form IS NOT NULL GROUP BY form HAVING 250 * sum(occurrences) >= (SELECT sum(occurrences) FROM c)), y AS (SELECT *, {_SORTED.format("replace(canonical, '-', ' ')")} AS y FROM v),
+    x AS (SELECT form, x, {letter_masks('x')} AS m FROM (SELECT DISTINCT form, {_SORTED.format("replace(form, '-', ' ')")} AS x FROM f WHERE form IS NOT NULL AND form NOT IN (SELECT canonical FROM v))),
+    s AS (SELECT form, canonical, {indel_sql('m', 'x', 'y')} AS score FROM x JOIN y ON abs(length(x) - length(y)) <= 0.26 * (length(x) + length(y))),
+    r AS (SELECT *, row_number() OVER (PARTITION BY form ORDER BY score DESC, canonical) AS pos FROM s WHERE score >= 0.75)
+    SELECT f.raw, coalesce(r.canonical, f.form) AS canonical, CASE WHEN v.canonical IS NOT NULL THEN 1.0 ELSE coalesce(r.score, 0.0) END::DOUBLE AS score,
+    CASE WHEN f.form IS NULL THEN 'dropped' WHEN v.canonical IS NOT NULL THEN 'exact' WHEN r.form IS NOT NULL THEN 'fuzzy' ELSE 'invented' END AS method, occurrences
+    FROM f LEFT JOIN v ON f.form = v.canonical LEFT JOIN (SELECT * FROM r WHERE pos = 1) r ON f.form = r.form""")
 def alias_build(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw tags to frequent ones: exact, fuzzy, or kept as they are."""
-    raw = table(spark, folder, "part").select(F.explode(F.split("p_name", " ")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
-    noisy = raw.select(F.concat("tag", F.lit("z")).alias("raw")).unionByName(raw.select(F.col("tag").alias("raw")))
-    targets = raw.select(F.col("tag").alias("canonical"))
-    found = fuzzy_join(noisy, targets, "raw", "canonical", [], 0.8, 1, ["raw", "canonical"]).select("raw", "canonical", "similarity")
-    return noisy.select("raw").join(found, "raw", "left").withColumn("method", F.when(F.col("similarity") == 1, "exact").when(F.col("similarity").isNotNull(), "fuzzy").otherwise("kept"))
+    """Link texts of pages to the forms that make a 250th of them or more."""
+    links = table(spark, folder, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('<a href="[^"]*">([^<]*)</a>'), 1)).alias("raw"))
+    raw = stage(links.groupBy("raw").agg(F.count("*").alias("occurrences")), "raw")
+    counts = raw.groupBy(canonical_tag(F.col("raw")).alias("canonical")).agg(F.sum("occurrences").alias("n"))
+    total = raw.agg(F.sum("occurrences").alias("total"))  # one row
+    frequent = counts.crossJoin(F.broadcast(total)).filter("250 * n >= total and canonical is not null")
+    return tag_aliases(raw, frequent, 0.75)
 
 
 # -- vectors --------------------------------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from orrery.functions import lexicon as L
 from orrery.functions import scoring as S
 from orrery.functions import text as X
 from orrery.operators import vectors
+from orrery.operators.aliases import tag_aliases
 from orrery.operators.graph import connected_components
 from orrery.operators.ranking import global_rank
 from orrery.operators.similarity import indel
@@ -119,3 +120,16 @@ def test_similar_forest(spark):
                 label = [min([label[k], *[label[j] for j in np.flatnonzero(near[k])]]) for k in range(len(x))]
             assert parts == {k: label[k] for k in got}
     vectors.TILE = 1024
+
+
+def test_tag_aliases(spark):
+    tags = [("SaaS Subscription", 5), ("saas_subscription", 2), ("subscription-saas", 1), ("subscriptionn saas", 1), ('["market place"]', 3), ("***", 4), ("", 1), (None, 2), ("N/A", 1), ("novel", 1)]
+    raw = spark.createDataFrame([(t, n, "x") for t, n in tags], "raw string, occurrences long, form string")
+    words = spark.createDataFrame([("saas-subscription",), ("market-place",), ("market-place",), (None,)], "canonical string")
+    got = {r.raw: (r.canonical, r.score, r.method, r.occurrences) for r in tag_aliases(raw, words, 0.85).collect()}
+    assert got == {
+        "SaaS Subscription": ("saas-subscription", 1.0, "exact", 5), "saas_subscription": ("saas-subscription", 1.0, "exact", 2), "subscription-saas": ("saas-subscription", 1.0, "fuzzy", 1),
+        "subscriptionn saas": ("saas-subscription", 0.9714, "fuzzy", 1), '["market place"]': ("market-place", 1.0, "exact", 3), "***": (None, 0.0, "dropped", 4), "": (None, 0.0, "dropped", 1),
+        None: (None, 0.0, "dropped", 2), "N/A": (None, 0.0, "dropped", 1), "novel": ("novel", 0.0, "invented", 1),
+    }
+    assert tag_aliases(raw.limit(0), words).count() == 0 and {r.method for r in tag_aliases(raw, words.limit(0)).collect()} == {"invented", "dropped"}
