@@ -88,7 +88,7 @@ _FORM = "regexp_replace(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '-', '
     SELECT f.raw, coalesce(r.canonical, f.form) AS canonical, CASE WHEN v.canonical IS NOT NULL THEN 1.0 ELSE coalesce(r.score, 0.0) END::DOUBLE AS score,
     CASE WHEN f.form IS NULL THEN 'dropped' WHEN v.canonical IS NOT NULL THEN 'exact' WHEN r.form IS NOT NULL THEN 'fuzzy' ELSE 'invented' END AS method, occurrences
     FROM f LEFT JOIN v ON f.form = v.canonical LEFT JOIN (SELECT * FROM r WHERE pos = 1) r ON f.form = r.form""")
-def alias_build(spark: SparkSession, folder: str) -> DataFrame:
+def tag_alias_map(spark: SparkSession, folder: str) -> DataFrame:
     """Link texts of pages to the forms that make a 250th of them or more."""
     links = table(spark, folder, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('<a href="[^"]*">([^<]*)</a>'), 1)).alias("raw"))
     raw = stage(links.groupBy("raw").agg(F.count("*").alias("occurrences")), "raw")
@@ -98,6 +98,19 @@ def alias_build(spark: SparkSession, folder: str) -> DataFrame:
     return tag_aliases(raw, frequent, 0.75)
 
 
+@query(f"""WITH t AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS tag FROM part), w AS (SELECT tag || 'z' AS raw FROM t UNION ALL SELECT tag FROM t),
+    x AS (SELECT raw, {letter_masks('raw')} AS m FROM (SELECT DISTINCT raw FROM w)), s AS (SELECT raw, tag AS canonical, {indel_sql('m', 'raw', 'tag')} AS similarity FROM x, t),
+    r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY similarity DESC, canonical) AS pos FROM s WHERE similarity >= 0.8) WHERE pos = 1)
+    SELECT w.raw, canonical, similarity, CASE WHEN similarity = 1 THEN 'exact' WHEN similarity IS NOT NULL THEN 'fuzzy' ELSE 'kept' END AS method FROM w LEFT JOIN r ON w.raw = r.raw""")
+def alias_build(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw tags to frequent ones: exact, fuzzy, or kept as they are."""
+    raw = table(spark, folder, "part").select(F.explode(F.split("p_name", " ")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    noisy = raw.select(F.concat("tag", F.lit("z")).alias("raw")).unionByName(raw.select(F.col("tag").alias("raw")))
+    targets = raw.select(F.col("tag").alias("canonical"))
+    found = fuzzy_join(noisy, targets, "raw", "canonical", [], 0.8, 1, ["raw", "canonical"]).select("raw", "canonical", "similarity")
+    return noisy.select("raw").join(found, "raw", "left").withColumn("method", F.when(F.col("similarity") == 1, "exact").when(F.col("similarity").isNotNull(), "fuzzy").otherwise("kept"))
+
+
 # -- vectors --------------------------------------------------------------------------------------------------------------------
 _KNN = """SELECT vec_id, neighbor, similarity, rank FROM (SELECT a.vec_id, b.vec_id AS neighbor, round(s, 4) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(s, 9) DESC, b.vec_id) AS rank
     FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id, LATERAL (SELECT list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s)) WHERE rank <= 5"""
