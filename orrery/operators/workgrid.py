@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def cells(phases: Sequence[tuple[DataFrame, DataFrame | None]], keyword: str = "keyword", state: str = "state") -> DataFrame:
-    """``keyword, state, phase, status``: every keyword of a phase with each of its states, or with none (null: everywhere).
+    """``keyword, state, phase, status, results``: every keyword of a phase with each of its states, or with none (null: everywhere).
 
     A cell of several phases lies in the first of them.  All cells are pending.
     """
@@ -20,7 +20,7 @@ def cells(phases: Sequence[tuple[DataFrame, DataFrame | None]], keyword: str = "
         rows = words.withColumn("state", F.lit(None).cast("string")) if states is None else words.crossJoin(states.select(F.col(state).cast("string").alias("state")).distinct())
         rows = rows.withColumn("phase", F.lit(number))
         found = rows if found is None else found.unionByName(rows)
-    return found.groupBy("keyword", "state").agg(F.min("phase").alias("phase")).withColumn("status", F.lit("pending"))
+    return found.groupBy("keyword", "state").agg(F.min("phase").alias("phase")).withColumns({"status": F.lit("pending"), "results": F.lit(None).cast("long")})
 
 
 def attempted(grid: DataFrame, attempts: DataFrame, most: int = 3) -> DataFrame:
@@ -35,7 +35,7 @@ def attempted(grid: DataFrame, attempts: DataFrame, most: int = 3) -> DataFrame:
         F.max(F.when(F.col("ok"), F.struct("at", "results"))).alias("__best"),
     )
     a = sums.withColumnsRenamed({"keyword": "__k", "state": "__s"})
-    rows = grid.join(a, (F.col("keyword") == F.col("__k")) & F.col("state").eqNullSafe(F.col("__s")), "left")
+    rows = grid.drop("tries", "last_at", "results").join(a, (F.col("keyword") == F.col("__k")) & F.col("state").eqNullSafe(F.col("__s")), "left")
     status = F.when(F.col("__ok") > 0, "completed").when(F.col("tries") >= most, "failed").when(F.col("tries") > 0, "retry").otherwise(F.col("status"))
     return rows.select("keyword", "state", "phase", status.alias("status"), F.coalesce("tries", F.lit(0)).alias("tries"), "last_at", F.col("__best.results").alias("results"))
 

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from orrery.queries import clustering, companies, exports, linking, loading, matching, names, news, ranked, relational, search, textual  # noqa: F401
+from orrery.queries import clustering, companies, exports, linking, loading, matching, names, news, people, ranked, relational, search, textual  # noqa: F401

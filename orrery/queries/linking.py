@@ -60,7 +60,7 @@ def auto_link(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # -- the grid of searches ----------------------------------------------------------------------------------------------------
-_ATTEMPTS = """SELECT e.event_type AS keyword, r.r_name AS state, e.ts AS at, e.value > 195 AS ok, CAST(floor(e.value) AS BIGINT) AS results
+_ATTEMPTS = """SELECT e.event_type AS keyword, r.r_name AS state, e.ts AS at, e.value > 350 AS ok, CAST(floor(e.value) AS BIGINT) AS results
     FROM {events} e LEFT JOIN {customer} c ON e.user_id = c.c_custkey LEFT JOIN {nation} n ON c.c_nationkey = n.n_nationkey LEFT JOIN {region} r ON n.n_regionkey = r.r_regionkey"""
 _D_ATTEMPTS = _ATTEMPTS.replace("{", "").replace("}", "").replace("AS at,", "AS happened,")
 
