@@ -8,16 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# The words of numbers, units, currencies and verbs that tell an amount or a capital event.
 NUMBER = r"([0-9]+(?:[,.][0-9]+)?)"
-MILLION = r"(?:Millionen|Mio\.?)"
+MILLION, BILLION = r"(?:Millionen|Mio\.?)", r"(?:Milliarden|Mrd\.?)"
+ENGLISH_MILLION = "(?:million|m)"
+GETS = "(?:erhält|sammelt|bekommt)"
+RAISES = ("kapitalerhöhung", "stammkapital erhöht", "neue gesellschafter", "sacheinlage")
+CUTS = ("kapitalherabsetzung", "herabsetzung des")
+
+
+def spaced_by(gap: str, *parts: str) -> str:
+    """Parts of a phrase with a gap between any two."""
+    return gap.join(parts)
+
+
 #: Ordered: pattern, multiplier, currency.
 FUNDING_AMOUNTS = (
-    (NUMBER + rf"\s*{MILLION}\s*(?:Euro|EUR|€)", 1e6, "EUR"),
-    (rf"(?:€|EUR)\s*{NUMBER}\s*{MILLION}", 1e6, "EUR"),
-    (NUMBER + r"\s*(?:Milliarden|Mrd\.?)\s*(?:Euro|EUR|€)", 1e9, "EUR"),
-    (rf"(?:erhält|sammelt|bekommt)\s+{NUMBER}\s*{MILLION}", 1e6, "EUR"),
-    (rf"\$\s*{NUMBER}\s*(?:million|m)\b", 1e6, "USD"),
-    (NUMBER + r"\s*(?:million|m)\s*(?:dollar|usd)", 1e6, "USD"),
+    (spaced_by(r"\s*", NUMBER, MILLION, "(?:Euro|EUR|€)"), 1e6, "EUR"),
+    (spaced_by(r"\s*", "(?:€|EUR)", NUMBER, MILLION), 1e6, "EUR"),
+    (spaced_by(r"\s*", NUMBER, BILLION, "(?:Euro|EUR|€)"), 1e9, "EUR"),
+    (GETS + r"\s+" + spaced_by(r"\s*", NUMBER, MILLION), 1e6, "EUR"),
+    (spaced_by(r"\s*", r"\$", NUMBER, ENGLISH_MILLION) + r"\b", 1e6, "USD"),
+    (spaced_by(r"\s*", NUMBER, ENGLISH_MILLION, "(?:dollar|usd)"), 1e6, "USD"),
 )
 WORD = "[A-Za-zÄÖÜäöüß][A-Za-zÄÖÜäöüß0-9.-]*"
 NAME = rf"({WORD}(?:\s+{WORD}){{0,3}})"
@@ -28,8 +40,9 @@ COMPANY_PATTERNS = (
     rf"(?:Startup|Fintech)\s+{NAME}",
     rf"Runde für {NAME}",
 )
+# Fixed value: what parts the deals of one headline.
 DEAL_SPLIT = r"\s*[–—]\s*|\s*\+\+\+\s*"
-DEAL = rf"{NAME}\s+(?:erhält|sammelt|bekommt)\s+{NUMBER}\s*{MILLION}"
+DEAL = spaced_by(r"\s+", NAME, GETS, spaced_by(r"\s*", NUMBER, MILLION))
 TRAILING = "( (erhält|sammelt|bekommt|hat|raises|closes))+$"
 NO_COMPANY = ("unbekannt", "unknown", "der", "die", "das", "the", "wie man")
 INVESTOR_PATTERNS = (
@@ -45,8 +58,6 @@ ROUNDS = (
 )
 AMOUNT = "([0-9][0-9.]*(?:,[0-9]{1,2})?)"
 CAPITAL_AMOUNTS = (rf"{AMOUNT}\s*(?:EUR|Euro|€)", rf"(?:EUR|€)\s*{AMOUNT}", rf"auf\s+{AMOUNT}")
-RAISES = ("kapitalerhöhung", "stammkapital erhöht", "neue gesellschafter", "sacheinlage")
-CUTS = ("kapitalherabsetzung", "herabsetzung des")
 ROLES = ("Geschäftsführer", "Prokurist", "Vorstand", "Liquidator")
 SEGMENT = rf"((?:Bestellt als |Bestellt zum |Ausgeschieden als |Ausgeschieden |Abberufen |Nicht mehr )?(?:{'|'.join(ROLES)})[a-zü]*: [^.]*)"
 PERSON = "^((?:Dr~ |Prof~ )*[A-ZÄÖÜ][a-zäöüß]+(?:[- ](?:von |van |de )?[A-ZÄÖÜ][a-zäöüß]+)+)"

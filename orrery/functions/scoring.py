@@ -82,6 +82,7 @@ def startup_class() -> Column:
     """Paths A to E to a startup, then what makes a scaleup, by precedence, over the columns of ``score_startups``."""
     score, name, purpose = F.col("score"), F.col("name_score"), F.col("purpose_score")
     known = (F.col("relevance") >= 1) | F.col("tech")
+    # The gates of the paths.
     startup = (score >= 5) & known  # A
     startup |= (score >= 3) & (F.col("relevance") >= 2) & F.col("tech")  # B
     startup |= (F.col("relevance") >= 4) & (score >= 2)  # C
