@@ -39,7 +39,8 @@ def feed_files(spark: SparkSession, folder: str) -> DataFrame:
     pages.filter(~atom).select(rss).write.text(where["rss"])
     pages.filter(atom).select(entry).write.text(where["atom"])
     found = read_feeds(spark, where["rss"], where["atom"])
-    number = F.regexp_extract(F.coalesce("title", "damaged"), r"No\. (\d+)", 1).cast("long")
+    # the summary holds the number alone; titles may begin with digits, which run into it
+    number = F.regexp_extract(F.coalesce("summary", "damaged"), r"(?s)^(?:On |.*&lt;b&gt;)(\d+)", 1).cast("long")
     return found.select(number.alias("page_id"), "title", "link", "summary", "published", F.col("damaged").isNotNull().alias("damaged"), "kind")
 
 
