@@ -74,8 +74,8 @@ _WIDE = f"SELECT s.*, {_CLASS} AS startup_classification FROM ({_STARTUPS}) s"
     CAST(ai AS VARCHAR) AS ai_robotics_score, CAST(score AS VARCHAR) AS startup_score, startup_classification, CAST(NULL AS VARCHAR) AS website, nullif(purpose, '') AS purpose
     FROM (SELECT d.*, w.score, w.startup_classification FROM ({D_SCORED}) d JOIN ({_WIDE}) w ON d.id = w.id) WHERE ai >= 3 AND startup_classification = 'startup' ORDER BY ai DESC, id LIMIT 10000""")
 def export_selected(spark: SparkSession, folder: str) -> DataFrame:
-    """Startups of a relevance of three or more, the most relevant first, with their whole purpose; at most 10,000, as the export has it."""
-    rows = _startups(spark, folder).select("id", "name", "city", F.col("registered").alias("registration_date"), F.col("capital").cast("decimal(18, 2)").alias("capital_amount"),
+    """Startups of a relevance of three or more, the most relevant first, equal ones by the id's text, with their whole purpose; at most 10,000, as the export has it."""
+    rows = _startups(spark, folder).select(F.col("id").cast("string").alias("id"), "name", "city", F.col("registered").alias("registration_date"), F.col("capital").cast("decimal(18, 2)").alias("capital_amount"),
         F.col("ai").alias("ai_robotics_score"), F.col("score").alias("startup_score"), F.col("classification").alias("startup_classification"), "purpose")
     scored = stage(rows, "scored")  # scores are taken once, not again in the filter and in the order
     where = table_path(spark, "selected")

@@ -28,3 +28,12 @@ def test_feed_titles_that_begin_with_digits(spark, tmp_path):
     rows = [(1, "http://a/x", page.format("90904537960215852590 b")), (2, "https://a/#y", page.format("77")), (3, "https://a/?p=<b>9</b>", page.format(" 5")), (4, "http://a/#<b>8</b>", page.format(""))]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     same_rows(registry.queries()["feed_files"](spark, str(tmp_path)), oracle(tmp_path, "feed_files", "pages"))
+
+
+def test_selected_export_cut_among_equals(spark, data, monkeypatch):
+    from orrery.queries import exports
+
+    whole = exports.X.selected
+    for limit in (1, 2, 3, 5, 8, 13, 21):
+        monkeypatch.setattr(exports.X, "selected", lambda *a, n=limit: whole(*a, limit=n))
+        same_rows(registry.queries()["export_selected"](spark, data), oracle(data, "export_selected", "documents", edit=lambda sql, n=limit: sql.replace("LIMIT 10000", f"LIMIT {n}")))
