@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orrery.functions import text as X
 from orrery.operators.aliases import canonical_tag, tag_aliases
 from orrery.operators.graph import connected_components
-from orrery.operators.similarity import cascade, fuzzy_join, indel_ratio, sequence_ratio_above, token_set_ratio, token_sort
+from orrery.operators.similarity import cascade, fuzzy_join, indel_ratio, pairs_of_copies, sequence_ratio_above, token_set_ratio, token_sort
 from orrery.operators.vectors import group_tfidf, knn, representatives, similar, term_counts
 from orrery.queries.registry import query
 from orrery.queries.sqltext import indel_sql, letter_masks
@@ -56,15 +56,11 @@ def fuzzy_range_join(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def name_similarity_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Exact 1.0, containment 0.9, else the sequence ratio, within a nation; a nation's customers are spread over salts."""
-    salts = 16
+    """Exact 1.0, containment 0.9, else the sequence ratio, within a nation; names that occur often are compared once."""
     c = table(spark, folder, "customer").select("c_custkey", F.lower("c_name").alias("a"), F.col("c_nationkey").alias("nation"))
-    c = c.withColumn("salt", F.pmod(F.xxhash64("c_custkey"), F.lit(salts)))
     s = table(spark, folder, "supplier").select("s_suppkey", F.lower("s_name").alias("b"), F.col("s_nationkey").alias("nation"))
-    s = s.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    pairs = c.join(s, ["nation", "salt"])
     score = F.when(F.col("a") == F.col("b"), 1.0).when(F.col("a").contains(F.col("b")), 0.9).otherwise(F.round(sequence_ratio_above(0.49995)("a", "b"), 4))
-    return pairs.select("c_custkey", "s_suppkey", score.alias("similarity")).filter("similarity >= 0.5")
+    return pairs_of_copies(c, s, "c_custkey", "s_suppkey", ["nation"], lambda pairs: pairs.withColumn("similarity", score).filter("similarity >= 0.5"))
 
 
 @query("""SELECT k, string_agg(DISTINCT origin, ',' ORDER BY origin) AS origins, max(conf) AS confidence FROM (SELECT c_nationkey AS k, 'customer' AS origin, 0.9 AS conf FROM customer WHERE c_acctbal > 9000

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import duckdb
+from pyspark.sql import functions as F
 
+from orrery.operators.similarity import pairs_of_copies
 from orrery.queries import registry
 
 
@@ -37,3 +39,19 @@ def test_selected_export_cut_among_equals(spark, data, monkeypatch):
     for limit in (1, 2, 3, 5, 8, 13, 21):
         monkeypatch.setattr(exports.X, "selected", lambda *a, n=limit: whole(*a, limit=n))
         same_rows(registry.queries()["export_selected"](spark, data), oracle(data, "export_selected", "documents", edit=lambda sql, n=limit: sql.replace("LIMIT 10000", f"LIMIT {n}")))
+
+
+def test_copies_are_scored_once(spark):
+    left = spark.createDataFrame([(k, k % 2, ("a", None, "")[k % 3]) for k in range(60)] + [(99, None, "a")], "i long, g int, x string")
+    right = spark.createDataFrame([(k, k % 2, ("a", "b", None)[k % 3]) for k in range(30)], "j long, g int, y string")
+    told = spark.sparkContext.accumulator(0)
+    plain = [(a.i, b.j, f"{a.x}{b.y}") for a in left.collect() for b in right.collect() if a.g == b.g]
+
+    def score(pairs):
+        seen = pairs.rdd.map(tuple).count()
+        told.add(seen)
+        return pairs.withColumn("s", F.concat(F.coalesce("x", F.lit("None")), F.coalesce("y", F.lit("None"))))
+
+    got = pairs_of_copies(left, right, "i", "j", ["g"], score).collect()
+    assert sorted(map(tuple, got)) == sorted(plain)
+    assert told.value == 2 * 3 * 3
