@@ -55,3 +55,16 @@ def test_copies_are_scored_once(spark):
     got = pairs_of_copies(left, right, "i", "j", ["g"], score).collect()
     assert sorted(map(tuple, got)) == sorted(plain)
     assert told.value == 2 * 3 * 3
+
+
+def test_match_confidence_scores_copies_once(spark, data, tmp_path):
+    for name, key in (("customer", "c_custkey"), ("supplier", "s_suppkey")):
+        rows = spark.read.parquet(f"{data}/{name}.parquet")
+        rows.unionByName(rows.withColumn(key, F.col(key) + 100_000)).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.read.parquet(f"{data}/nation.parquet").write.parquet(f"{tmp_path}/nation.parquet")
+    one = {(r[0], r[1]): tuple(r)[2:] for r in registry.queries()["match_confidence"](spark, data).collect()}
+    found = registry.queries()["match_confidence"](spark, str(tmp_path))
+    assert "sequence_ratio" not in found._jdf.queryExecution().toString()  # scores are read, not taken again for each copy
+    two = found.collect()
+    assert len(two) == 4 * len(one) > 0
+    assert all(one[r.s_suppkey % 100_000, r.c_custkey % 100_000] == (r.similarity, r.confidence) for r in two)
