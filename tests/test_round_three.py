@@ -68,3 +68,14 @@ def test_match_confidence_scores_copies_once(spark, data, tmp_path):
     two = found.collect()
     assert len(two) == 4 * len(one) > 0
     assert all(one[r.s_suppkey % 100_000, r.c_custkey % 100_000] == (r.similarity, r.confidence) for r in two)
+
+
+def test_best_match_of_odd_balances(spark, tmp_path):
+    inf, nan = float("inf"), float("nan")
+    balances = [9001.0, 9001.25, 9001.25, 9500.0, 12000.0, None, nan, inf, 1e300, 9000.0]
+    customers = [(k, k % 3, b) for k, b in enumerate(balances * 3)] + [(90, None, 9999.0), (91, 3, 9999.0), (92, 4, 9999.0)]
+    suppliers = [(5, 0, 9001.25), (3, 0, 9001.25), (4, 0, 9000.75), (1, 0, 9501.0), (2, 0, 9499.0), (7, 1, 1e-20), (6, 1, 2e-20), (8, 2, None), (9, 2, nan), (10, 2, -inf), (11, 2, 8.0), (12, 3, None), (13, None, 1.0)]
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = registry.queries()["best_match"](spark, str(tmp_path))
+    same_rows(found, oracle(tmp_path, "best_match", "customer", "supplier"))
