@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 from pyspark.sql import functions as F
 
-from orrery.operators.similarity import pairs_of_copies
+from orrery.operators.similarity import fuzzy_join, pairs_of_copies
 from orrery.queries import registry
 
 
@@ -79,3 +79,11 @@ def test_best_match_of_odd_balances(spark, tmp_path):
     spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     found = registry.queries()["best_match"](spark, str(tmp_path))
     same_rows(found, oracle(tmp_path, "best_match", "customer", "supplier"))
+
+
+def test_fuzzy_join_of_many_copies(spark):
+    """20,000 copies on each side are 400 million pairs, of which each row keeps two."""
+    left = spark.range(20_000).select(F.col("id").alias("i"), F.lit("same name").alias("a"))
+    right = spark.range(20_000).select((F.col("id") + 7).alias("j"), F.lit("same names").alias("b"))
+    found = fuzzy_join(left, right, "a", "b", [], 0.8, 2, ["i", "j"])
+    assert found.groupBy("j", "pos").count().sort("pos").collect() == [(7, 1, 20_000), (8, 2, 20_000)]
