@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from orrery.operators import blocks, vectors
 from orrery.operators.similarity import fuzzy_join, pairs_of_copies
 from orrery.queries import registry
 
@@ -87,3 +91,34 @@ def test_fuzzy_join_of_many_copies(spark):
     right = spark.range(20_000).select((F.col("id") + 7).alias("j"), F.lit("same names").alias("b"))
     found = fuzzy_join(left, right, "a", "b", [], 0.8, 2, ["i", "j"])
     assert found.groupBy("j", "pos").count().sort("pos").collect() == [(7, 1, 20_000), (8, 2, 20_000)]
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_blocks_equal_all_pairs(same, monkeypatch):
+    monkeypatch.setattr(blocks, "ROWS", 64)
+    monkeypatch.setattr(blocks, "COLUMNS", 100)
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(330, 12))
+    x[40:150], x[7] = x[40], 0  # copies, and a vector without a direction
+    x = blocks.unit(pd.Series(list(x)))
+    y = x if same else blocks.unit(pd.Series(list(draw.normal(size=(250, 12)))))
+    ids, others = np.arange(len(x)), np.arange(len(y)) + (0 if same else 300)
+    sims = x @ y.T
+    sims[ids[:, None] == others[None, :]] = -2
+    order = np.lexsort((np.broadcast_to(others, sims.shape), -np.round(sims, 9)), axis=1)[:, :4]
+    got = blocks.nearest(x, ids, y, others, 4)
+    assert got["id"].tolist() == np.repeat(ids, 4).tolist() and got["neighbor"].tolist() == others[order.ravel()].tolist()
+    counts, up = blocks.close(x, y, 0.6, same)
+    near = (sims if same else x @ y.T) >= 0.6
+    n = len(counts)
+    links = near if same else np.block([[np.zeros((len(x), len(x)), bool), near], [near.T, np.zeros((len(y), len(y)), bool)]])
+    least = np.arange(n)
+    while not np.array_equal(least, best := np.minimum(least, np.where(links, least, n).min(axis=1))):
+        least = best
+    assert counts.tolist() == links.sum(axis=1).tolist()
+    assert len(set(zip(least, up, strict=True))) == len(set(least)) == len(set(up))
+
+
+def test_vectors_are_sent_to_few_tiles(spark):
+    rows = spark.range(300_000).select("id", F.lit(None).cast("array<float>").alias("v"))
+    assert vectors._tiles(rows, "id", "v")[1] == 19
