@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from orrery.functions.extract import NAME, found
+from orrery.functions.extract import NAME, found_after
 
 # The words around a name, and the order of the forms.
 GETS_DE = ("erhält", "sammelt", "bekommt", r"sichert\s+sich", "schließt")
@@ -47,7 +47,7 @@ TRAIL = rf"(?i)(\s+{one_of(TRAILING)})+$"
 
 def headline_company(text: Column, no_company: Sequence[str]) -> Column:
     """Name of the first form that leaves a plausible one: words of funding after it gone, two characters or more, none of ``no_company``."""
-    names = F.transform(F.array(*[found(text, p) for p in name_patterns()]), lambda n: F.regexp_replace(F.trim(n), TRAIL, ""))
+    names = F.transform(F.array(*[found_after(text, p) for p in name_patterns()]), lambda n: F.regexp_replace(F.trim(n), TRAIL, ""))
     whole = F.filter(names, lambda n: (F.length(n) >= 2) & ~F.lower(n).isin(*no_company) & ~F.lower(n).isin(*[w.lower() for w in TRAILING]))
     return F.get(whole, F.lit(0))
 
