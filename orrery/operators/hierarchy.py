@@ -1,98 +1,174 @@
 """Hierarchical density clusters: a spanning tree, its merges, and the most stable clusters.
 
-Nothing here is gathered: edges of the spanning tree come from rounds in which every
-component asks for its lightest edge, merges from halving the edges by weight, in
+Nothing here is gathered: edges of the spanning tree come from the trees of tiles and
+of pairs of tiles, among which rounds choose each component's lightest, merges from halving the edges by weight, in
 which both halves go on at once, and clusters from pointers that double.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.operators.graph import connected_components
-from orrery.operators.neighbours import SLACK, Cells, _apart, _unit, cells_of, knn_in_cells
+from orrery.operators.blocks import unit
+from orrery.operators.neighbours import Cells, _vectors, cells_of, knn_in_cells
 from orrery.operators.ranking import global_rank
 from orrery.storage import drop_staged, stage
 
 BLOCK, DIGITS, LEAST = 100_000, 6, 1e-6
+#: Edges that one task may finish; rows of a block of products.
+FEW, ROWS = 250_000, 256
 _EDGE = "w double, lo long, hi long"
 
 
-def _lightest(edges: DataFrame) -> DataFrame:
-    """The lightest edge of every component; ties by ids, so that no round closes a ring."""
-    return edges.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi")).alias("e")).select("comp", "e.*")
+def _ways_out(x: np.ndarray, core: np.ndarray, comp: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lightest weight from each of ``rows`` to one of ``columns`` (in order) in another component, and the first place that has it.
+
+    Weights are rounded, so ties are common: the first of what is as light up to rounding is taken, and checked.
+    """
+    weight, place = np.full(len(rows), np.inf), np.full(len(rows), -1)
+    there, level, of = x[columns].T, 1 - core[columns] ** 2 / 2, comp[columns]  # level: the cosine at which the core takes over
+    for i in range(0, len(rows), ROWS):
+        own = rows[i : i + ROWS]
+        raw = x[own] @ there
+        near = np.minimum(raw, level[None, :])
+        near[comp[own][:, None] == of[None, :]] = -np.inf
+        most = near.max(axis=1)
+        some = np.isfinite(most)
+        least = np.round(np.sqrt(np.maximum(0.0, 2 - 2 * np.where(some, most, 0))), DIGITS)
+        least = np.maximum(least, core[own])
+        first = (near >= (1 - (least + 0.6 * 10.0**-DIGITS) ** 2 / 2 - 1e-15)[:, None]).argmax(axis=1)
+        d = np.round(np.sqrt(np.maximum(0.0, 2 - 2 * raw[np.arange(len(own)), first])), DIGITS)
+        for r in np.flatnonzero(some & (np.maximum(d, core[columns[first]]) > least)):  # next to a border of rounding
+            w = np.maximum(np.round(np.sqrt(np.maximum(0.0, 2 - 2 * raw[r])), DIGITS), core[columns])
+            w[comp[own[r]] == of] = np.inf
+            first[r], least[r] = np.maximum(w, core[own[r]]).argmin(), max(w.min(), core[own[r]])
+        weight[i : i + ROWS], place[i : i + ROWS] = np.where(some, least, np.inf), np.where(some, columns[first], -1)
+    return weight, place
+
+
+def tree_of(x: np.ndarray, core: np.ndarray, side: np.ndarray | None = None, known: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(w, lo, hi)`` of the minimum spanning tree of unit vectors in order of their ids, by places.
+
+    With ``side`` only edges between the two sides and the ``known`` ones count.  A vector's lightest way out stays so until both
+    ends are in one component, and bounds its later ones; it is sought again only if its component has no lighter one.
+    """
+    n = len(x)
+    comp, low, to, stale = np.arange(n), core.copy(), np.full(n, -1), np.ones(n, bool)
+    kw, kl, kh = known if known is not None else (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    sides = [(np.ones(n, bool), np.arange(n))] if side is None else [(side == s, np.flatnonzero(side != s)) for s in (0, 1)]
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while True:
+        bound = np.full(n, np.inf)
+        np.minimum.at(bound, comp[~stale], low[~stale])
+        np.minimum.at(bound, comp[kl], kw)
+        np.minimum.at(bound, comp[kh], kw)
+        need = stale & (low <= bound[comp]) & np.isfinite(low)
+        for mine, columns in sides:
+            rows = np.flatnonzero(need & mine)
+            if len(rows) and len(columns):
+                low[rows], to[rows] = _ways_out(x, core, comp, rows, columns)
+                stale[rows] = False
+        own = np.flatnonzero(~stale & (to >= 0))
+        c = np.concatenate([comp[own], comp[kl], comp[kh]])
+        other = np.concatenate([comp[to[own]], comp[kh], comp[kl]])
+        w = np.concatenate([low[own], kw, kw])
+        lo, hi = (np.concatenate([f(own, to[own]), k, k]) for f, k in ((np.minimum, kl), (np.maximum, kh)))
+        order = np.lexsort((hi, lo, w, c))
+        first = order[np.flatnonzero(np.diff(c[order], prepend=-1))]
+        if not len(first):
+            break
+        ends, at = np.unique(lo[first] * n + hi[first], return_index=True)
+        out.append((w[first][at], ends // n, ends % n))
+        up = np.arange(n)
+        up[c[first]] = other[first]
+        both = up[up] == np.arange(n)  # two components with the same edge: the only rings there are
+        up = np.where(both & (np.arange(n) < up), np.arange(n), up)
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+        comp = up[comp]
+        stale |= (to >= 0) & (comp[to] == comp)
+        open_ = comp[kl] != comp[kh]
+        kw, kl, kh = kw[open_], kl[open_], kh[open_]
+    return tuple(np.concatenate(a) if out else np.zeros(0, t) for a, t in zip(zip(*out) if out else ((), (), ()), (float, np.int64, np.int64), strict=True))
+
+
+def _kruskal(edges: pd.DataFrame) -> pd.DataFrame:
+    """The spanning forest of few edges between components ``a`` and ``b``."""
+    edges = edges.sort_values(["w", "lo", "hi"])
+    up: dict[int, int] = {}
+
+    def root(a: int) -> int:
+        while (b := up.get(a, a)) != a:
+            up[a] = a = up.get(b, b)
+        return a
+
+    taken = []
+    for a, b in zip(edges["a"].tolist(), edges["b"].tolist(), strict=True):
+        a, b = root(a), root(b)
+        taken.append(a != b)
+        up[a] = b
+    return edges.loc[taken, ["w", "lo", "hi"]]
 
 
 def spanning_tree(cells: Cells, k: int) -> DataFrame:
     """``w, lo, hi``: the minimum spanning tree of mutual reachability, unique by ``(w, lo, hi)``.
 
     A vector's core distance is that to its k-th other (the farthest where there are fewer); an edge weighs
-    the greatest of both cores and the distance, to six digits.  Every round takes each component's lightest way out: lists
-    of near neighbours bound it, and a vector visits a tile only if neither its core nor the tile's ball is beyond that bound,
-    and the tile holds another component.
+    the greatest of both cores and the distance, to six digits.  An edge of the whole tree is one of the tree of any
+    part that holds both its ends, so the trees of all pairs of tiles hold it: each tile's tree is found once, each pair of tiles adds
+    edges between the two, and a vector is sent once for each other tile in all.  Rounds over these few edges, each component's lightest, give the whole tree.
     """
-    centres, radius, tiles = cells.centres, cells.radius, cells.tiles
+    placed, total = cells.placed, 1 + max(t for own in cells.tiles for t in own)
     chord = F.round(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("similarity"))), DIGITS)
-    near = stage(knn_in_cells(cells, k)[0].select("id", "neighbor", chord.alias("d")), "near")
-    cores = stage(near.groupBy("id").agg(F.max("d").alias("core")), "cores")
-    points = stage(cells.placed.join(cores, "id"), "points")
-    other = cores.select(F.col("id").alias("neighbor"), F.col("core").alias("there"))
-    known = near.join(cores, "id").join(other, "neighbor")
-    known = stage(known.select("id", "neighbor", F.greatest("core", "there", "d").alias("w")), "known")
-
-    def ask(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                open_to = b["bound"].fillna(np.inf).to_numpy()
-                near = _apart(_unit(b["v"]), centres) - radius[None, :] <= open_to[:, None] + SLACK
-                near &= (b["core"].to_numpy() <= open_to)[:, None]
-                yield b.assign(to=[[t for c in np.flatnonzero(row) for t in tiles[c]] for row in near]).drop(columns="bound")
-
-    def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        """The lightest edge from every component of the askers to another one in this tile."""
-        none = pd.DataFrame({"comp": [], "w": [], "lo": [], "hi": []})
-        if q.empty or c.empty:
-            return none
-        d = np.round(_apart(_unit(q["v"]), _unit(c["v"])), DIGITS)
-        w = np.maximum(np.maximum(d, q["core"].to_numpy()[:, None]), c["core"].to_numpy()[None, :])
-        w[q["comp"].to_numpy()[:, None] == c["comp"].to_numpy()[None, :]] = np.inf
-        ids, others = q["id"].to_numpy()[:, None], c["id"].to_numpy()[None, :]
-        lo, hi = np.minimum(ids, others), np.maximum(ids, others)
-        best = np.lexsort((hi, lo, w), axis=1)[:, 0]
-        at = np.arange(len(q))
-        found = pd.DataFrame({"comp": q["comp"], "w": w[at, best], "lo": lo[at, best], "hi": hi[at, best]})
-        found = found[np.isfinite(found["w"])].sort_values(["w", "lo", "hi"])
-        return found.drop_duplicates("comp") if len(found) else none
-
-    labels, tree = stage(points.select("id", F.col("id").alias("comp")), "labels"), None
-    while True:
-        there = labels.select(F.col("id").alias("neighbor"), F.col("comp").alias("other"))
-        seen = known.join(labels, "id").join(there, "neighbor").filter("comp <> other")
-        seen = stage(_lightest(seen.select("comp", "w", F.least("id", "neighbor").alias("lo"), F.greatest("id", "neighbor").alias("hi"))), "seen")
-        now = stage(points.join(labels, "id").join(seen.select("comp", F.col("w").alias("bound")), "comp", "left"), "now")
-        asked = now.select("id", "comp", "v", "core", "bound", F.col("tile").alias("part")).mapInPandas(ask, "id long, comp long, v array<double>, core double, part int, to array<int>")
-        one = now.groupBy("tile").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).filter("a = z").select(F.col("tile").alias("at"), F.col("a").alias("comp"))
-        asked = asked.withColumn("at", F.explode("to")).drop("to").join(one, ["at", "comp"], "left_anti")
-        asked = stage(asked, "asked")
-        pairs = asked.select(F.col("part").alias("to"), "at").distinct()
-        corpus = now.select("id", "comp", "v", "core", F.col("tile").alias("at")).join(pairs, "at")
-        met = asked.groupBy("part", "at").cogroup(corpus.groupBy("to", "at")).applyInPandas(meet, f"comp long, {_EDGE}")
-        out = stage(_lightest(met.unionByName(seen)), "lightest")
-        if out.isEmpty():
-            break
-        new = out.select("w", "lo", "hi").distinct()
-        tree = stage(new if tree is None else tree.unionByName(new), "tree")
-        ends = new.join(labels.select(F.col("id").alias("lo"), F.col("comp").alias("x")), "lo").join(labels.select(F.col("id").alias("hi"), F.col("comp").alias("y")), "hi")
-        joined = connected_components(ends, "x", "y").select(F.col("node").alias("comp"), "component")
-        before, labels = labels, stage(labels.join(joined, "comp", "left").select("id", F.coalesce("component", "comp").alias("comp")), "labels")
-        for done in (before, seen, now, asked):
-            drop_staged(done)
-    return cells.placed.sparkSession.createDataFrame([], _EDGE) if tree is None else tree
+    cores = knn_in_cells(cells, k)[0].groupBy("id").agg(F.max(chord).alias("core"))
+    points = stage(placed.join(cores, "id"), "points")
+
+    def inside(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id")
+        ids = part["id"].to_numpy()
+        w, lo, hi = tree_of(unit(part["v"]), part["core"].to_numpy())
+        return pd.DataFrame({"tile": part["tile"].iloc[0], "w": w, "lo": ids[lo], "hi": ids[hi]})
+
+    trees = stage(points.groupBy("tile").applyInPandas(inside, f"tile int, {_EDGE}"), "trees")
+    if total == 1:
+        return trees.select("w", "lo", "hi")
+
+    def meet(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        """The edges between two tiles in the tree of both."""
+        part = part.sort_values("id")
+        ids, side = part["id"].to_numpy(), (part["tile"] == part["y"]).to_numpy().astype(int)
+        if side.min(initial=1) == side.max(initial=0):
+            return pd.DataFrame({"w": [], "lo": [], "hi": []})
+        own = (known["w"].to_numpy(), *(np.searchsorted(ids, known[c].to_numpy()) for c in ("lo", "hi")))
+        w, lo, hi = tree_of(unit(part["v"]), part["core"].to_numpy(), side, own)
+        new = side[lo] != side[hi]
+        return pd.DataFrame({"w": w[new], "lo": ids[lo[new]], "hi": ids[hi[new]]})
+
+    others = F.filter(F.sequence(F.lit(0), F.lit(total - 1)), lambda t: t != F.col("tile"))
+    meets = F.explode(F.transform(others, lambda t: F.struct(F.least(t, "tile").alias("x"), F.greatest(t, "tile").alias("y")))).alias("m")
+    parts = min(total * (total - 1) // 2, 2048)
+    sent = points.select("id", "v", "core", "tile", meets).select("id", "v", "core", "tile", "m.x", "m.y").repartition(parts, "x", "y")
+    known = trees.select("w", "lo", "hi", meets).select("w", "lo", "hi", "m.x", "m.y").repartition(parts, "x", "y")
+    between = sent.groupBy("x", "y").cogroup(known.groupBy("x", "y")).applyInPandas(meet, _EDGE)
+    edges = trees.select("w", "lo", "hi").unionByName(between).withColumns({"a": F.col("lo"), "b": F.col("hi")})
+    edges, tree = stage(edges, "edges"), None
+    while (left := edges.count()) > FEW:
+        both = edges.withColumn("comp", F.col("a")).unionByName(edges.withColumn("comp", F.col("b")))
+        out = both.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi", "a", "b")).alias("e")).select("e.*").distinct()
+        out = stage(out, "lightest")
+        tree = out.select("w", "lo", "hi") if tree is None else tree.unionByName(out.select("w", "lo", "hi"))
+        joined = stage(connected_components(out, "a", "b"), "joined")
+        for end in "ab":
+            edges = edges.join(joined.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end).drop(end).withColumnRenamed(f"_{end}", end)
+        edges = stage(edges.filter("a <> b"), "edges")
+    if left:  # a bounded rest in one task
+        rest = edges.groupBy().applyInPandas(_kruskal, _EDGE)
+        tree = rest if tree is None else tree.unionByName(rest)
+    return stage(tree, "tree")
 
 
 def merges_of(tree: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
@@ -156,23 +232,50 @@ def _follow(links: DataFrame) -> DataFrame:
             return now
 
 
-def _selected(clusters: DataFrame) -> DataFrame:
+_SCORED = "cluster long, parent long, stability double, score double, own boolean"
+
+
+def _scores(part: pd.DataFrame) -> pd.DataFrame:
+    """Scores of clusters, from below; ids grow upwards.  Those that have a score only give it to the cluster above."""
+    below: dict[int, float] = {}
+    out = []
+    part = part.sort_values("cluster")
+    for c, up, stable, score in zip(*(part[name].tolist() for name in ("cluster", "parent", "stability", "score")), strict=True):
+        if score != score:  # none yet
+            parts = below.get(c)
+            score = stable if parts is None else max(stable, parts)
+            out.append((c, up, stable, score, parts is None or stable >= parts))
+        below[up] = below.get(up, 0.0) + score
+    return pd.DataFrame(out, columns=["cluster", "parent", "stability", "score", "own"])
+
+
+def _selected(clusters: DataFrame, few: int | None = None) -> DataFrame:
     """``cluster, best``: the topmost cluster above each, or itself, that is at least as stable as all below it.
 
-    Rounds go up from the leaves: as many as clusters lie in one another.  The root (null ``parent``) is never taken.
+    At most ``few`` clusters are scored by one task, however deep they lie in one another; while there are more, each round
+    scores those whose parts are scored.  The root (null ``parent``) is never taken.
     """
-    waiting, done = clusters.select("cluster", "parent", "stability"), None
-    while True:
+    few = FEW if few is None else few
+    waiting, done = stage(clusters.select("cluster", "parent", "stability"), "waiting"), None
+    while (left := waiting.count()) > few:
         if done is None:
             ready = waiting.join(waiting.select(F.col("parent").alias("cluster")), "cluster", "left_anti").withColumn("score", F.col("stability")).withColumn("own", F.lit(True))
         else:
             below = done.groupBy(F.col("parent").alias("cluster")).agg(F.sum("score").alias("below"), F.count("*").alias("k")).filter("k = 2")
             ready = waiting.join(below, "cluster").withColumn("own", F.col("stability") >= F.col("below")).withColumn("score", F.greatest("stability", "below"))
         ready = stage(ready.select("cluster", "parent", "stability", "score", "own"), "ready")
-        if ready.isEmpty():
-            break
-        done = stage(ready if done is None else done.unionByName(ready), "done")
-        waiting = stage(waiting.join(ready.select("cluster"), "cluster", "left_anti"), "waiting")
+        kept, done = done, stage(ready if done is None else done.unionByName(ready), "done")
+        before, waiting = waiting, stage(waiting.join(ready.select("cluster"), "cluster", "left_anti"), "waiting")
+        for old in (before, ready, kept):
+            if old is not None:
+                drop_staged(old)
+    if left:
+        none = F.lit(None).cast("double").alias("score")
+        rest = waiting.select("cluster", "parent", "stability", none)
+        if done is not None:
+            rest = rest.unionByName(done.join(waiting.select(F.col("cluster").alias("parent")), "parent", "left_semi").select("cluster", "parent", "stability", "score"))
+        rest = rest.withColumn("parent", F.coalesce("parent", F.lit(-1))).groupBy().applyInPandas(_scores, _SCORED).withColumn("parent", F.expr("nullif(parent, -1)"))
+        done = stage(rest if done is None else done.unionByName(rest), "done")
     if done is None:
         return clusters.select("cluster", F.col("cluster").alias("best")).limit(0)
     now = stage(done.select("cluster", F.col("parent").alias("up"), F.when(F.col("own") & F.col("parent").isNotNull(), F.col("cluster")).alias("best")), "ways")
@@ -183,7 +286,7 @@ def _selected(clusters: DataFrame) -> DataFrame:
     return now.select("cluster", "best")
 
 
-def density_hierarchy(vectors: DataFrame, key: str, vector: str, k: int, least: int, pivots: int = 256, tile: int = 1024, block: int = BLOCK) -> DataFrame:
+def density_hierarchy(vectors: DataFrame, key: str, vector: str, k: int, least: int, pivots: int = 256, tile: int | None = None, block: int = BLOCK) -> DataFrame:
     """``key, cluster, strength`` of every vector: the most stable density clusters of at least ``least`` members.
 
     Cores are distances to the ``k``-th other.  A merge of two sides that have ``least`` members each is where two clusters part;
@@ -192,7 +295,7 @@ def density_hierarchy(vectors: DataFrame, key: str, vector: str, k: int, least:
     is taken below them, never the whole.  ``cluster`` is its smallest id; -1 and strength 0 is noise.
     ``strength`` is a member's own 1 / distance over the greatest of its cluster.  Null vectors have no row; ids are unique longs.
     """
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
+    rows = _vectors(vectors, key, vector)
     leaves = stage(global_rank(rows.select("id"), [F.asc("id")], "at").select("id", (F.col("at") - 1).alias("leaf")), "leaves")
     n = leaves.count()
     numbered = stage(rows.join(leaves, "id").select(F.col("leaf").alias("id"), "v"), "vectors")
