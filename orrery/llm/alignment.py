@@ -156,9 +156,11 @@ def _block(own: Aligner, block: int, texts: list[tuple], places: list[np.ndarray
     sizes = np.fromiter(map(len, linked), np.int32, len(linked))
     pairs, at = np.unique(np.fromiter(chain.from_iterable(linked), np.int64, int(sizes.sum())), return_inverse=True)
     copies = np.repeat([t[-1] for t in texts], [len(p) for p in places]).astype(np.int64)
+    n = np.array([own.n[k] for k in used.tolist()], np.int64)[codes]  # tokens of both and groups, of every segment
+    n = np.add.reduceat(n, np.cumsum([0, *map(len, places[:-1])]), axis=0).tolist()  # a text has a segment or more
     often = np.bincount(codes, copies, len(used)).astype(np.int64)  # exact: sums far below 2 ** 53
     weights = np.bincount(at, np.repeat(often, sizes), len(pairs)).astype(np.int64)
-    rows = [dict(zip(_TEXT.names, (*t[:-1], len(p)), strict=True)) for t, p in zip(texts, places, strict=True)]
+    rows = [dict(zip(_TEXT.names, (digest, *own_n, sha, len(p)), strict=True)) for (digest, sha, _), own_n, p in zip(texts, n, places, strict=True)]
     packed = [codes.astype("<i4").tobytes(), sizes.astype("<i4").tobytes(), at.astype("<i4").tobytes()]
     values = [block, rows, *packed, pairs, weights]
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _BLOCK, strict=True)], schema=_BLOCK)
@@ -176,8 +178,7 @@ def aligned_blocks(distinct: DataFrame, first: str | None, second: str | None, b
                 at = own.places(text)
                 fragments = [own.groups[k] for k in at]
                 if None not in fragments:
-                    n_a, n_b, n_groups = map(sum, zip(*[own.n[k] for k in at], strict=True))
-                    texts.append((digest, n_a, n_b, n_groups, hashlib.sha256(";".join(fragments).encode()).hexdigest(), copies))
+                    texts.append((digest, hashlib.sha256(";".join(fragments).encode()).hexdigest(), copies))
                     places.append(np.array(at, np.int64))
                     held += len(text)
                 if held >= block_bytes or len(own.groups) > KEEP:
