@@ -37,6 +37,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -195,7 +196,7 @@ def _extend(block: int, lang: str, steps: bytes, codes: bytes, phrases: pa.Array
     at = np.flatnonzero(places[1:] == places[:-1] + 1)
     if not len(at):
         return None
-    pairs, longer = np.unique(codes[at].astype(np.int64) * len(phrases) + codes[at + 1], return_inverse=True)
+    longer, pairs = pd.factorize(codes[at].astype(np.int64) * len(phrases) + codes[at + 1])  # in any order: no sort
     first, second = phrases.take(pa.array(pairs // len(phrases))), phrases.take(pa.array(pairs % len(phrases)))
     second = pc.replace_substring_regex(second, "(?s)^.* ", "")  # its last word
     row = _row(block, lang, places[at], longer, pc.binary_join_element_wise(first, second, " "))
