@@ -9,7 +9,7 @@ from orrery.functions.websites import website_confidence
 from orrery.operators import workgrid
 from orrery.operators.linking import contained_names, first_links, overlap_matches
 from orrery.operators.similarity import token_set_ratio
-from orrery.queries.companies import COMPANIES, companies, q
+from orrery.queries.companies import COMPANIES, FIRST_WORDS, companies, q
 from orrery.queries.names import _PERSON, PROFILES, normalize_person
 from orrery.queries.registry import query
 from orrery.queries.sqltext import indel_sql, letter_masks
@@ -38,7 +38,8 @@ _TARGET = "trim(split_part(replace(text, chr(10), ' '), ' ', 1) || ' ' || split_
     SELECT target, id, score FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, id) AS pos FROM p WHERE score >= 0.4) WHERE pos = 1""")
 def register_match(spark: SparkSession, folder: str) -> DataFrame:
     """The entry of the register that fits a mentioned name best; dissolved ones are no entries."""
-    docs = table(spark, folder, "documents").selectExpr(f"{_TARGET.replace('chr(10)', 'char(10)')} AS target").filter("target <> ''")
+    docs = table(spark, folder, "documents").selectExpr(f"{FIRST_WORDS} AS text", "n_chars")  # a target is made of these
+    docs = docs.selectExpr(f"{_TARGET.replace('chr(10)', 'char(10)')} AS target").filter("target <> ''")
     register = companies(spark, folder).filter(~F.coalesce(F.lower("status").contains("dissolved"), F.lit(False)))
     return overlap_matches(docs, register, "target", F.col("name"), "id", F.lower("status").contains("currently"), STOP)
 
