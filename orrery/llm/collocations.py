@@ -14,7 +14,7 @@ as relations:
   an occurrence of ``Rk+1``.  Both halves of it are frequent, or it could not be.
 
 A relation is a written table with a row a *block*: pieces of one language with
-about ``BLOCK`` words.  Words lie one after the other by piece and position, with
+about ``BLOCK`` words (its last one in a task, or one of many languages, has fewer).  Words lie one after the other by piece and position, with
 a free place between pieces, so that adjacent places are adjacent positions of one
 piece; a block keeps the steps from place to place, the phrase at each, and the
 distinct phrases.  Blocks are cut between pieces, also inside of long texts.
@@ -50,14 +50,17 @@ from orrery.storage import drop_staged, stage
 
 LEAST, WORDS, TOP = 10, 3, 2000
 BLOCK, SLICE = 1 << 18, 1 << 20  # words, bytes
+#: Full blocks that a task may hold as blocks of many languages.
+HELD = 4
 #: Blocks of a row group, so that readers and writers hold a few at once.
 GROUP = 8
 #: Bits of the bitmap that stands for the frequent phrases (8 MB), and how many bits each has to have at least.
 BITS, BITS_EACH = 1 << 26, 8
 SALTS = 16
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+ENDS = b".,;:!?\n\v\f\r"
+#: Lower-case letters, and one character for all that end a piece.
+PLAIN = bytes.maketrans(bytes(range(65, 91)) + ENDS, bytes(range(97, 123)) + b"." * len(ENDS))
 END = re.compile(rb"[.,;:!?\n-\r]")
-TOKENS = re.compile(rb"[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r][ \t.,;:!?\n-\r]*").findall
 
 RELATION = "block long, lang string, steps binary, codes binary, phrases array<string>, counts array<long>"
 _SCHEMA = pa.schema(
@@ -84,33 +87,25 @@ def _row(block: int, lang: str, places: np.ndarray, codes: np.ndarray, phrases:
     return [*[pa.array([v], f.type) for v, f in zip(values, _SCHEMA, strict=False)], *lists]
 
 
-class _Words(dict):
-    """Numbers of words from 1; what stands between pieces is 0."""
-
-    def __missing__(self, token: bytes) -> int:
-        self[token] = n = 0 if END.match(token) else self.count
-        self.count += n > 0
-        return n
-
-    count = 1
-
-
 class _Open:
     """The block of a language that is being filled."""
 
     def __init__(self):
-        self.words, self.parts, self.n = _Words(), [], 0
+        self.parts, self.n = [], 0
 
     def add(self, raw: bytes) -> None:
-        codes = np.fromiter(map(self.words.__getitem__, tokens := TOKENS(raw)), np.int32, len(tokens))
-        self.parts += [codes, np.zeros(1, np.int32)]
-        self.n += len(codes)
+        spaced = raw.replace(b".", b" . ")  # an end is a token, which is no word and keeps its place
+        self.parts.append(spaced)
+        self.n += spaced.count(b" ") + 1
 
     def row(self, block: int, lang: str) -> list[pa.Array]:
-        stream = np.concatenate(self.parts)
-        places = np.flatnonzero(stream)
-        names = [w.decode() for w, n in self.words.items() if n]
-        return _row(block, lang, places, stream[places] - 1, pa.array(names, pa.string()))
+        whole = pa.array([b" . ".join(self.parts)], pa.binary()).cast(pa.string())
+        tokens = pc.ascii_split_whitespace(whole).flatten().dictionary_encode()
+        codes, names = tokens.indices.to_numpy(), tokens.dictionary
+        is_word = ~np.isin(names.to_numpy(zero_copy_only=False), ["", "."])  # nothing lies before a first blank
+        places = np.flatnonzero(is_word[codes])
+        number = np.cumsum(is_word, dtype=np.int32) - 1
+        return _row(block, lang, places, number[codes[places]], names.filter(pa.array(is_word)))
 
 
 def _slices(raw: bytes, size: int) -> Iterator[bytes]:
@@ -131,24 +126,27 @@ def word_occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         filling: dict[str, _Open] = defaultdict(_Open)
         held = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush(langs: list[str]) -> Iterator[pa.RecordBatch]:
             nonlocal block, held
-            for lang, one in filling.items():
+            for lang in langs:
+                one = filling.pop(lang)
+                held -= one.n
                 yield pa.RecordBatch.from_arrays(one.row(block, lang), schema=_SCHEMA)
                 block += 1
-            filling.clear()
-            held = 0
             pa.default_memory_pool().release_unused()
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
-                for raw in _slices(text.as_py().encode().translate(LOWER), SLICE):
-                    before = filling[lang].n
-                    filling[lang].add(raw)
-                    held += filling[lang].n - before
-                    if held >= block_words:
-                        yield from flush()
-        yield from flush()
+                for raw in _slices(text.as_py().encode().translate(PLAIN), SLICE):
+                    one = filling[lang]
+                    before = one.n
+                    one.add(raw)
+                    held += one.n - before
+                    if one.n >= block_words:
+                        yield from flush([lang])
+                    elif held >= HELD * block_words:  # of many languages
+                        yield from flush(list(filling))
+        yield from flush(list(filling))
 
     lang = F.coalesce(F.col(lang_col), F.lit("und"))
     rows = docs.select(lang.alias("lang"), F.col(text_col).alias("text")).filter("text is not null and text <> ''")
@@ -157,8 +155,8 @@ def word_occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "l
 
 def phrase_counts(relation: DataFrame) -> DataFrame:
     """``(lang, phrase, n)`` of a relation: blocks have counted before."""
-    each = relation.select("lang", F.explode(F.arrays_zip("phrases", "counts")).alias("p"))
-    return each.groupBy("lang", F.col("p.phrases").alias("phrase")).agg(F.sum("p.counts").alias("n"))
+    each = relation.select("lang", "counts", F.posexplode("phrases").alias("at", "phrase"))
+    return each.groupBy("lang", "phrase").agg(F.sum(F.expr("counts[at]")).alias("n"))
 
 
 def frequent_codes(relation: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -197,8 +195,10 @@ def _extend(block: int, lang: str, steps: bytes, codes: bytes, phrases: pa.Array
     if not len(at):
         return None
     longer, pairs = pd.factorize(codes[at].astype(np.int64) * len(phrases) + codes[at + 1])  # in any order: no sort
-    first, second = phrases.take(pa.array(pairs // len(phrases))), phrases.take(pa.array(pairs % len(phrases)))
-    second = pc.replace_substring_regex(second, "(?s)^.* ", "")  # its last word
+    first, second = pairs // len(phrases), pairs % len(phrases)
+    parts = pc.split_pattern(phrases, " ", max_splits=1, reverse=True)
+    ends = parts.offsets.to_numpy()[1:] - 1  # the last word of each phrase
+    first, second = phrases.take(pa.array(first)), parts.values.take(pa.array(ends[second]))
     row = _row(block, lang, places[at], longer, pc.binary_join_element_wise(first, second, " "))
     if last:
         row[2:4] = [pa.nulls(1, pa.binary())] * 2
