@@ -19,10 +19,16 @@ CUT = 16_384
 
 
 def _parts(inside: DataFrame, least: float, neighbours: int) -> DataFrame:
-    """``(id, part)`` of core vectors: components, within each cluster, of those with so many near neighbours."""
-    degree = similar(inside, "id", "v", least, within="cluster").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= neighbours)
+    """``(id, part)`` of core vectors: components, within each cluster, of those with so many near neighbours.
+
+    Where all are core vectors, what counted their neighbours links them too, and no pair is compared again.
+    """
+    links = stage(similar(inside, "id", "v", least, within="cluster"), "near")
+    degree = links.groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= neighbours)
     cores = stage(inside.join(degree.select("id"), "id", "left_semi"), "cores")
-    found = connected_components(stage(similar(cores, "id", "v", least, within="cluster"), "links"), "id", "up")
+    if cores.count() < inside.count():
+        links = stage(similar(cores, "id", "v", least, within="cluster"), "links")
+    found = connected_components(links, "id", "up")
     return cores.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("part"))
 
 
@@ -77,7 +83,9 @@ def recursive_clusters(
                         if len(p) > most:
                             later.append((own[p], new))
                 todo, depth, least = later, depth + 1, least + step
-            return pd.concat(out) if out else pd.DataFrame({"id": [], "path": []})
+            if not out:  # columns of no type would become numbers, which Arrow has no path for
+                return pd.DataFrame({"id": pd.Series(dtype="int64"), "path": pd.Series(dtype="object")})
+            return pd.concat(out)
 
         return work
 
