@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import text as X
 from orrery.operators.aliases import canonical_tag, tag_aliases
 from orrery.operators.graph import connected_components
-from orrery.operators.similarity import cascade, fuzzy_join, indel_ratio, pairs_of_copies, sequence_ratio_above, token_set_ratio, token_sort
+from orrery.operators.ratios import Ratios, four_digits, ratio_pairs
+from orrery.operators.similarity import cascade, fuzzy_join, indel_ratio, token_set_ratio, token_sort
 from orrery.operators.vectors import group_tfidf, knn, representatives, similar, term_counts
 from orrery.queries.registry import query
 from orrery.queries.sqltext import indel_sql, letter_masks
@@ -54,13 +59,29 @@ def fuzzy_range_join(spark: SparkSession, folder: str) -> DataFrame:
     return fuzzy_join(c, s, "c_no", "s_no", ["nation"], 0.85, 10, ["c_custkey", "s_suppkey"]).select("c_custkey", "s_suppkey", "similarity")
 
 
+def _name_scores(found: Ratios, at: np.ndarray, to: np.ndarray, rows: pa.RecordBatch) -> Callable[[slice], tuple[np.ndarray, list[np.ndarray]]]:
+    """Exact 1.0, containment 0.9, else the ratio from 0.5 on."""
+    ratios, number, left, right = found
+    value = np.array([four_digits(r) if r >= 0.49995 else 0.0 for r in ratios])[number]
+    a, b = (np.array([len(n or "") for n in own]) for own in (left, right))
+    for i, j in np.argwhere(np.array(ratios)[number] * (a[:, None] + b) >= 2 * b - 1e-6).tolist():  # all of b is matched
+        if left[i] is not None and right[j] is not None and right[j] in left[i]:
+            value[i, j] = 1.0 if right[j] == left[i] else 0.9
+
+    def told(some: slice) -> tuple[np.ndarray, list[np.ndarray]]:
+        scores = value[at[some]][:, to].ravel()
+        kept = scores >= 0.5
+        return kept, [scores[kept]]
+
+    return told
+
+
 @query()
 def name_similarity_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Exact 1.0, containment 0.9, else the sequence ratio, within a nation; names that occur often are compared once."""
+    """Exact 1.0, containment 0.9, else the sequence ratio, within a nation; names that occur often in a tile are compared once for it."""
     c = table(spark, folder, "customer").select("c_custkey", F.lower("c_name").alias("a"), F.col("c_nationkey").alias("nation"))
     s = table(spark, folder, "supplier").select("s_suppkey", F.lower("s_name").alias("b"), F.col("s_nationkey").alias("nation"))
-    score = F.when(F.col("a") == F.col("b"), 1.0).when(F.col("a").contains(F.col("b")), 0.9).otherwise(F.round(sequence_ratio_above(0.49995)("a", "b"), 4))
-    return pairs_of_copies(c, s, "c_custkey", "s_suppkey", ["nation"], lambda pairs: pairs.withColumn("similarity", score).filter("similarity >= 0.5"))
+    return ratio_pairs(c, s, ("c_custkey", "s_suppkey"), ("a", "b"), ["nation"], "similarity double", _name_scores)
 
 
 @query("""SELECT k, string_agg(DISTINCT origin, ',' ORDER BY origin) AS origins, max(conf) AS confidence FROM (SELECT c_nationkey AS k, 'customer' AS origin, 0.9 AS conf FROM customer WHERE c_acctbal > 9000
