@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from orrery.functions import text as X
 from orrery.operators.aliases import canonical_tag, tag_aliases
 from orrery.operators.graph import connected_components
-from orrery.operators.ratios import Ratios, four_digits, ratio_pairs
+from orrery.operators.ratios import Ratios, four_digits, of_rows, ratio_pairs
 from orrery.operators.similarity import cascade, fuzzy_join, indel_ratio, token_set_ratio, token_sort
 from orrery.operators.vectors import group_tfidf, knn, representatives, similar, term_counts
 from orrery.queries.registry import query
@@ -69,7 +69,7 @@ def _name_scores(found: Ratios, at: np.ndarray, to: np.ndarray, rows: pa.RecordB
             value[i, j] = 1.0 if right[j] == left[i] else 0.9
 
     def told(some: slice) -> tuple[np.ndarray, list[np.ndarray]]:
-        scores = value[at[some]][:, to].ravel()
+        scores = of_rows(value, at, to, some).ravel()
         kept = scores >= 0.5
         return kept, [scores[kept]]
 
